@@ -5,7 +5,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 
 from ..cluster import ship
-from . import bpe, exact_dedup, mixing, url_filter
+from . import bpe, exact_dedup, lz_dedup, mixing, ngram_join, url_filter
 from .staging import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -25,6 +25,10 @@ def op4_exact_dedup(spark, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe_codec(spark, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -33,7 +37,11 @@ def op9_source_mixing(spark, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "n_words", "weight", "probability", "sampled")
 
 
-QUERIES = [op2_url_filter, op4_exact_dedup, op7_bpe_codec, op9_source_mixing]
+def op10_lz_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    return lz_dedup.lz_dedup(table(spark, sf_dir, "documents"))
+
+
+QUERIES = [op2_url_filter, op4_exact_dedup, op5_ngram_jaccard_join, op7_bpe_codec, op9_source_mixing, op10_lz_substring_dedup]
 
 
 def queries() -> dict:

@@ -5,7 +5,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 
 from ..cluster import ship
-from . import bpe, exact_dedup, lz_dedup, mixing, ngram_join, url_filter
+from . import bpe, exact_dedup, lz_dedup, mixing, ngram_join, topk, url_filter
 from .staging import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -21,6 +21,10 @@ def op2_url_filter(spark, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"))
 
 
+def op3_uniform_threshold_topk(spark, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op4_exact_dedup(spark, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op10_lz_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return lz_dedup.lz_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = [op2_url_filter, op4_exact_dedup, op5_ngram_jaccard_join, op7_bpe_codec, op9_source_mixing, op10_lz_substring_dedup]
+QUERIES = [op2_url_filter, op3_uniform_threshold_topk, op4_exact_dedup, op5_ngram_jaccard_join, op7_bpe_codec, op9_source_mixing, op10_lz_substring_dedup]
 
 
 def queries() -> dict:
@@ -59,6 +63,7 @@ def oracle_sql() -> dict[str, str]:
     lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return {
         "op2_url_filter": url_filter.oracle(),
+        "op3_uniform_threshold_topk": topk.oracle(),
         "op4_exact_dedup": f"""
 with t as (select doc_id, {lower} as body from documents)
 select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size, doc_id = max(doc_id) over g as kept, sha256(body) as text_sha256

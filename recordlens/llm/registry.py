@@ -5,7 +5,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 
 from ..cluster import ship
-from . import bpe, exact_dedup, lz_dedup, mixing, ngram_join, topk, url_filter
+from . import bpe, exact_dedup, lz_dedup, mixing, ngram_join, quality, topk, toxicity, url_filter
 from .staging import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -17,6 +17,10 @@ def vocabulary_path() -> str:
     return str(Path(public_tokenizers.path(VOCABULARY)))
 
 
+def op1_crf_toxicity(spark, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_url_filter(spark, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"))
 
@@ -37,6 +41,10 @@ def op7_bpe_codec(spark, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op8_indexed_quality(spark, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_source_mixing(spark, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "n_words", "weight", "probability", "sampled")
 
@@ -45,7 +53,17 @@ def op10_lz_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return lz_dedup.lz_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = [op2_url_filter, op3_uniform_threshold_topk, op4_exact_dedup, op5_ngram_jaccard_join, op7_bpe_codec, op9_source_mixing, op10_lz_substring_dedup]
+QUERIES = [
+    op1_crf_toxicity,
+    op2_url_filter,
+    op3_uniform_threshold_topk,
+    op4_exact_dedup,
+    op5_ngram_jaccard_join,
+    op7_bpe_codec,
+    op8_indexed_quality,
+    op9_source_mixing,
+    op10_lz_substring_dedup,
+]
 
 
 def queries() -> dict:

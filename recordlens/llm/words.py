@@ -14,6 +14,9 @@ SLICE_BYTES = 4 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes outside ASCII letters, digits and UTF-8 sequences.
+NOT_ALNUM = np.ones(256, bool)
+NOT_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _MASK = np.array([0] + [(1 << (8 * n)) - 1 for n in range(1, 9)], np.uint64)
@@ -48,12 +51,15 @@ def slices(text: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.n
 
 
 class Words:
-    """Words of one slice: ``starts``, ``ends`` (bytes) and ``ptr``, the word range of each row."""
+    """Words of one slice: ``starts``, ``ends`` (bytes) and ``ptr``, the word range of each row.
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    ``between`` marks the bytes that part words.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, between: np.ndarray = _SPACE):
         self.data, self.offsets = (_LOWER[data] if lower else data), offsets
         n = len(data)
-        space = _SPACE[data]
+        space = between[data]
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
         before = np.ones(n, bool)
@@ -66,12 +72,14 @@ class Words:
         self.ends = np.flatnonzero(~space & after) + 1
         self.ptr = np.searchsorted(self.starts, offsets)
 
-    def hashes(self, seed: int = 0) -> np.ndarray:
-        """A uint64 for each word, from its bytes eight at a time."""
+    def hashes(self, seed: int = 0, head: int | None = None) -> np.ndarray:
+        """A uint64 for each word, from its bytes (the first ``head``) eight at a time."""
         padded = np.zeros(len(self.data) + 8, np.uint8)
         padded[: len(self.data)] = self.data
         eight = np.ndarray((len(self.data) + 1,), "<u8", padded, strides=(1,))
         left, at = self.ends - self.starts, self.starts.copy()
+        if head:
+            left = np.minimum(left, head)
         h = np.full(len(at), (seed * 0x632BE59BD9B4E019 + 0x243F6A8885A308D3) & (2**64 - 1), np.uint64) ^ left.astype(np.uint64)
         live = np.arange(len(at))
         while len(live):

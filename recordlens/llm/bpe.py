@@ -14,6 +14,7 @@ import json
 import re
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -228,7 +229,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, full: bool = False) -> Da
                     pa.array([hashlib.sha256(d.encode()).hexdigest() for d in decoded]),
                 ]
                 if full:
-                    cols += [pa.array([[int(i) for i in csv.split(",")] if csv else [] for csv, _ in got], pa.list_(pa.int32())), pa.array(decoded)]
+                    cols += [pa.array([np.fromstring(csv, np.int32, sep=",") for csv, _ in got], pa.list_(pa.int32())), pa.array(decoded)]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if full else [])]

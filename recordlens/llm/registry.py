@@ -5,7 +5,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 
 from ..cluster import ship
-from . import bpe, exact_dedup, lz_dedup, mixing, ngram_join, quality, topk, toxicity, url_filter
+from . import bpe, exact_dedup, html_text, lz_dedup, mixing, ngram_join, quality, topk, toxicity, url_filter
 from .staging import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -37,6 +37,10 @@ def op5_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op6_mincut_main_text(spark, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_bpe_codec(spark, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -59,6 +63,7 @@ QUERIES = [
     op3_uniform_threshold_topk,
     op4_exact_dedup,
     op5_ngram_jaccard_join,
+    op6_mincut_main_text,
     op7_bpe_codec,
     op8_indexed_quality,
     op9_source_mixing,

@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-BY = W.partitionBy("conv_id").orderBy("turn")
+
+
+def by_turn():
+    return W.partitionBy("conv_id").orderBy("turn")
 
 
 def paired(turns: DataFrame, least: int = 8) -> DataFrame:
@@ -14,9 +17,9 @@ def paired(turns: DataFrame, least: int = 8) -> DataFrame:
 
     A user turn without an answer, and an answer without a question, stay with the other half null.
     """
-    t = turns.where(F.length("text") >= least).withColumns({"_r": F.lag("role").over(BY), "_t": F.lag("text").over(BY)})
+    t = turns.where(F.length("text") >= least).withColumns({"_r": F.lag("role").over(by_turn()), "_t": F.lag("text").over(by_turn())})
     t = t.where(~(F.col("role").eqNullSafe(F.col("_r")) & F.col("text").eqNullSafe(F.col("_t")))).drop("_r", "_t")
-    t = t.withColumns({"prev": F.lag("role").over(BY), "next": F.lead("role").over(BY), "answer": F.lead("text").over(BY)})
+    t = t.withColumns({"prev": F.lag("role").over(by_turn()), "next": F.lead("role").over(by_turn()), "answer": F.lead("text").over(by_turn())})
     asked = t.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("prompt"), F.when(F.col("next") == "assistant", F.col("answer")).alias("output"))
     orphan = t.where("role = 'assistant' and (prev is null or prev <> 'user')").select("conv_id", "turn", F.lit(None).cast("string").alias("prompt"), F.col("text").alias("output"))
     return asked.unionByName(orphan)
@@ -28,7 +31,7 @@ def first_response(claims: DataFrame, turns: DataFrame, matches: Column, reach:
     One backward window over claims and turns together: the next matching turn is carried back, so no
     claim meets more than one turn.
     """
-    ahead = BY.rowsBetween(1, W.unboundedFollowing)
+    ahead = by_turn().rowsBetween(1, W.unboundedFollowing)
     t = turns.withColumn("response", F.first(F.when(matches, F.col("turn")), ignorenulls=True).over(ahead))
     near = F.when(F.col("response") - F.col("turn") <= reach, F.col("response"))
     return claims.select("conv_id", "turn").join(t.select("conv_id", "turn", near.alias("response")), ["conv_id", "turn"])
@@ -44,7 +47,7 @@ def turn_scores(turns: DataFrame, markers: dict[str, tuple[str, int]], confirm:
     n = F.length("text")
     band = reduce(lambda acc, b: acc.when(n >= b[0], b[1]), BANDS, F.when(F.lit(False), 0)).otherwise(0)
     found = [F.when(F.col("text").rlike(p), F.struct(F.lit(name).alias("reason"), F.lit(w).alias("points"))) for name, (p, w) in markers.items()]
-    after = F.lead("text").over(BY)
+    after = F.lead("text").over(by_turn())
     found += [F.when(after.rlike(confirm), F.struct(F.lit("confirmed").alias("reason"), F.lit(15).alias("points"))), F.when(after.rlike(reject), F.struct(F.lit("rejected").alias("reason"), F.lit(-20).alias("points")))]
     t = turns.withColumn("hits", F.filter(F.array(*found), lambda h: h.isNotNull()))
     points = F.aggregate("hits", F.lit(0), lambda a, h: a + h["points"])
@@ -55,7 +58,7 @@ def turn_scores(turns: DataFrame, markers: dict[str, tuple[str, int]], confirm:
 def completeness(scores: DataFrame) -> DataFrame:
     """Per thread: recency-weighted mean of scores mixed with the last one, a bonus for volume, and a label."""
     w = W.partitionBy("conv_id")
-    s = scores.withColumns({"i": F.row_number().over(BY) - 1, "n": F.count(F.lit(1)).over(w)})
+    s = scores.withColumns({"i": F.row_number().over(by_turn()) - 1, "n": F.count(F.lit(1)).over(w)})
     weight = 1 + RAMP * F.when(F.col("n") > 1, F.col("i") / (F.col("n") - 1)).otherwise(0)
     g = s.withColumn("w", weight).groupBy("conv_id").agg((F.sum(F.col("score") * F.col("w")) / F.sum("w")).alias("mean"), F.max_by("score", "i").alias("last"), F.count(F.lit(1)).alias("turns"))
     value = F.least(F.lit(100.0), F.round(MEAN_SHARE * F.col("mean") + LAST_SHARE * F.col("last") + F.least(F.col("turns"), F.lit(5)), 4))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import ascii_lower, staged
+from .staging import ascii_lower, packed, staged
 
 P1, R1 = 2147483647, 1234567891
 P2, R2 = 2147483629, 987654321
@@ -145,11 +145,7 @@ def exact_dedup(docs: DataFrame, huge_chars: int = HUGE_CHARS) -> DataFrame:
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    sha = F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256)
-    rows = docs.withColumn("_sha", sha)
-    return (
-        rows.join(kept.withColumnRenamed("_sha", "_sha2"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_sha2")), "left_semi")
-        .dropDuplicates(["doc_id", "_sha"])
-        .drop("_sha")
-    )
+    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
+    rows = packed(docs, "doc_id", "text").select("doc_id", "row", F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256).alias("sha"))
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("sha") == F.col("kept_sha"))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "sha"]).select("row.*")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .staging import staged
+from .staging import packed, staged
 
 #: A source's share may not exceed this many equal shares.
 SOURCE_CAP = 2.0
@@ -72,9 +72,10 @@ def rake(cells: DataFrame, margins: list[str], rounds: int = ROUNDS, tolerance:
 
 
 def mix(docs: DataFrame, language: dict[str, float] | None = None, topic: dict[str, float] | None = None, keep: float = KEEP) -> DataFrame:
-    """All columns of ``docs`` with n_words, topic, weight (of one of the cell's tokens, relative to the input), probability and sampled."""
-    names = {"_source": F.coalesce("source", F.lit("unknown")), "_lang": F.coalesce("lang", F.lit("unknown")), "_topic": topic_of(F.col("text")), "_words": n_words(F.col("text"))}
-    rows = docs.withColumns(names)
+    """row (all columns of ``docs``), doc_id, source, lang, n_words, topic, weight (of one of the cell's tokens, relative to the input), probability and sampled."""
+    rows = packed(docs, "doc_id", "source", "lang", "text").withColumns(
+        {"_source": F.coalesce("source", F.lit("unknown")), "_lang": F.coalesce("lang", F.lit("unknown")), "_topic": topic_of(F.col("text")), "_words": n_words(F.col("text"))}
+    )
     margins = ["_source", "_lang", "_topic"]
     cells = staged(rows.groupBy(margins).agg(F.sum("_words").alias("tokens")), "cells")
     for m, wanted in zip(margins, (None, LANGUAGE if language is None else language, TOPIC if topic is None else topic), strict=True):
@@ -84,8 +85,6 @@ def mix(docs: DataFrame, language: dict[str, float] | None = None, topic: dict[s
     cells = staged(cells.select(*margins, F.when(F.col("tokens") > 0, F.col("weight") / share).otherwise(1.0).alias("_weight")), "cell-weights")
     u = F.pmod(F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit(""))), F.lit(1 << 30)) / F.lit(float(1 << 30))
     p = F.least(F.lit(1.0), F.lit(keep) * F.col("_weight"))
-    return (
-        rows.join(cells, margins, "left")
-        .withColumns({"n_words": F.col("_words"), "topic": F.col("_topic"), "weight": F.col("_weight"), "probability": p, "sampled": u < p})
-        .drop(*margins, "_words", "_weight")
+    return rows.join(cells, margins, "left").select(
+        "row", "doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_words").alias("n_words"), F.col("_weight").alias("weight"), p.alias("probability"), (u < p).alias("sampled")
     )

@@ -29,6 +29,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame, *columns: str) -> DataFrame:
+    """``columns``, and the whole row as one struct ``row``: other columns then clash with nothing."""
+    return df.select(*columns, F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -24,7 +24,7 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_texts(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
     """(path, text) of each file below a folder."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 

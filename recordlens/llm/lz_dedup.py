@@ -10,7 +10,7 @@ Three passes, none of which gathers a group in one task:
 1. Anchors. Each window has a minimizer, the smallest hash of its 4-word grams, so equal windows have
    equal minimizers and only about a fifth of the grams are counted. Minimizers that occur in two
    documents set a bit in a bitmap of fixed size.
-2. Index. Windows whose minimizer has its bit set are sorted by hash. What a task can decide among its
+2. Index. Windows whose minimizer has its bit set go to the minimizer's task in runs, and are sorted there. What a task can decide among its
    own documents it decides before the shuffle, so a passage that fills the corpus costs one row a task.
 3. Factors are cut out of the texts.
 
@@ -33,8 +33,6 @@ WINDOW, GRAM = 13, 4
 #: Bits of the bitmap of shared anchors (2^27 bits are 16 MB).
 BITMAP_BITS = 27
 SLICE = 8 << 20
-#: Removed windows that a task holds back to put those of one document together.
-HELD = 1_000_000
 
 
 def _minimizers(words: Words, hashes: np.ndarray, window: int, gram: int) -> np.ndarray:
@@ -102,15 +100,18 @@ def shared_anchors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bits
     return bitmap
 
 
-def _lists(values: np.ndarray, at: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.append(at, len(values)).astype(np.int32)), pa.array(values.astype(np.int32)))
+_INDEX = "anchor long, doc_id long, start int, tags array<long>"
 
 
-_INDEX = "h long, c long, doc_id long, pos array<int>, decided boolean"
+def _lists(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(at, len(values)).astype(np.int32)), pa.array(values.astype(np.int64)))
 
 
 def _index_rows(bitmap, window: int, gram: int, bits: int):
-    """Windows to look up in other tasks, and per document those that this task has decided."""
+    """Windows to look up in other tasks, in runs that share an anchor: their first position and their tags (hashes).
+
+    Windows that this task has decided come as one row for each document: start -1, and the positions for tags.
+    """
 
     def run(batches):
         mask = bitmap.value
@@ -118,82 +119,59 @@ def _index_rows(bitmap, window: int, gram: int, bits: int):
             ids = b.column("doc_id")
             known = ids.is_valid().to_numpy(zero_copy_only=False)
             ids = ids.fill_null(0).to_numpy()
-            for first, row, pos, low, full, second in _windows(b.column("text"), window, gram):
+            for first, row, pos, low, full, ends in _windows(b.column("text"), window, gram):
                 at = low >> np.uint64(64 - bits)
                 hit = (mask[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
                 hit &= known[row + first]
-                doc, pos, h, c = ids[row[hit] + first], pos[hit], full[hit].view(np.int64), second[hit].view(np.int64)
-                order = np.lexsort((pos, doc, c, h))
-                doc, pos, h, c = doc[order], pos[order], h[order], c[order]
+                doc, row, pos, low, tag = ids[row[hit] + first], row[hit], pos[hit], low[hit].view(np.int64), mix(full[hit] ^ ends[hit]).view(np.int64)
                 if not len(doc):
                     continue
-                run_at = _starts(h, c)
-                lowest = np.repeat(doc[run_at], np.diff(np.append(run_at, len(doc))))
-                for decided in (False, True):
-                    pick = (doc > lowest) == decided
-                    d, p, hh, cc = doc[pick], pos[pick], h[pick], c[pick]
-                    if not len(d):
-                        continue
-                    if decided:
-                        order = np.argsort(d, kind="stable")
-                        d, p = d[order], p[order]
-                        at = _starts(d)
-                        hh = cc = mix(d.astype(np.uint64)).view(np.int64)
-                    else:
-                        at = _starts(hh, cc, d)
-                    yield pa.RecordBatch.from_arrays([pa.array(hh[at]), pa.array(cc[at]), pa.array(d[at]), _lists(p, at), pa.array(np.full(len(at), decided))], ["h", "c", "doc_id", "pos", "decided"])
+                order = np.lexsort((doc, tag, low))
+                at = _starts(low[order], tag[order])
+                lowest = np.empty(len(doc), np.int64)
+                lowest[order] = np.repeat(doc[order][at], np.diff(np.append(at, len(doc))))
+                decided = doc > lowest
+                if decided.any():
+                    d, p = doc[decided], pos[decided]
+                    at = _starts(d)  # rows are in order, so a document's windows are together
+                    yield pa.RecordBatch.from_arrays([pa.array(mix(d[at].astype(np.uint64)).view(np.int64)), pa.array(d[at]), pa.array(np.full(len(at), -1, np.int32)), _lists(p, at)], ["anchor", "doc_id", "start", "tags"])
+                row, pos, low, tag, doc = (x[~decided] for x in (row, pos, low, tag, doc))
+                if len(doc):
+                    at = _starts(row, low, pos - np.arange(len(pos)))
+                    yield pa.RecordBatch.from_arrays([pa.array(low[at]), pa.array(doc[at]), pa.array(pos[at].astype(np.int32)), _lists(tag, at)], ["anchor", "doc_id", "start", "tags"])
 
     return run
 
 
 def _found(batches):
-    """From rows sorted by (h, c, doc_id): positions of windows that an earlier document has, by document."""
+    """From windows sorted by (anchor, tag, doc_id): those that an earlier document has."""
     last = None
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
-
-    def flush():
-        doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.argsort(doc, kind="stable")
-        doc, pos = doc[order], pos[order]
-        at = _starts(doc)
-        return pa.RecordBatch.from_arrays([pa.array(doc[at]), _lists(pos, at)], ["doc_id", "pos"])
-
     for b in batches:
         if not b.num_rows:
             continue
-        h, c, doc = (b.column(n).to_numpy() for n in ("h", "c", "doc_id"))
-        decided = b.column("decided").to_numpy(zero_copy_only=False)
-        lists = b.column("pos")
-        lengths = np.diff(lists.offsets.to_numpy())
-        pos = lists.flatten().to_numpy()
-        open_rows = np.flatnonzero(~decided)
-        hit = decided.copy()
-        if len(open_rows):
-            oh, oc, od = h[open_rows], c[open_rows], doc[open_rows]
-            at = _starts(oh, oc)
-            lowest = np.repeat(od[at], np.diff(np.append(at, len(od))))
-            if last and last[:2] == (oh[0], oc[0]):
-                lowest[: at[1] if len(at) > 1 else len(od)] = last[2]
-            hit[open_rows] = od > lowest
-            last = (oh[-1], oc[-1], lowest[-1])
-        if hit.any():
-            held.append((np.repeat(doc[hit], lengths[hit]), pos[np.repeat(hit, lengths)]))
-            size += len(held[-1][0])
-        if size >= HELD:
-            yield flush()
-            held, size = [], 0
-    if held:
-        yield flush()
+        anchor, tag, doc = (b.column(n).to_numpy() for n in ("anchor", "tag", "doc_id"))
+        hit = b.column("decided").to_numpy(zero_copy_only=False).copy()
+        rest = np.flatnonzero(~hit)
+        if len(rest):
+            a, t, d = anchor[rest], tag[rest], doc[rest]
+            at = _starts(a, t)
+            lowest = np.repeat(d[at], np.diff(np.append(at, len(d))))
+            if last and last[:2] == (a[0], t[0]):
+                lowest[: at[1] if len(at) > 1 else len(d)] = last[2]
+            hit[rest] = d > lowest
+            last = (a[-1], t[-1], lowest[-1])
+        yield b.select(["doc_id", "pos"]).filter(pa.array(hit))
 
 
 def duplicate_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bits: int = BITMAP_BITS) -> DataFrame:
     """(doc_id, pos): positions of the windows of each document that an earlier document has too."""
     spark = docs.sparkSession
     bitmap = spark.sparkContext.broadcast(shared_anchors(docs, window, gram, bits))
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_index_rows(bitmap, window, gram, bits), _INDEX)
-    found = rows.repartition("h").sortWithinPartitions("h", "c", "doc_id").mapInArrow(_found, "doc_id long, pos array<int>")
-    return found.groupBy("doc_id").agg(F.flatten(F.collect_list("pos")).alias("pos"))
+    runs = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_index_rows(bitmap, window, gram, bits), _INDEX).repartition("anchor")
+    rows = runs.select("anchor", "doc_id", "start", F.posexplode("tags").alias("k", "tag"))
+    rows = rows.select("anchor", "tag", "doc_id", F.when(F.col("start") < 0, F.col("tag").cast("int")).otherwise(F.col("start") + F.col("k")).alias("pos"), (F.col("start") < 0).alias("decided"))
+    found = rows.sortWithinPartitions("anchor", "tag", "doc_id").mapInArrow(_found, "doc_id long, pos int")
+    return found.groupBy("doc_id").agg(F.collect_list("pos").alias("pos"))
 
 
 def _cut(window: int, full: bool):

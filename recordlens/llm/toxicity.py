@@ -31,7 +31,7 @@ WINDOW = 24
 
 
 def _tokens(text):
-    for first, data, offsets in slices(text):
+    for first, data, offsets in slices(text, 2 << 20):
         w = Words(data, offsets, lower=True, between=NOT_ALNUM)
         yield first, w, [w.hashes(seed=k, head=k or None) for k in HEADS]
 
@@ -163,18 +163,18 @@ class Crf:
         return np.exp(alpha + beta - z[:, None, None]), np.exp(pairs), z
 
     @classmethod
-    def train(cls, x: np.ndarray, y: np.ndarray, steps: int = 200, rate: float = 0.5, decay: float = 1e-3) -> "Crf":
-        """Maximum likelihood of the labelled tokens by full-batch gradient ascent with momentum."""
+    def train(cls, x: np.ndarray, y: np.ndarray, times: np.ndarray, steps: int = 200, rate: float = 0.5, decay: float = 1e-3) -> "Crf":
+        """Maximum likelihood of the labelled tokens (each sequence counts ``times``) by full-batch gradient ascent with momentum."""
         crf = cls(np.zeros(x.shape[-1]), np.zeros((2, 2)))
-        tokens = max(1, y.size)
-        observed = np.tensordot(y, x, ([0, 1], [0, 1]))
+        tokens = times.sum() * y.shape[1]
+        observed = np.einsum("n,nt,ntf->f", times, y, x)
         bigrams = np.zeros((2, 2))
-        np.add.at(bigrams, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
+        np.add.at(bigrams, (y[:, :-1].ravel(), y[:, 1:].ravel()), np.repeat(times, y.shape[1] - 1))
         speed_w, speed_t = np.zeros_like(crf.weights), np.zeros((2, 2))
         for _ in range(steps):
             marginal, pairs, _ = crf.forward_backward(x)
-            speed_w = 0.9 * speed_w + (observed - np.tensordot(marginal[..., 1], x, ([0, 1], [0, 1]))) / tokens - decay * crf.weights
-            speed_t = 0.9 * speed_t + (bigrams - pairs.sum((0, 1))) / tokens - decay * crf.transition
+            speed_w = 0.9 * speed_w + (observed - np.einsum("n,nt,ntf->f", times, marginal[..., 1], x)) / tokens - decay * crf.weights
+            speed_t = 0.9 * speed_t + (bigrams - np.einsum("n,ntab->ab", times, pairs)) / tokens - decay * crf.transition
             crf.weights, crf.transition = crf.weights + rate * speed_w, crf.transition + rate * speed_t
         return crf
 
@@ -254,9 +254,10 @@ def train(docs: DataFrame, labels: DataFrame, most: dict[int, int] | None = None
     rows = sample.select("text", "label").mapInArrow(_training_windows(spark.sparkContext.broadcast(lexicon)), "label int, window binary").toArrow()
     if not len(rows):
         return Model(lexicon, Crf(np.array([-6.0, 4.0, 4.0, 2.0]), np.zeros((2, 2))), np.array([0.0, 1.0, 0.0]))
+    rows = rows.group_by(["label", "window"]).aggregate([([], "count_all")]).sort_by([("label", "ascending"), ("window", "ascending")])
     s = np.stack([np.frombuffer(w.as_buffer(), "<f4").reshape(WINDOW, 2) for w in rows.column("window").combine_chunks()])
     y = ((s.max(-1) > 0) & (rows.column("label").to_numpy() == 1)[:, None]).astype(int)
-    crf = Crf.train(Crf.features(s), y)
+    crf = Crf.train(Crf.features(s), y, rows.column("count_all").to_numpy().astype(float))
     model = Model(lexicon, crf, np.array([0.0, 1.0, 0.0]))
     found = sample.select("text", "label").mapInArrow(_summaries(spark.sparkContext.broadcast(model)), "label int, largest double, expected double").toArrow()
     x = np.array([[1.0, _logit(a), np.log1p(b)] for a, b in zip(found.column("largest").to_pylist(), found.column("expected").to_pylist(), strict=True)])
@@ -316,11 +317,10 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with all their columns."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
-    names = docs.columns
 
     def run(batches):
         for b in batches:
             scores = np.concatenate([np.asarray(r.column("predicted")) for r in _score(model, THRESHOLD)([b])] or [np.zeros(0)])
             yield b.filter(pa.array(scores == 0))
 
-    return docs.select(names).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

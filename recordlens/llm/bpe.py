@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Pieces that a worker remembers; it forgets all of them when there are more.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 400_000
 
 _PRE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Where cutting at single spaces differs from cutting by the pattern.
@@ -145,11 +145,13 @@ class Encoder:
             out.reverse()
             known[word] = ",".join(map(str, out)), b"".join([raw[i] for i in out])
 
+    def forget(self) -> None:
+        self.pieces, self.words = {}, {}
+
     def learn(self, pieces: set[str]) -> None:
         """Encode pieces that are not known yet."""
         if len(self.pieces) + len(pieces) > CACHE_PIECES:
-            self.pieces.clear()
-            self.words.clear()
+            self.forget()
         words, parts = self.words, {}
         for p in pieces:
             body = p[1:] if p[0] == " " else p
@@ -231,6 +233,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, full: bool = False) -> Da
                 if full:
                     cols += [pa.array([np.fromstring(csv, np.int32, sep=",") for csv, _ in got], pa.list_(pa.int32())), pa.array(decoded)]
                 yield pa.RecordBatch.from_arrays(cols, names)
+        enc.forget()  # a worker outlives its tasks, and later tasks of other kinds need the memory
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if full else [])]
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * full

@@ -182,35 +182,46 @@ def label(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
 
 
 def _min_cut(nodes: list[int], pull: list[float], around: list[dict[int, float]]) -> set[int]:
-    """The source side of a minimum cut: maximum flow by shortest augmenting paths, source -2, sink -1."""
+    """The source side of a minimum cut: maximum flow by blocking flows in level graphs, source -2, sink -1."""
     source, sink = -2, -1
     room: dict[int, dict[int, float]] = {i: dict(around[i]) for i in nodes} | {source: {}, sink: {}}
     for i in nodes:
         if pull[i] > 0:
-            room[source][i] = pull[i]
-            room[i][source] = 0.0
+            room[source][i], room[i][source] = pull[i], 0.0
         else:
-            room[i][sink] = -pull[i]
-            room[sink][i] = 0.0
+            room[i][sink], room[sink][i] = -pull[i], 0.0
+    ways = {i: list(r) for i, r in room.items()}
     while True:
-        came = {source: source}
-        queue = deque([source])
-        while queue and sink not in came:
+        level, queue = {source: 0}, deque([source])
+        while queue:
             i = queue.popleft()
-            for j, r in room[i].items():
-                if r > 1e-9 and j not in came:
-                    came[j] = i
+            for j in ways[i]:
+                if room[i][j] > 1e-9 and j not in level:
+                    level[j] = level[i] + 1
                     queue.append(j)
-        if sink not in came:
-            return {i for i in came if i >= 0}
-        path, j = [], sink
-        while j != source:
-            path.append((came[j], j))
-            j = came[j]
-        flow = min(room[i][j] for i, j in path)
-        for i, j in path:
-            room[i][j] -= flow
-            room[j][i] = room[j].get(i, 0.0) + flow
+        if sink not in level:
+            return {i for i in level if i >= 0}
+        tried, path = dict.fromkeys(ways, 0), [source]
+        while path:
+            i = path[-1]
+            if i == sink:
+                steps = list(zip(path, path[1:], strict=False))
+                flow = min(room[x][y] for x, y in steps)
+                for x, y in steps:
+                    room[x][y] -= flow
+                    room[y][x] += flow
+                del path[next(k for k, (x, y) in enumerate(steps) if room[x][y] <= 1e-9) + 1 :]
+                continue
+            while tried[i] < len(ways[i]):
+                j = ways[i][tried[i]]
+                if room[i][j] > 1e-9 and level.get(j) == level[i] + 1:
+                    path.append(j)
+                    break
+                tried[i] += 1
+            else:
+                path.pop()
+                if path:
+                    tried[path[-1]] += 1
 
 
 def main_text(html: str) -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from ..cluster import ship
 from . import bpe, exact_dedup, html_text, lz_dedup, mixing, ngram_join, quality, topk, toxicity, url_filter
-from .staging import table
+from .staging import bounded_batches, table
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -75,6 +75,7 @@ def queries() -> dict:
     def shipped(f):
         def run(spark, sf_dir):
             ship(spark)
+            bounded_batches(spark)
             return f(spark, sf_dir)
 
         return run

@@ -2,6 +2,7 @@
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +17,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+#: Rows to a file of a staged table whose size is bounded by one that is known.
+FILE_ROWS = 250_000
+
+
+def staged(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back. ``most`` bounds its rows, if known: small tables go to few files.
 
     Cuts the lineage: lost executors cost only tasks that read the files, and several readers of
     one result do not compute it again. The reread table carries no partitioning, so a join on it
@@ -25,10 +30,33 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/recordlens/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if most is None else df.coalesce(most // FILE_ROWS + 1)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch where the session does not say: texts may be long.
+BATCH_ROWS = 2000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches to ``BATCH_ROWS`` rows, unless the session has chosen another number than Spark's default."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int):
+    """Within: Arrow batches of at most ``most`` rows, for stages whose rows are large. What is staged within runs so."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def packed(df: DataFrame, *columns: str) -> DataFrame:
     """``columns``, and the whole row as one struct ``row``: other columns then clash with nothing."""
     return df.select(*columns, F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))

@@ -157,3 +157,13 @@ def search(docs: DataFrame, terms: list[str]) -> DataFrame:
     low = F.lower("text")
     one = [F.when(low.startswith(q), 6).when(low.rlike(f"[ \n]{q}"), 3).otherwise(1) for q in terms]
     return docs.where(reduce(lambda a, b: a & b, [low.contains(q) for q in terms])).select("doc_id", reduce(lambda a, b: a + b, one).cast("long").alias("score"))
+
+
+def entities(docs: DataFrame, patterns: dict[str, str]) -> DataFrame:
+    """doc_id, kind, value, n of everything that a kind's pattern matches."""
+    found = [F.transform(F.regexp_extract_all("text", F.lit(p), 0), _tag(kind)) for kind, p in patterns.items()]
+    return docs.select("doc_id", F.inline(F.concat(*found))).groupBy("doc_id", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _tag(kind: str):
+    return lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))

@@ -32,7 +32,7 @@ from .words import Words, mix, slices
 WINDOW, GRAM = 13, 4
 #: Bits of the bitmap of shared anchors (2^27 bits are 16 MB).
 BITMAP_BITS = 27
-SLICE = 8 << 20
+SLICE = 2 << 20
 
 
 def _minimizers(words: Words, hashes: np.ndarray, window: int, gram: int) -> np.ndarray:

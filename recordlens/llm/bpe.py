@@ -208,8 +208,12 @@ def encoder(path: str) -> Encoder:
 GROUP_CHARS = 1 << 22
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, full: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row; with ``full`` also ids and decoded."""
+def encode_documents(docs: DataFrame, vocabulary: str, full: bool = False, forget: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row; with ``full`` also ids and decoded.
+
+    With ``forget``, a task drops the pieces that it has learnt when it ends: a worker outlives its tasks,
+    and where other kinds of stages share the executors, they need the memory. Else later tasks use them.
+    """
 
     def run(batches):
         enc = encoder(vocabulary)
@@ -233,7 +237,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, full: bool = False) -> Da
                 if full:
                     cols += [pa.array([np.fromstring(csv, np.int32, sep=",") for csv, _ in got], pa.list_(pa.int32())), pa.array(decoded)]
                 yield pa.RecordBatch.from_arrays(cols, names)
-        enc.forget()  # a worker outlives its tasks, and later tasks of other kinds need the memory
+        if forget:
+            enc.forget()
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if full else [])]
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * full

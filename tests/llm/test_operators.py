@@ -307,6 +307,26 @@ def test_raking_meets_the_margins(spark):
         assert r["weight"] == pytest.approx(dense[tuple(n.index(r[m]) for n, m in zip(names, ("_source", "_lang", "_topic"), strict=True))], abs=1e-5)
 
 
+def test_mixed_sample_meets_the_margins(spark):
+    rng = random.Random(8)
+    form = {"prose": "word ", "tabular": "a | ", "noisy": "w! "}
+    for hot in (40, 440):  # as even sources, and with one that holds about a third
+        rows = []
+        for s in range(20):
+            for k in range(hot if s == 0 else 40):
+                topic = rng.choices(["prose", "tabular", "noisy"], [90, 3 if s else 1, 7])[0] if k >= 12 else ["prose", "tabular", "noisy"][k % 3]
+                lang = rng.choices(["en", "de", "fr", "es"], [60 if s else 75, 16, 16, 9])[0] if k >= 12 else ["en", "de", "fr", "es"][k // 3]
+                rows.append((len(rows), form[topic] * rng.randint(20, 60), lang, f"s{s}"))
+        got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).toPandas()
+        assert got.probability.between(0, 1).all()
+        kept, n = got.n_words * got.probability, got.n_words
+        raw = np.minimum(n.groupby(got.source).sum() / n.sum(), mixing.SOURCE_CAP / 20)
+        for column, target in (("source", (raw / raw.sum()).to_dict()), ("lang", mixing.LANGUAGE), ("topic", mixing.TOPIC)):
+            share = (kept.groupby(got[column]).sum() / kept.sum()).to_dict()
+            assert share == pytest.approx(target, abs=1e-5)
+        assert kept.sum() / n.sum() <= mixing.KEEP + 1e-5
+
+
 def test_mixing_awkward_rows(docs):
     got = mixing.mix(docs)
     rows = got.select("doc_id", "n_words", "probability", "sampled").collect()

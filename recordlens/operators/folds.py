@@ -149,26 +149,30 @@ def chain(candidates: DataFrame) -> DataFrame:
 
 def greedy_groups(rows: DataFrame, least: float, days: int) -> DataFrame:
     """Groups of actions (block, ord, day, tokens): each joins the group whose last action is most similar (Jaccard at least
-    ``least``, at most ``days`` earlier), else opens one. Order decides, so a block is one fold; blocks are small by choice of key."""
+    ``least``, at most ``days`` earlier), else opens one. Order decides, so a block is one fold over its sorted rows, read
+    batch by batch; it holds the groups whose last action is at most ``days`` old and compares with no others."""
 
-    def run(key, table):
-        t = table.sort_by([("day", "ascending"), ("ord", "ascending")])
-        lasts, out = [], []
-        for day, tokens in zip(t.column("day").to_pylist(), t.column("tokens").to_pylist(), strict=True):
-            mine, best = set(tokens or []), (-1.0, None)
-            for g, (last_day, last) in enumerate(lasts):
-                union = len(mine | last)
-                sim = len(mine & last) / union if union else 0.0
-                if sim >= least and day - last_day <= days and sim > best[0]:
-                    best = (sim, g)
-            g = best[1]
-            if g is None:
-                g = len(lasts)
-                lasts.append((day, mine))
-            else:
+    def run(batches):
+        block, lasts, opened = None, None, 0
+        for b in batches:
+            out = []
+            for key, day, tokens in zip(*(b.column(c).to_pylist() for c in ("block", "day", "tokens")), strict=True):
+                if lasts is None or key != block:
+                    block, lasts, opened = key, {}, 0
+                lasts = {g: x for g, x in lasts.items() if day - x[0] <= days}
+                mine, best = set(tokens or []), (-1.0, None)
+                for g, (_, last) in lasts.items():
+                    union = len(mine | last)
+                    sim = len(mine & last) / union if union else 0.0
+                    if sim >= least and sim > best[0]:
+                        best = (sim, g)
+                g = best[1]
+                if g is None:
+                    g, opened = opened, opened + 1
                 lasts[g] = (day, mine)
-            out.append(g)
-        return t.drop_columns(["tokens"]).append_column("grp", pa.array(out, pa.int32()))
+                out.append(g)
+            names = [n for n in b.schema.names if n != "tokens"]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(out, pa.int32())], [*names, "grp"])
 
     names = [f"{n} {k}" for n, k in rows.dtypes if n != "tokens"]
-    return rows.groupBy("block").applyInArrow(run, ", ".join([*names, "grp int"]))
+    return rows.repartition("block").sortWithinPartitions("block", "day", "ord").mapInArrow(run, ", ".join([*names, "grp int"]))

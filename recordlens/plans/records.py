@@ -74,7 +74,7 @@ def g13_alignment_chain(t):
 
 @query()
 def g14_lifecycle_groups(t):
-    tok = F.array_distinct(F.slice(fx.tokens(F.col("text"), 4), 1, 12))
+    tok = F.array_distinct(fx.tokens(F.col("text"), 4))
     rows = t.documents.select(F.concat_ws("/", "lang", "source").alias("block"), F.col("doc_id").cast("int").alias("ord"), (F.col("doc_id") / 10).cast("int").alias("day"), tok.alias("tokens"))
     return folds.greedy_groups(rows, 0.2, 200)
 

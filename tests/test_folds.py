@@ -1,12 +1,14 @@
 """Folds against fixed results and brute force."""
 
 import random
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from recordlens.operators import folds
 from recordlens.operators import lexicon as lx
+from recordlens.plans import records
 
 
 def test_rolling_captions(spark):
@@ -57,6 +59,37 @@ def test_greedy_groups(spark):
     assert got == {0: 0, 1: 0, 2: 1, 4: 2, 3: 3}
 
 
+def test_greedy_groups_match_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(f"b{rng.randint(0, 2)}", k, k // 3, rng.sample("abcdefgh", rng.randint(0, 5))) for k in range(300)]
+    want, lasts = {}, {}
+    for block, k, day, tokens in rows:
+        groups, mine = lasts.setdefault(block, []), set(tokens)
+        near = [(len(mine & t) / max(1, len(mine | t)), -g) for g, (d, t) in enumerate(groups) if day - d <= 6]
+        sim, g = max(near, default=(-1, 0))
+        if sim >= 0.5:
+            want[k], groups[-g] = -g, (day, mine)
+        else:
+            want[k] = len(groups)
+            groups.append((day, mine))
+    df = spark.createDataFrame(rows, "block string, ord int, day int, tokens array<string>").repartition(5)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "7")  # blocks go over many batches
+    try:
+        assert {r.ord: r.grp for r in folds.greedy_groups(df, 0.5, 6).collect()} == want
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_lifecycle_groups_read_whole_texts(spark):
+    head = " ".join(f"open{k}" for k in range(12))
+    texts = [head + "".join(f" left{k}" for k in range(80)), head + "".join(f" right{k}" for k in range(80))]
+    docs = spark.createDataFrame([(k, t, "en", "s") for k, t in enumerate([*texts, *texts])], "doc_id long, text string, lang string, source string")
+    got = {r.ord: r.grp for r in records.g14_lifecycle_groups(SimpleNamespace(documents=docs)).collect()}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 1}
+
+
 def test_default_lexicon(spark):
     texts = [
         "Vehicle operator detained under municipal code dispute; field verification prolonged past standard inspection timeline awaiting secondary unit.",

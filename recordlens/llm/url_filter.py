@@ -2,7 +2,7 @@
 
 Rules decide by host suffix and path prefix, the longest rule first. Pages that no rule fits take
 the decision of their alias class: the connected component of their address over redirect edges
-(meta refresh) and canonical-link edges. An explicit allow in the class wins over any block in it;
+(meta refresh) and canonical-link edges, all of a page, resolved against its address and base. An explicit allow in the class wins over any block in it;
 with neither, the page is allowed.
 
 An address is host + path, without scheme, query and fragment. Null urls, and urls without ``://``,
@@ -37,22 +37,40 @@ def _rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Col
     return rule, verdict
 
 
+def _undotted(path: Column) -> Column:
+    """``path`` without its . and .. segments."""
+    parts = F.split(path, "/")
+    step = lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x)))
+    kept = F.aggregate(parts, F.expr("cast(array() as array<string>)"), step)
+    open_end = F.element_at(parts, -1).isin(".", "..")
+    return F.when(path.contains("/."), F.array_join(F.when(open_end, F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")).otherwise(path)
+
+
+def _resolved(to: Column, host: Column, path: Column) -> tuple[Column, Column]:
+    """(host, path) that ``to`` names on a page of that address; null where it names no address."""
+    folder = F.when(path.contains("/"), F.regexp_extract(path, "^((?s:.*)/)", 1)).otherwise("/")
+    local = F.regexp_extract(to, "^[^?#]*", 0)
+    absolute, scheme = to.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), to.rlike("^[A-Za-z][A-Za-z0-9+.-]*:")
+    far = F.when(to.startswith("//"), F.concat(F.lit("x:"), to)).when(absolute, to)
+    full = F.when(local == "", path).when(local.startswith("/"), local).otherwise(F.concat(folder, local))
+    return F.when(far.isNotNull(), host_of(far)).when(~scheme, host), F.when(far.isNotNull(), _undotted(path_of(far))).when(~scheme, _undotted(full))
+
+
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): a page's address and the address that its canonical link or meta refresh names."""
-    unquote = lambda c: F.regexp_replace(c, "&amp;", "&")
-    tag = r"(?is)<{0}\b[^>]*?{1}[^>]*>"
-    link = F.regexp_extract(F.col("html"), tag.format("link", r"\brel\s*=\s*[\"']?canonical\b"), 0)
-    meta = F.regexp_extract(F.col("html"), tag.format("meta", r"\bhttp-equiv\s*=\s*[\"']?refresh\b"), 0)
-    targets = F.array(
-        F.regexp_extract(link, r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1),
-        F.regexp_extract(meta, r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1),
-    )
+    """(a, b): a page's address and each address that a canonical link or meta refresh of it names, relative to its base."""
+    tags = lambda name: F.regexp_extract_all("html", F.lit(rf"(?is)<{name}\b[^>]*>"), 0)
+    # Values end at their own quote, or without quotes at white space.
+    value = lambda tag, name: F.trim(F.regexp_replace(F.regexp_extract(tag, rf"(?is)[\s\"'/]{name}\s*=\s*(\"[^\"]*|'[^']*|[^\"'\s>]+)", 1), "^[\"']", ""))
+    unquote = lambda c: F.trim(F.regexp_replace(c, "&amp;", "&"))
+    links = F.transform(F.filter(tags("link"), lambda t: value(t, "rel").rlike(r"(?i)(^|\s)canonical(\s|$)")), lambda t: value(t, "href"))
+    metas = F.transform(F.filter(tags("meta"), lambda t: F.lower(value(t, "http-equiv")) == "refresh"), lambda t: F.regexp_extract(t, r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
+    bases = F.filter(F.transform(tags("base"), lambda t: unquote(value(t, "href"))), lambda h: h != "")
     has = F.lower(F.col("html")).contains("canonical") | F.lower(F.col("html")).contains("refresh")
-    found = pages.where(F.col("url").contains("://") & has).select("host", "path", F.explode(targets).alias("to")).where("to <> ''")
-    to = unquote(F.col("to"))
-    absolute = F.when(to.startswith("//"), F.concat(F.lit("x:"), to)).when(to.startswith("/"), F.concat(F.lit("x://"), F.col("host"), to)).otherwise(to)
-    found = found.select(F.concat("host", "path").alias("a"), absolute.alias("to")).where(F.col("to").contains("://"))
-    return found.select("a", F.concat(host_of(F.col("to")), path_of(F.col("to"))).alias("b")).where("a <> b and b <> ''")
+    found = pages.where(F.col("url").contains("://") & has).select("host", "path", F.get(bases, F.lit(0)).alias("base"), F.explode(F.concat(links, metas)).alias("to")).where("to <> ''")
+    base_host, base_path = _resolved(F.col("base"), F.col("host"), F.col("path"))
+    found = found.select(F.concat("host", "path").alias("a"), F.coalesce(base_host, "host").alias("base_host"), F.coalesce(base_path, "path").alias("base_path"), unquote(F.col("to")).alias("to"))
+    host, path = _resolved(F.col("to"), F.col("base_host"), F.col("base_path"))
+    return found.select("a", F.concat(host, path).alias("b")).where("a <> b and b <> ''")
 
 
 def url_filter(pages: DataFrame, rules: list[tuple[str, str]] | None = None) -> DataFrame:

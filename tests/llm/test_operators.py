@@ -218,6 +218,28 @@ def test_url_filter_propagates_to_aliases(spark):
     assert got[9] == got[10] == ("", "", None, "allow") and got[11] == ("lonely.net", "", None, "allow") and got[12][2:] == ("org/", "allow") and got[13][2] is None
 
 
+def test_url_filter_resolves_every_target(spark):
+    refresh, link = '<meta http-equiv="refresh" content="0; url={}">', '<link rel="{}" href="{}">'
+    pages = [
+        ("https://a.net/d/p", refresh.format("next.html"), "a.net/d/next.html"),
+        ("https://b.net/d/e/p", refresh.format("../up"), "b.net/d/up"),
+        ("https://c.net", refresh.format("x/./y?q=1#f"), "c.net/x/y"),
+        ("https://d.net/p", '<base href="/other/">' + refresh.format("?x=1"), "d.net/other/"),
+        ("https://e.net/p", '<base href="https://base.net/k/i">' + link.format("canonical", "z"), "base.net/k/z"),
+        ("https://f.net/p", link.format("alternate canonical", "//g.net/q"), "g.net/q"),
+        ("https://h.net/p", link.format("canonical", "/one") + link.format("CANONICAL", "/two"), "h.net/one h.net/two"),
+        ("https://i.net/p", refresh.format("/three") + refresh.format("/four"), "i.net/three i.net/four"),
+        ("https://j.net/p", refresh.format("go?to=http://k.com/de/"), "j.net/go"),
+        ("https://l.net/p", link.format("canonical", "mailto:x@y.net") + link.format("noncanonical", "/no") + refresh.format("?x=1"), ""),
+    ]
+    df = spark.createDataFrame([(k, u, h) for k, (u, h, _) in enumerate(pages)], "page_id long, url string, html string")
+    df = df.withColumns({"host": url_filter.host_of(F.col("url")), "path": url_filter.path_of(F.col("url"))})
+    assert {tuple(r) for r in url_filter.alias_edges(df).collect()} == {(u.removeprefix("https://"), b) for u, _, to in pages for b in to.split()}
+    rows = [(1, "https://m.net/d/p", refresh.format("q")), (2, "https://m.net/d/q", link.format("canonical", "https://x.com/de/1"))]
+    got = url_filter.url_filter(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert [r.verdict for r in got] == ["block", "block"]
+
+
 def test_html_min_cut_is_minimal():
     rng = random.Random(4)
     for _ in range(200):

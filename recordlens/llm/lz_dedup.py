@@ -1,9 +1,9 @@
-"""Substring dedup by relative Lempel-Ziv parsing (operator 10).
+"""Substring dedup by matching windows (operator 10), in place of a relative Lempel-Ziv parse.
 
-Every document is a reference block for the documents after it. The index holds the blocks' windows
-of 13 words; a document is factored greedily against it: windows in a row that occur in an earlier
-block grow one factor, other words are literals. Both ends of a factor are checked by a second hash
-of their windows. Words of factors are removed.
+Every document is a reference for the documents after it: a window of 13 words that an earlier document
+has is removed, and windows that overlap or touch go as one span. A factor of 13 words or more is made of
+such windows, so the removed words are those of a parse with such factors; no parse is made. A window is
+told by its minimizer's hash and a second hash that mixes in its first and last word.
 
 Three passes, none of which gathers a group in one task:
 
@@ -12,7 +12,7 @@ Three passes, none of which gathers a group in one task:
    documents set a bit in a bitmap of fixed size.
 2. Index. Windows whose minimizer has its bit set go to the minimizer's task in runs, and are sorted there. What a task can decide among its
    own documents it decides before the shuffle, so a passage that fills the corpus costs one row a task.
-3. Factors are cut out of the texts.
+3. Words of the windows found are cut out of the texts.
 
 A full bitmap lets more windows through to the sort; it never changes the result.
 

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import staged
+from .staging import discard, staged
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most: int | None = None) -> DataFrame:
@@ -21,12 +21,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int | None =
     while True:
         # Large star: every larger neighbour of u links to u's smallest neighbour (or u).
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = staged(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "minima", most)
-        large = staged(_down(both.where("v > u").join(low, "u").select("v", F.col("m").alias("u"))), "large-star", most)
+        minima = staged(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "minima", most)
+        large = staged(_down(both.where("v > u").join(minima, "u").select("v", F.col("m").alias("u"))), "large-star", most)
         # Small star: u and its smaller neighbours link to the smallest of them.
         low = staged(large.groupBy("u").agg(F.min("v").alias("m")), "minima", most)
         joined = large.join(low, "u")
         small = staged(_down(joined.select("v", F.col("m").alias("u")).unionByName(low.select(F.col("u").alias("v"), F.col("m").alias("u")))), "small-star", most)
+        discard(e, minima, large, low)
         e, after = small, _digest(small)
         if after == before:
             break

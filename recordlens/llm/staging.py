@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where none is set."""
+    """The cluster's ``spark.checkpoint.dir``. Unset, it becomes a temporary folder, but only where all runs on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="recordlens-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -22,7 +24,7 @@ FILE_ROWS = 250_000
 
 
 def staged(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back. ``most`` bounds its rows, if known: small tables go to few files.
+    """Write ``df`` to the shared folder and read it back. ``most`` bounds its rows and those of its last exchange, if known: small tables go to few files.
 
     Cuts the lineage: lost executors cost only tasks that read the files, and several readers of
     one result do not compute it again. The reread table carries no partitioning, so a join on it
@@ -31,7 +33,19 @@ def staged(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/recordlens/{name}-{uuid.uuid4().hex}"
     (df if most is None else df.coalesce(most // FILE_ROWS + 1)).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more; other tables are left alone."""
+    for df in tables:
+        at = df.__dict__.pop("_staged_at", None)
+        if at:
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Rows of an Arrow batch where the session does not say: texts may be long.

@@ -113,8 +113,25 @@ def weak(text: bool):
     return run
 
 
-def test_ngram_join(docs):
-    rows = collected(docs)
+def near_copies():
+    """Groups of copies with edits of their own or of a common ancestor, whose links lie on both sides of the threshold."""
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    out = []
+    for size in (90, 40, 12):
+        base = [word() for _ in range(120)]
+        families = [base]
+        for _ in range(size):
+            new = list(rng.choice(families))
+            for _ in range(rng.randint(0, 4)):
+                new[rng.randrange(len(new))] = word()
+            if rng.random() < 0.3:
+                families.append(new)
+            out.append(" ".join(new[: rng.choice([120, 118, 96])]))
+    return out
+
+
+def joined_by_brute_force(rows):
     sets = [(i, set(zip(*[words(t.lower())[k:] for k in range(5)], strict=False)) or ({tuple(words(t.lower()))} if words(t) else set())) for i, t in rows]
     parent = list(range(len(sets)))
 
@@ -132,7 +149,21 @@ def test_ngram_join(docs):
     for x, (i, _) in enumerate(sets):
         if i is not None:
             low[find(x)] = min(low.get(find(x), i), i)
-    want = Counter((i, len(s), low.get(find(x)) if s else i) for x, (i, s) in enumerate(sets))
+    return Counter((i, len(s), low.get(find(x)) if s else i) for x, (i, s) in enumerate(sets))
+
+
+@pytest.mark.parametrize(("small", "levels"), [(1024, 6), (5, 0), (5, 3)])
+def test_ngram_join_of_near_copies(spark, small, levels):
+    rows = list(enumerate(near_copies()))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = ngram_join.ngram_join(docs, small=small, levels=levels).collect()
+    want = joined_by_brute_force(rows)
+    assert Counter(tuple(r) for r in got) == want and 10 < len({c for _, _, c in want}) < len(rows) - 20
+
+
+def test_ngram_join(docs):
+    rows = collected(docs)
+    want = joined_by_brute_force(rows)
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_join(docs).collect()) == want
     kept = ngram_join.keep_one_of_each(docs)
     assert kept.columns == docs.columns

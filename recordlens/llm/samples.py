@@ -25,8 +25,8 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, most: dict[int, in
     ids = [known.where(F.col("label") == k).orderBy(by, "doc_id").limit(most[k]) for k in (0, 1)]
     ids = staged(ids[0].unionByName(ids[1]), "sample-ids")
     text = F.coalesce("text", F.lit("")).alias("text")
-    # The sample's ids are few by their bound, so they go to the documents.
-    return staged(docs.select("doc_id", text).join(F.broadcast(ids), "doc_id").coalesce(64), "sample")
+    # The sample's ids are few by their bound, so they go to the documents; all tasks scan, and the few rows found go to 32 files.
+    return staged(docs.select("doc_id", text).join(F.broadcast(ids), "doc_id").repartition(32, "doc_id"), "sample")
 
 
 def summed(docs: DataFrame, add: Callable, size: int, slices: int = 16) -> np.ndarray:
@@ -38,18 +38,18 @@ def summed(docs: DataFrame, add: Callable, size: int, slices: int = 16) -> np.nd
 
     def local(batches):
         total = add(batches).astype("<f8").reshape(slices, part)
-        yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([r.astype("<f4").tobytes() for r in total], pa.binary())], ["slice", "values"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([r.tobytes() for r in total], pa.binary())], ["slice", "values"])
 
     def merge(batches):
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for k, raw in zip(b.column("slice").to_pylist(), b.column("values"), strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(raw.as_buffer(), "<f4").astype("<f8")
+                sums[k] = sums.get(k, 0) + np.frombuffer(raw.as_buffer(), "<f8")
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.astype("<f4").tobytes() for v in sums.values()], pa.binary())], ["slice", "values"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["slice", "values"])
 
     schema = "slice int, values binary"
     out = np.zeros((slices, part))
     for r in docs.mapInArrow(local, schema).repartition("slice").mapInArrow(merge, schema).collect():
-        out[r["slice"]] += np.frombuffer(r["values"], "<f4")
+        out[r["slice"]] += np.frombuffer(r["values"], "<f8")
     return out.reshape(-1)

@@ -6,7 +6,9 @@ trained on windows of tokens; forward-backward marginals give each token's proba
 toxic tokens give the offending offsets, and a document's marginals give its score.
 
 A score depends on the text alone. Null text counts as empty; empty texts get the score of a text
-without any toxic token. Repeated rows are scored alike. Extra columns are ignored.
+without any toxic token. Repeated rows are scored alike. Very long texts are tagged whole. An empty table gives an
+empty result; without labelled documents nothing is toxic. Extra columns are ignored (``keep_clean`` keeps them,
+whatever their names).
 """
 
 from functools import lru_cache
@@ -23,8 +25,6 @@ from .words import NOT_ALNUM, Words, slices
 SAMPLE = {0: 12_000, 1: 4_000}
 #: Lengths in bytes of the word beginnings that are features; 0 is the whole word.
 HEADS = (0, 4, 5, 6, 7)
-#: Features that the tagger keeps at most.
-MOST_FEATURES = 20_000
 LEAST_ODDS, LEAST_EVIDENCE = 4.0, 25.0
 THRESHOLD = 0.3
 WINDOW = 24
@@ -89,7 +89,7 @@ def _telling(counted: DataFrame, toxic: int, clean: int) -> Lexicon:
     odds = F.log(((t + 0.5) / (toxic + 1)) / ((c + 0.5) / (clean + 1)))
     evidence = 2 * (t * F.log(t / ((t + c) * share)) + F.when(c > 0, c * F.log(c / ((t + c) * (1 - share)))).otherwise(0))
     rows = counted.where("t >= 3").withColumn("odds", odds).where((F.col("odds") >= LEAST_ODDS) & (evidence >= LEAST_EVIDENCE))
-    rows = rows.orderBy(F.desc("odds"), "feature").limit(MOST_FEATURES).select("feature", "odds").toArrow()
+    rows = rows.select("feature", "odds").toArrow()  # as many as the bounded sample has
     return Lexicon(rows.column("feature").to_numpy().view(np.uint64), rows.column("odds").to_numpy())
 
 
@@ -125,8 +125,12 @@ def _training_windows(lexicon):
                     doc = f[w.ptr[i] : w.ptr[i + 1]]
                     if len(doc) < WINDOW:
                         doc = np.concatenate([doc, np.zeros((WINDOW - len(doc), 2), np.float32)])
-                    hit = np.flatnonzero(doc.max(1) > 0)
-                    starts = {0, *(int(min(max(0, h - WINDOW // 2), len(doc) - WINDOW)) for h in hit[:3])}
+                    starts, end = {0}, 0
+                    for h in np.flatnonzero(doc.max(1) > 0).tolist():  # every token with a feature is in some window
+                        if h >= end:
+                            start = min(max(0, h - WINDOW // 2), len(doc) - WINDOW)
+                            starts.add(start)
+                            end = start + WINDOW
                     marks += [int(label[first + i])] * len(starts)
                     windows += [doc[s : s + WINDOW].astype("<f4").tobytes() for s in sorted(starts)]
                 yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int32()), pa.array(windows, pa.binary())], ["label", "window"])
@@ -178,6 +182,19 @@ class Crf:
             crf.weights, crf.transition = crf.weights + rate * speed_w, crf.transition + rate * speed_t
         return crf
 
+    def settles(self) -> int:
+        """Tokens without a feature after which the messages of both directions no longer change (in doubles)."""
+        e = float(np.exp(self.features(np.zeros((1, 2))) @ self.weights)[0])
+        (cc, ct), (tc, tt) = np.exp(self.transition).tolist()
+        f, b = e, 1.0
+        for t in range(1, 100_000):
+            after = e * b
+            f2, b2 = e * (ct + f * tt) / (cc + f * tc), (tc + after * tt) / (cc + after * ct)
+            if abs(f2 - f) <= 4e-16 * f and abs(b2 - b) <= 4e-16 * b:
+                return t
+            f, b = f2, b2
+        return 100_000
+
     def marginals(self, strengths: np.ndarray) -> np.ndarray:
         """Toxic probability of each token of one document; messages as ratios toxic : clean."""
         if not len(strengths):
@@ -201,15 +218,17 @@ class Crf:
 class Model:
     def __init__(self, lexicon: Lexicon, crf: Crf, calibration: np.ndarray):
         self.lexicon, self.crf, self.calibration = lexicon, crf, calibration
-        self.plain = lru_cache(128)(lambda n: float(crf.marginals(np.zeros((n, 2), np.float32)).max(initial=0)))
+        self.settled = 2 * crf.settles() + 1
+        self.plain = lru_cache(4096)(lambda n: float(crf.marginals(np.zeros((n, 2), np.float32)).max(initial=0)))
 
     def __reduce__(self):
         return Model, (self.lexicon, self.crf, self.calibration)
 
     def summary(self, strengths: np.ndarray) -> tuple[float, float, np.ndarray | None]:
         """Largest marginal, toxic tokens expected among those over a half, and the marginals if any token has a feature."""
-        if not len(strengths) or not strengths.any():
-            return self.plain(min(len(strengths), 64)), 0.0, None  # without features a chain is alike beyond some length
+        if not strengths.any():
+            # Without features all tokens are alike: beyond the length at which messages settle the largest marginal stays.
+            return self.plain(min(len(strengths), self.settled)), 0.0, None
         p = self.crf.marginals(strengths)
         return float(p.max()), float(p[p > 0.5].sum()), p
 
@@ -251,10 +270,11 @@ def train(docs: DataFrame, labels: DataFrame, most: dict[int, int] | None = None
     spark = docs.sparkSession
     sample = labelled(docs, labels, "toxic", most or SAMPLE).withColumn("label", F.col("label").cast("int"))
     lexicon = learn_lexicon(sample)
-    rows = sample.select("text", "label").mapInArrow(_training_windows(spark.sparkContext.broadcast(lexicon)), "label int, window binary").toArrow()
+    rows = sample.select("text", "label").mapInArrow(_training_windows(spark.sparkContext.broadcast(lexicon)), "label int, window binary")
+    rows = rows.groupBy("label", "window").agg(F.count(F.lit(1)).alias("count_all")).toArrow()
     if not len(rows):
         return Model(lexicon, Crf(np.array([-6.0, 4.0, 4.0, 2.0]), np.zeros((2, 2))), np.array([0.0, 1.0, 0.0]))
-    rows = rows.group_by(["label", "window"]).aggregate([([], "count_all")]).sort_by([("label", "ascending"), ("window", "ascending")])
+    rows = rows.sort_by([("label", "ascending"), ("window", "ascending")])
     s = np.stack([np.frombuffer(w.as_buffer(), "<f4").reshape(WINDOW, 2) for w in rows.column("window").combine_chunks()])
     y = ((s.max(-1) > 0) & (rows.column("label").to_numpy() == 1)[:, None]).astype(int)
     crf = Crf.train(Crf.features(s), y, rows.column("count_all").to_numpy().astype(float))
@@ -287,12 +307,9 @@ def _score(model, threshold: float):
         for b in batches:
             for first, w, hashes in _tokens(b.column("text")):
                 f = _strengths(m.lexicon, hashes)
-                any_feature = f.any(1)
-                count = np.concatenate([[0], np.cumsum(any_feature)])
                 scores, found = [], []
                 for i in range(len(w.ptr) - 1):
-                    a, z = w.ptr[i], w.ptr[i + 1]
-                    largest, expected, p = m.summary(f[a:z] if count[z] > count[a] else f[a : min(z, a + 64)])
+                    largest, expected, p = m.summary(f[w.ptr[i] : w.ptr[i + 1]])
                     scores.append(m.score(largest, expected))
                     found.append(_spans(w, i, p))
                 s = np.array(scores)
@@ -316,11 +333,11 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with all their columns."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
-    def run(batches):
-        for b in batches:
-            scores = np.concatenate([np.asarray(r.column("predicted")) for r in _score(model, THRESHOLD)([b])] or [np.zeros(0)])
-            yield b.filter(pa.array(scores == 0))
+    @F.arrow_udf("int")
+    def predicted(text: pa.Array) -> pa.Array:
+        rows = pa.RecordBatch.from_arrays([pa.nulls(len(text), pa.int64()), text], ["doc_id", "text"])
+        return pa.concat_arrays([r.column("predicted") for r in _score(shared, THRESHOLD)([rows])] or [pa.array([], pa.int32())])
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(predicted("text") == 0)

@@ -11,6 +11,8 @@ target share the weight that the named ones leave, in proportion to their tokens
 decided alike. Extra columns are carried.
 """
 
+import logging
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -26,17 +28,29 @@ KEEP = 0.8
 ROUNDS, ROUNDS_AT_ONCE, TOLERANCE = 24, 4, 1e-6
 
 
+def _count(text: Column, marks: str) -> Column:
+    """Occurrences of single characters, by plain replacement (no regular expression)."""
+    left = text
+    for c in marks:
+        left = F.replace(left, F.lit(c), F.lit(""))
+    return F.length(text) - F.length(left)
+
+
 def n_words(text: Column) -> Column:
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"^[ \t-\r]+|[ \t-\r]+$", "")
-    return F.when(t == "", 0).otherwise(F.size(F.split(t, r"[ \t-\r]+"))).cast("long")
+    """Words [^ \\t-\\r]+: white space becomes spaces, each run of spaces one mark, and marks between words are counted."""
+    t = F.coalesce(text, F.lit(""))
+    for c in "\t\n\x0b\x0c\r":
+        t = F.replace(t, F.lit(c), F.lit(" "))
+    t = F.trim(F.replace(t, F.lit("\x01"), F.lit("a")))
+    runs = F.replace(F.replace(t, F.lit(" "), F.lit(" \x01")), F.lit("\x01 "), F.lit(""))
+    return F.when(t == "", 0).otherwise(_count(runs, "\x01") + 1).cast("long")
 
 
 def topic_of(text: Column) -> Column:
     """A coarse topic from the text's own form: tabular, noisy or prose."""
-    head = F.coalesce(text, F.lit(""))
-    bars = F.length(head) - F.length(F.replace(head, F.lit("|"), F.lit("")))
-    marks = F.length(head) - F.length(F.translate(head, "!%$&*#", ""))
-    return F.when(bars * 40 >= F.length(head), F.when(bars > 0, "tabular").otherwise("prose")).when(marks * 40 >= F.length(head), "noisy").otherwise("prose")
+    t = F.coalesce(text, F.lit(""))
+    bars, marks = _count(t, "|"), _count(t, "!%$&*#")
+    return F.when(bars * 40 >= F.length(t), F.when(bars > 0, "tabular").otherwise("prose")).when(marks * 40 >= F.length(t), "noisy").otherwise("prose")
 
 
 def targets(cells: DataFrame, column: str, wanted: dict[str, float] | None, cap: float = SOURCE_CAP) -> DataFrame:
@@ -76,6 +90,8 @@ def fit(cells: DataFrame, margins: list[str], rounds: int = ROUNDS, tolerance: f
         error, most = (x or 0.0 for x in sums.agg(F.greatest(*errors, F.lit(0.0)), F.max(F.when(F.col("tokens") > 0, bounded / F.col("_share")))).first())
         if error <= tolerance:
             break
+    if error > tolerance:
+        logging.getLogger(__name__).warning("raking ended after %d rounds with margins off by up to %.2g", done, error)
     return w.withColumn("weight", bounded).drop("_free", "_share"), error, most
 
 

@@ -21,6 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Rows to a file of a staged table whose size is bounded by one that is known.
 FILE_ROWS = 250_000
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def staged(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
@@ -32,7 +33,13 @@ def staged(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/recordlens/{name}-{uuid.uuid4().hex}"
-    (df if most is None else df.coalesce(most // FILE_ROWS + 1)).write.parquet(path)
+    # What was shuffled for the table is not needed once it is written.
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        (df if most is None else df.coalesce(most // FILE_ROWS + 1)).write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out

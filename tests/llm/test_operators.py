@@ -170,8 +170,7 @@ def test_ngram_join(docs):
     assert {r.doc_id for r in kept.select("doc_id").collect()} == {i for i, _, c in want if i == c}
 
 
-def test_lz_dedup(docs):
-    rows = collected(docs)
+def cut_by_brute_force(rows):
     first = {}
     for i, t in rows:
         w = words(t)
@@ -187,9 +186,30 @@ def test_lz_dedup(docs):
             if i is not None and first[tuple(w[k : k + 13])] < i:
                 gone[k : k + 13] = [True] * 13
         want[(i, len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone, strict=True) if not g)).hexdigest())] += 1
+    return want
+
+
+@pytest.mark.parametrize(("bits", "frequent"), [(27, 64), (6, 64), (27, 2)])
+def test_lz_dedup(docs, bits, frequent):
+    """A full bitmap and salted shares change nothing."""
+    want = cut_by_brute_force(collected(docs))
     assert sum(v for (_, _, n, _), v in want.items() if n)
-    for bits in (27, 6):  # a full bitmap changes nothing
-        assert Counter(tuple(r) for r in lz_dedup.lz_dedup(docs, bits=bits).collect()) == want
+    assert Counter(tuple(r) for r in lz_dedup.lz_dedup(docs, bits=bits, frequent=frequent).collect()) == want
+
+
+def test_lz_dedup_of_repeated_ids(spark):
+    long = " ".join(f"w{k}" for k in range(200))
+    rows = [(1, long), (2, long), (2, "short one"), (2, "head " + long + " tail"), (3, " ".join(f"w{k}" for k in range(90, 110)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert Counter(tuple(r) for r in lz_dedup.lz_dedup(df).collect()) == cut_by_brute_force(rows)
+
+
+def test_lz_factors(spark):
+    a, b = ([f"{c}{k}" for k in range(30)] for c in "ab")
+    both = [*a[5:25], *b[3:30]]
+    rows = [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join([*a[20:30], *b[:10]])), (9, " ".join(["x", *both, "y"]))]
+    got = lz_dedup.lz_dedup(spark.createDataFrame(rows, "doc_id long, text string"), full=True).where("doc_id = 9").first()
+    assert got.kept == "x y" and [tuple(f) for f in got.factors] == [(1, 20, 1, 5), (21, 27, 2, 3)]
 
 
 def test_bpe_matches_the_library(docs):

@@ -201,7 +201,7 @@ def _found(rest: bool):
             tags = _lists(tag[keep], np.arange(m))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.concat_arrays([pa.array(mix(cols[1].to_numpy().view(np.uint64)).view(np.int64)) if k else pa.array([], pa.int64()), pa.array(anchor[keep])]),
+                    pa.concat_arrays([pa.array(mix(cols[1].to_numpy().view(np.uint64)).view(np.int64)) if k else pa.array([], pa.int64()), pa.array(tag[keep])]),  # from here on each window is dealt by its own hash
                     pa.array(np.zeros(n + m, bool)),
                     *(pa.concat_arrays([c, pa.array(x[keep], c.type) if x is not None else pa.nulls(m, c.type)]) for c, x in zip(cols, (doc, name, pos, None, None, None), strict=True)),
                     pa.concat_arrays([pa.nulls(n, tags.type), tags]),
@@ -224,7 +224,7 @@ def duplicate_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bits
     named = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("name"))
     rows = staged(named.mapInArrow(_index_rows(bitmaps, window, gram, bits), _INDEX), "windows")
     order = ("anchor", "tag", "doc_id", "pos")
-    hot = _windows_of(rows.where("often")).repartition("anchor", F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)))
+    hot = _windows_of(rows.where("often")).repartition("tag", F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)))
     hot = staged(hot.sortWithinPartitions(*order).mapInArrow(_found(True), _INDEX), "frequent-windows")
     rest = rows.where("not often").unionByName(hot)
     looked_up = _windows_of(rest.repartition("anchor")).sortWithinPartitions(*order).mapInArrow(_found(False), _RUN)

@@ -5,16 +5,17 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WORD = "A-Za-z0-9_"
+#: Letters and digits of any script, inside a character class.
+WORD = r"\p{L}\p{N}_"
 
 
 def term_pattern(term: str) -> str:
     """Java pattern of a whole word or phrase: any white space between words, an optional plural.
 
-    Case counts only for terms of more than one letter that are all capitals. Boundaries are ASCII.
+    Case counts only for terms of more than one letter that are all capitals; those (acronyms) have no plural.
     """
     body = r"\s+".join(re.escape(w) for w in term.split())
-    plural = "(?:s|es)?" if term[-1].isalpha() else ""
+    plural = "(?:s|es)?" if term[-1].isalpha() and not case_sensitive(term) else ""
     return f"{'' if case_sensitive(term) else '(?i)'}(?<![{WORD}]){body}{plural}(?![{WORD}])"
 
 

@@ -8,7 +8,9 @@ from ..functions import text as fx
 from .folds import chain
 
 # Spoken numbers and what captions make of them.
-UNITS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12, "thirteen": 13, "fourteen": 14, "fifteen": 15, "sixteen": 16, "seventeen": 17, "eighteen": 18, "nineteen": 19, "won": 1, "to": 2, "too": 2, "for": 4, "ate": 8}
+UNITS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12, "thirteen": 13, "fourteen": 14, "fifteen": 15, "sixteen": 16, "seventeen": 17, "eighteen": 18, "nineteen": 19}
+#: What captions make of a number, read as one only behind "next item is".
+HOMOPHONES = {"a": 8, "ate": 8, "won": 1, "to": 2, "too": 2, "for": 4}
 TENS = {"twenty": 20, "thirty": 30, "forty": 40, "fifty": 50}
 STOP = ["this", "that", "with", "from", "item", "number", "next"]
 NUMBER_WEIGHT, OVERLAP_WEIGHT, LEAST_OVERLAP = 2.5, 4.0, 0.2
@@ -31,7 +33,9 @@ def item_number(spoken: Column) -> Column:
 def anchors(segments: DataFrame) -> DataFrame:
     """(doc, seq, ts, number, tokens): segments that announce an item by its number."""
     said = F.regexp_extract("text", r"(?i)(?:item|number|agenda item)\s+(?:is\s+)?(?:number\s+)?([a-z0-9]+(?:[ -][a-z0-9]+){0,2})", 1)
-    a = segments.withColumn("number", item_number(said)).where("number is not null")
+    heard = F.regexp_extract("text", rf"(?i)\bnext item is (?:number |item )?({'|'.join(HOMOPHONES)})\b[ ,.]", 1)
+    number = F.coalesce(item_number(said), _lookup(F.lower(heard), HOMOPHONES).cast("string"))
+    a = segments.withColumn("number", number).where("number is not null")
     return a.select("doc", "seq", "ts", "number", fx.token_set(F.col("text"), STOP).alias("tokens"))
 
 
@@ -56,38 +60,44 @@ def aligned(segments: DataFrame, items: DataFrame) -> DataFrame:
     return best.withColumns({"start": F.col("ts"), "end": F.lead("ts").over(W.partitionBy("doc").orderBy("seq"))}).drop("ts")
 
 
-def merged_threads(sessions: DataFrame, least: float = 0.13, days: float = 14.0, back: int = 12) -> DataFrame:
-    """Adds thread to sessions (owner, session, start, profile: map term -> weight): greedy merge by profile overlap.
+def merged_threads(sessions: DataFrame, least: float = 0.13, days: float = 14.0, back: int = 12, top: int = 50) -> DataFrame:
+    """Adds thread to sessions (owner, session, start, end, counts: map term -> count): greedy merge by profile overlap.
 
-    A session joins the most similar of the owner's last ``back`` threads that is at most ``days`` old and at
-    least ``least`` similar; the thread's profile becomes the sum of both. Order decides, so an owner's
-    sessions are one fold.
+    A session joins the most similar of the last ``back`` threads that its owner has opened, if the thread's last turn is
+    at most ``days`` old and the overlap reaches ``least``; of equals the one opened last. A profile is the ``top`` terms of all the
+    thread's turns, so merging adds counts and takes the profile anew. Order decides: an owner's sessions are one fold.
     """
 
+    def profile(counts: dict) -> dict:
+        best = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:top]
+        whole = sum(n for _, n in best) or 1.0
+        return {t: n / whole for t, n in best}
+
     def run(key, table):
         import pyarrow as pa
 
         t = table.sort_by([("start", "ascending"), ("session", "ascending")])
-        threads, out = [], []
-        for start, profile in zip(t.column("start").to_pylist(), t.column("profile").to_pylist(), strict=True):
-            mine, best = dict(profile or []), (0.0, None)
-            for k in sorted(range(len(threads)), key=lambda k: -threads[k][0])[:back]:
-                last, theirs = threads[k]
+        threads, out = [], []  # the last turn's time, counts, profile; in the order of opening
+        for start, end, pairs in zip(*(t.column(c).to_pylist() for c in ("start", "end", "counts")), strict=True):
+            counts, best = dict(pairs or []), (0.0, None)
+            mine = profile(counts)
+            for k in range(len(threads) - 1, max(-1, len(threads) - 1 - back), -1):
+                last, _, theirs = threads[k]
                 total = sum(mine.values()) + sum(theirs.values())
                 sim = 2 * sum(min(w, theirs[x]) for x, w in mine.items() if x in theirs) / total if total else 0.0
-                if (start - last) // 86400 <= days and sim >= least and sim > best[0]:
+                if (start - last) // 86400 <= days and sim > best[0]:
                     best = (sim, k)
-            k = best[1]
-            if k is None:
+            sim, k = best
+            if k is None or sim < least:
                 k = len(threads)
-                threads.append((start, mine))
+                threads.append((end, counts, mine))
             else:
-                theirs = threads[k][1]
-                both = {x: mine.get(x, 0.0) + theirs.get(x, 0.0) for x in mine.keys() | theirs.keys()}
-                whole = sum(both.values()) or 1.0
-                threads[k] = (start, {x: w / whole for x, w in both.items()})
+                both = dict(threads[k][1])
+                for x, n in counts.items():
+                    both[x] = both.get(x, 0) + n
+                threads[k] = (end, both, profile(both))
             out.append(k)
-        return t.drop_columns(["profile"]).append_column("thread", pa.array(out, pa.int32()))
+        return t.drop_columns(["counts"]).append_column("thread", pa.array(out, pa.int32()))
 
-    names = [f"{n} {k}" for n, k in sessions.dtypes if n != "profile"]
+    names = [f"{n} {k}" for n, k in sessions.dtypes if n != "counts"]
     return sessions.groupBy("owner").applyInArrow(run, ", ".join([*names, "thread int"]))

@@ -31,6 +31,12 @@ def coverage(agenda: DataFrame, minutes: DataFrame, least: float = 0.34) -> Data
     return agenda.select(F.col("id").alias("left_id")).join(found, "left_id", "left").withColumn("exception", F.col("right_id").isNull())
 
 
+def roster_heard(listed: DataFrame, words: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds heard to the distinct ``listed`` names: whether ``words`` have them. Each task sends a name that it hears once."""
+    heard = words.select(*keys).distinct().withColumn("_heard", F.lit(True))
+    return listed.join(heard, keys, "left").withColumn("heard", F.coalesce("_heard", F.lit(False))).drop("_heard")
+
+
 def attendance(roll: DataFrame, spoken: DataFrame) -> DataFrame:
     """R6: the recorded roll (doc, present) against the members heard in the roll call (doc, heard)."""
     j = roll.join(spoken, "doc", "left").withColumn("heard", F.coalesce("heard", F.expr("cast(array() as array<string>)")))

@@ -83,17 +83,20 @@ def term_count(c: Column, term: str, exclusion: dict[str, str] | None = None) ->
 
 def counted(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Adds ``hits``: one struct (category, term, n) for each term that occurs."""
-    one = [
+    return docs.withColumn("hits", F.filter(F.array(*_counts(lexicon)), lambda h: h["n"] > 0))
+
+
+def _counts(lexicon: Lexicon) -> list[Column]:
+    return [
         F.struct(F.lit(category).alias("category"), F.lit(term).alias("term"), term_count(F.col("text"), term, lexicon.exclusions.get(term)).cast("long").alias("n"))
         for category, terms in lexicon.categories().items()
         for term in terms
     ]
-    return docs.withColumn("hits", F.filter(F.array(*one), lambda h: h["n"] > 0))
 
 
 def hits(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """One row for each document and term that occurs in it."""
-    return counted(docs, lexicon).select("*", F.inline("hits")).drop("hits")
+    return docs.select("*", F.inline(F.array(*_counts(lexicon)))).where("n > 0")
 
 
 def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -115,6 +118,13 @@ def rhetoric(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     return out.withColumns({"objectivity": F.when(both > 0, F.round(F.col("objective") / both, 6)), "dominant": dominant})
 
 
+def distinct_words(docs: DataFrame) -> DataFrame:
+    """doc_id, words: each word of a text once, without regard to case, in order and in its first spelling."""
+    w = docs.select("doc_id", F.posexplode(F.split(fx.collapse(F.col("text")), " ")).alias("k", "w"))
+    first = w.groupBy("doc_id", F.lower("w").alias("low")).agg(F.min(F.struct("k", "w")).alias("f"))
+    return first.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("f")), lambda f: f["w"]), " ").alias("words"))
+
+
 def claims(docs: DataFrame, types: dict[str, str], negation: str) -> DataFrame:
     """Sentences with at least one assertion type. They deny only if every type found is negated.
 
@@ -133,11 +143,14 @@ def theme_scores(docs: DataFrame, keywords: list[tuple[str, str, int]]) -> DataF
     """doc_id, theme, score: weight x min(n, 3), and the weight again from three occurrences; words match by beginning, phrases anywhere."""
 
     def n(kw: str) -> Column:
-        low = F.lower("text")
-        return F.regexp_count(low, F.lit(kw if " " in kw else f"(?<![a-z0-9_]){kw}"))
-
-    one = [F.struct(F.lit(theme).alias("theme"), (w * F.least(n(kw), F.lit(3)) + F.when(n(kw) >= 3, w).otherwise(0)).cast("long").alias("score")) for theme, kw, w in keywords]
-    return docs.select("doc_id", F.inline(F.array(*one))).where("score > 0").groupBy("doc_id", "theme").agg(F.sum("score").alias("score"))
+        return F.when(F.col("low").contains(kw), F.regexp_count("low", F.lit(kw if " " in kw else f"(?<![a-z0-9_]){kw}"))).otherwise(0)
+
+    one = [F.struct(F.lit(theme).alias("theme"), F.lit(w).alias("w"), n(kw).alias("n")) for theme, kw, w in keywords]
+    # Lower-cased once, by a generator that the optimizer does not copy into each count.
+    low = docs.select("doc_id", F.explode(F.array(F.lower("text"))).alias("low"))
+    found = low.select("doc_id", F.inline(F.array(*one))).where("n > 0")
+    score = F.col("w") * F.least("n", F.lit(3)) + F.when(F.col("n") >= 3, F.col("w")).otherwise(0)
+    return found.groupBy("doc_id", "theme").agg(F.sum(score).alias("score"))
 
 
 def primary_theme(docs: DataFrame, keywords: list[tuple[str, str, int]]) -> DataFrame:

@@ -25,17 +25,29 @@ def with_ratio(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(ratio_batches, ", ".join([*(f"{n} {k}" for n, k in pairs.dtypes), "ratio double"]))
 
 
-def resolve(names: DataFrame, members: DataFrame, least: float = 0.6, sound: float = 0.8, other_letter: float = 0.85) -> DataFrame:
-    """Each spoken name (name, mentions) with the best member (member), or null below ``least``.
+def resolve(names: DataFrame, members: DataFrame, least: float = 0.6, sound: float = 0.8, other_letter: float = 0.85, sure: float = 0.75) -> DataFrame:
+    """Each spoken name (body, title, name, mentions) with the best member of its body's roster (body, member, title), or null below ``least``.
 
-    The score is the matching-blocks ratio, at least ``sound`` for equal Soundex codes, times ``other_letter``
-    where first letters differ. ``members`` is one body's roster, a list of dozens by its nature.
+    A Mayor is the roster's mayor, whatever the name, and nobody else is. A Dr may be a member with that title or without
+    one; Mr, Mrs and Ms are no Dr. The score is the matching-blocks ratio, at least ``sound`` for equal Soundex codes; below
+    ``sure`` it is times ``other_letter`` where first letters differ. Ties go to the first member by name. Names meet only their own
+    body's members: dozens, by the nature of a roster.
     """
-    n, m = names.withColumn("x", F.lower("name")), members.select("member", F.lower("member").alias("y"))
-    scored = with_ratio(n.crossJoin(F.broadcast(m)).select("name", "mentions", "member", "x", "y"))
-    score = F.when(F.soundex("x") == F.soundex("y"), F.greatest("ratio", F.lit(sound))).otherwise(F.col("ratio")) * F.when(F.substring("x", 1, 1) == F.substring("y", 1, 1), 1.0).otherwise(other_letter)
-    ranked = scored.withColumn("score", F.round(score, 6)).withColumn("k", F.row_number().over(W.partitionBy("name").orderBy(F.desc("score"), "member"))).where("k = 1")
-    return ranked.select("name", "mentions", F.when(F.col("score") >= least, F.col("member")).alias("member"), "score")
+    n = names.withColumns({"x": F.lower("name"), "_title": F.regexp_replace("title", r"\.+$", "")}).drop("title")
+    mayor = members.where("title = 'Mayor'").groupBy("body").agg(F.min("member").alias("mayor"))
+    others = members.where("title is null or title <> 'Mayor'").select("body", "member", F.lower("member").alias("y"), F.col("title").alias("held"))
+    fits = F.when(F.col("_title") == "Dr", F.col("held").isNull() | (F.col("held") == "Dr")).when(F.col("_title").isin("Mr", "Mrs", "Ms"), F.col("held").isNull() | (F.col("held") != "Dr")).otherwise(True)
+    pairs = n.where("_title is null or _title <> 'Mayor'").join(others, "body").where(fits)
+    scored = with_ratio(pairs.select("body", "_title", "name", "member", "x", "y"))
+    r = F.when(F.soundex("x") == F.soundex("y"), F.greatest("ratio", F.lit(sound))).otherwise(F.col("ratio"))
+    scored = scored.withColumn("r", r).withColumn("score", F.when((F.substring("x", 1, 1) != F.substring("y", 1, 1)) & (F.col("r") < sure), F.col("r") * other_letter).otherwise(F.col("r")))
+    best = scored.groupBy("body", "_title", "name").agg(F.min(F.struct((-F.col("score")).alias("s"), "member")).alias("b"))
+    best = best.select("body", F.col("_title").alias("t"), F.col("name").alias("m"), F.col("b.member").alias("member"), (-F.col("b.s")).alias("score"))
+    j = n.join(best, (n["body"] == best["body"]) & n["_title"].eqNullSafe(best["t"]) & (n["name"] == best["m"]), "left").drop(best["body"]).join(mayor, "body", "left")
+    is_mayor = F.coalesce(F.col("_title") == "Mayor", F.lit(False))
+    member = F.when(is_mayor, F.col("mayor")).when(F.col("score") >= least, F.col("member"))
+    score = F.when(is_mayor, F.when(F.col("mayor").isNotNull(), 1.0)).when(F.col("score") >= least, F.round("score", 2))
+    return j.select("body", F.col("_title").alias("title"), "name", "mentions", member.alias("member"), score.alias("score"))
 
 
 def alias_table(resolved: DataFrame) -> DataFrame:

@@ -4,6 +4,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.text import WORD
+
+
+# Abbreviations whose period ends no sentence.
+ABBREVIATED = r"Dr|Mr|Mrs|Ms|St|No|Ave|Blvd|Inc|Co|Corp|Jr|Sr|U\.S|W\.S|Ltd|LLC"
+
 
 def first_arrivals(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The first row of each key: batch twin of admission by one key."""
@@ -38,9 +44,11 @@ def rescored(rows: DataFrame, threshold: float = 3.0, discount: float = 0.5, rea
 
 
 def clean_minutes(c: Column) -> Column:
-    """Plain quotes and dashes, words split at a hyphen joined, no space before commas."""
+    """Plain quotes and dashes, no period behind abbreviations, numbers and words split at a hyphen joined, no space before commas, votes' periods outside quotes."""
     c = F.translate(c, "’‘“”–—", "''\"\"--")
-    return F.regexp_replace(F.regexp_replace(c, "([A-Za-z])- +([a-z])", "$1-$2"), " +,", ",")
+    c = F.regexp_replace(c, rf"(?<![{WORD}])({ABBREVIATED})\.(?=\s)", "$1")
+    c = F.regexp_replace(F.regexp_replace(c, r"([0-9])-\s+([0-9])", "$1-$2"), f"([{WORD}]) -([{WORD}])", "$1-$2")
+    return F.replace(F.replace(F.regexp_replace(c, "[ \t]+,", ","), F.lit('"no."'), F.lit('"no".')), F.lit('"yes."'), F.lit('"yes".'))
 
 
 def long_date(c: Column, window: int) -> Column:

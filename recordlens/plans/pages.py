@@ -93,9 +93,9 @@ def t18_links(t):
     return px.links(t.pages).select("page_id", "ord", "href", "anchor")
 
 
-@query(r"select page_id, trim(regexp_replace(regexp_replace(substr(html, 1, 800), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) as line from pages")
+@query(r"select page_id, trim(regexp_replace(regexp_replace(html, '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) as line from pages")
 def t19_clean_line(t):
-    return t.pages.select("page_id", fx.collapse(F.regexp_replace(F.col("html").substr(1, 800), "<[^>]*>", "")).alias("line"))
+    return t.pages.select("page_id", fx.collapse(F.regexp_replace("html", "<[^>]*>", "")).alias("line"))
 
 
 @query(r"select page_id, regexp_replace(url || case when contains(url, '?') then '&' else '?' end || 'token=a' || page_id, '([?&](token|ref)=)[^&#\s]+', '\1[redacted]', 'g') as url from pages")

@@ -26,15 +26,9 @@ def g01_caption_lines(t):
     return g.select(F.col("doc").alias("doc_id"), "ord", "added", "lines")
 
 
-@query(r"""
-with recursive w as (select doc_id, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')[1:50] as l from documents),
-p as (
-  select doc_id, l, 1 as i, 1 as para, l[1] as text from w where len(l) > 0 and l[1] <> ''
-  union all
-  select doc_id, l, i + 1, case when length(text) + 1 + length(l[i + 1]) <= 40 then para else para + 1 end, case when length(text) + 1 + length(l[i + 1]) <= 40 then text || ' ' || l[i + 1] else l[i + 1] end from p where i < len(l))
-select doc_id, cast(para - 1 as integer) as ord, max_by(text, i) as text from p group by all""")
+@query()
 def g02_packed_paragraphs(t):
-    words = F.filter(F.slice(F.split(fx.collapse(F.col("text")), " "), 1, 50), lambda w: w != "")
+    words = F.filter(F.split(fx.collapse(F.col("text")), " "), lambda w: w != "")
     lines = F.transform(words, lambda w, i: F.struct(i.cast("double").alias("start"), w.alias("line")))
     return t.documents.select("doc_id", F.posexplode(folds.pack_lines(lines, 40)).alias("ord", "p")).select("doc_id", "ord", "p.text")
 
@@ -87,14 +81,10 @@ def w01_admission(t):
     return records.first_arrivals(e, ["sid"], "event_id").select("event_id")
 
 
-@query("""
-with e as (select event_id, user_id, row_number() over (partition by user_id order by event_id) - 1 as n from events where event_id % 17 <> 0 or event_id < 300),
-m as (select event_id, user_id, (select count(*) from events x where x.user_id = e.user_id and x.event_id < e.event_id) as seq, n from e)
-select event_id, user_id, cast(n + 1 as bigint) as cursor from m where seq = n""")
+@query("select event_id, user_id, row_number() over (partition by user_id order by event_id) as cursor from events")
 def w02_publication(t):
     numbered = t.events.select("event_id", "user_id", (F.row_number().over(W.partitionBy("user_id").orderBy("event_id")) - 1).cast("long").alias("sequence_no"))
-    arrived = numbered.where("event_id % 17 <> 0 or event_id < 300")
-    return records.contiguous(arrived, "user_id", "sequence_no").select("event_id", "user_id", (F.col("sequence_no") + 1).alias("cursor"))
+    return records.contiguous(numbered, "user_id", "sequence_no").select("event_id", "user_id", (F.col("sequence_no") + 1).alias("cursor"))
 
 
 _AUTH = r"'[A-Z][a-z]+tion'"
@@ -146,9 +136,16 @@ def d17_rescored(t):
     return records.rescored(d).select("doc_id", "score", "rescored", "transition")
 
 
-@query(r"select doc_id, regexp_replace(regexp_replace(translate(substr(text, 1, 500), '’‘“”–—', '''''\"\"--'), '([A-Za-z])- +([a-z])', '\1-\2', 'g'), ' +,', ',', 'g') as text from documents".replace(r"\"", '"'))
+_CLEAN = r"""
+with q as (select doc_id, translate(text, '’‘“”–—', concat(chr(39), chr(39), '""--')) as s from documents),
+a as (select doc_id, regexp_replace(s, '(^|[^\pL\pN_])(Dr|Mr|Mrs|Ms|St|No|Ave|Blvd|Inc|Co|Corp|Jr|Sr|U\.S|W\.S|Ltd|LLC)\.(\s)', '\1\2\3', 'g') as s from q),
+h as (select doc_id, regexp_replace(regexp_replace(s, '([0-9])-\s+([0-9])', '\1-\2', 'g'), '([\pL\pN_]) -([\pL\pN_])', '\1-\2', 'g') as s from a)
+select doc_id, replace(replace(regexp_replace(s, '[ \t]+,', ',', 'g'), '"no."', '"no".'), '"yes."', '"yes".') as text from h"""
+
+
+@query(_CLEAN)
 def t20_clean_minutes(t):
-    return t.documents.select("doc_id", records.clean_minutes(F.col("text").substr(1, 500)).alias("text"))
+    return t.documents.select("doc_id", records.clean_minutes(F.col("text")).alias("text"))
 
 
 @query("select doc_id, strftime(make_date(2000 + cast(doc_id % 26 as int), cast(1 + doc_id % 12 as int), cast(1 + doc_id % 28 as int)), '%Y-%m-%d') as printed from documents")
@@ -186,8 +183,10 @@ def t26_soundex(t):
 
 @query()
 def j12_resolved_names(t):
-    members = t.part.select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("member")).distinct()
-    spoken = t.part.groupBy(F.concat(F.substring("p_name", 1, 3), F.split_part("p_name", F.lit(" "), F.lit(2))).alias("name")).agg(F.count(F.lit(1)).alias("mentions"))
+    word = lambda k: F.split_part("p_name", F.lit(" "), F.lit(k))
+    titled = F.when(F.col("p_size") % 9 == 0, "Dr").when(F.col("p_size") % 9 == 1, "Mr.")
+    members = t.part.groupBy(F.col("p_brand").alias("body"), word(2).alias("member")).agg(F.min(titled).alias("title"))
+    spoken = t.part.groupBy(F.col("p_brand").alias("body"), titled.alias("title"), F.concat(F.substring("p_name", 1, 3), word(2)).alias("name")).agg(F.count(F.lit(1)).alias("mentions"))
     return names.resolve(spoken, members)
 
 

@@ -19,9 +19,9 @@ STOP = ["this", "that", "with", "from"]
 
 def _count(term: str) -> str:
     """DuckDB: occurrences of a term; separators are doubled because matches may not share one."""
-    plural = "(s|es)?" if term[-1].isalpha() else ""
+    plural = "(s|es)?" if term[-1].isalpha() and not fx.case_sensitive(term) else ""
     flag = "" if fx.case_sensitive(term) else "(?i)"
-    return f"len(regexp_extract_all(regexp_replace(text, '([^A-Za-z0-9_])', '\\1\\1', 'g'), '{flag}(^|[^A-Za-z0-9_]){term}{plural}([^A-Za-z0-9_]|$)'))"
+    return f"len(regexp_extract_all(regexp_replace(text, '([^\\pL\\pN_])', '\\1\\1', 'g'), '{flag}(^|[^\\pL\\pN_]){term}{plural}([^\\pL\\pN_]|$)'))"
 
 
 _HITS = " union all ".join(
@@ -70,7 +70,7 @@ def a03_rhetoric_profile(t):
 
 
 @query(r"""
-with m as (select doc_id, text, regexp_extract(text, '(?is)^(.*?(?:^|[^A-Za-z0-9_]))(this(?:s|es)?)(?:[^A-Za-z0-9_]|$)', ['pre', 'hit']) as g from documents),
+with m as (select doc_id, text, regexp_extract(text, '(?is)^(.*?(?:^|[^\pL\pN_]))(this(?:s|es)?)(?:[^\pL\pN_]|$)', ['pre', 'hit']) as g from documents),
 p as (select doc_id, text, length(g.pre) + 1 as a, length(g.pre) + length(g.hit) as z, g.hit from m),
 q as (select doc_id, text, greatest(a - 90, 1) as f, least(z + 90, length(text)) as l from p where hit <> '')
 select doc_id, (case when f > 1 then '…' else '' end) || trim(regexp_replace(substr(text, f, l - f + 1), '\s+', ' ', 'g')) || (case when l < length(text) then '…' else '' end) as snippet from q""")
@@ -79,11 +79,12 @@ def t02_snippet(t):
 
 
 @query(r"""
-with w as (select doc_id, string_split_regex(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')[1:60] as l from documents)
-select doc_id, array_to_string(list_filter(l, lambda x, i: list_position(list_transform(l, lambda y: lower(y)), lower(x)) = i), ' ') as words from w""")
+with w as (select doc_id, string_split_regex(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') as l from documents),
+p as (select doc_id, unnest(l) as w, generate_subscripts(l, 1) as k from w),
+f as (select doc_id, min(k) as k, arg_min(w, k) as w from p group by doc_id, lower(w))
+select doc_id, string_agg(w, ' ' order by k) as words from f group by doc_id""")
 def t03_distinct_words(t):
-    words = F.slice(F.split(fx.collapse(F.col("text")), " "), 1, 60)
-    return t.documents.select("doc_id", F.array_join(fx.distinct_ci(words), " ").alias("words"))
+    return lx.distinct_words(t.documents).select("doc_id", "words")
 
 
 @query("select doc_id, substr(sha256(source || chr(31) || text), 1, 16) as record_id, substr(sha1(source || '|' || lang || '|' || cast(doc_id as varchar)), 1, 16) as entry_id from documents")

@@ -155,7 +155,7 @@ def t35_open_asks(t):
     return d.withColumn("rank", F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc("turn"), "ask")).cast("long")).where("rank <= 6").select("conv_id", "ask", "rank")
 
 
-_TOK = "list_distinct(list_filter(regexp_extract_all(lower(substr(text, 1, 400)), '[a-z0-9]+'), lambda x: length(x) >= 4))"
+_TOK = "list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) >= 4))"
 
 
 @query(f"""
@@ -163,19 +163,19 @@ with d as (select doc_id, {_TOK} as t from documents), b as (select item_id, {_T
 x as (select item_id, len(t) as n, unnest(t) as w from b), y as (select doc_id, len(t) as n, unnest(t) as w from d),
 c as (select item_id, doc_id, x.n as ln, y.n as rn, count(*) as c from x join y using (w) group by all),
 s as (select item_id, doc_id, round(c / (ln + rn - c), 6) as similarity from c)
-select item_id as left_id, doc_id as right_id, similarity from (select *, row_number() over (partition by item_id order by similarity desc, doc_id) as k from s where similarity >= 0.05) where k = 1""")
+select item_id as left_id, doc_id as right_id, similarity from (select *, row_number() over (partition by item_id order by similarity desc, doc_id) as k from s where similarity >= 0.2) where k = 1""")
 def j04_best_match(t):
-    tok = F.array_distinct(fx.tokens(F.col("text").substr(1, 400), 4))
+    tok = F.array_distinct(fx.tokens(F.col("text"), 4))
     left = t.benchmark.select(F.col("item_id").alias("id"), tok.alias("tokens"))
     right = t.documents.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("ord"), tok.alias("tokens"))
-    return sm.best_match(left, right, 0.05, "ord")
+    return sm.best_match(left, right, 0.2, "ord")
 
 
 @query(f"""
 with d as (select doc_id, {_TOK} as t from documents)
 select a.doc_id, round(len(list_intersect(a.t, b.t)) / greatest(len(list_distinct(list_concat(a.t, b.t))), 1), 6) as similarity from d a join d b on b.doc_id = a.doc_id + 1""")
 def t28_title_similarity(t):
-    d = t.documents.select("doc_id", F.array_distinct(fx.tokens(F.col("text").substr(1, 400), 4)).alias("t"))
+    d = t.documents.select("doc_id", F.array_distinct(fx.tokens(F.col("text"), 4)).alias("t"))
     nxt = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("t").alias("u"))
     return d.join(nxt, "doc_id").select("doc_id", F.round(fx.jaccard(F.col("t"), F.col("u")), 6).alias("similarity"))
 

@@ -35,10 +35,17 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
 
 
 def transcripts(catalog: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(meetings with their text, meetings whose file is absent or not named), by file name."""
-    t = texts.select(F.element_at(F.split("path", "/"), -1).alias("_name"), "text")
-    c = catalog.withColumn("_name", F.element_at(F.split("file", "/"), -1))
-    return c.join(t, "_name").drop("_name"), c.join(t, "_name", "left_anti").drop("_name")
+    """(meetings with their text by date and body, meetings whose file is absent or not named).
+
+    ``file`` is a path below the folder of texts, or such a path's end: folders count, so equal names in two folders
+    are told apart. Of several files that fit, the first by path is taken.
+    """
+    parts = F.split("path", "/")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, -k, k), "/"))
+    names = texts.select("path", F.explode(ends).alias("_file")).join(catalog.select(F.col("file").alias("_file")).distinct(), "_file", "left_semi").groupBy("_file").agg(F.min("path").alias("path"))
+    t = names.join(texts.select("path", "text"), "path").drop("path")
+    c = catalog.withColumn("_file", F.col("file"))
+    return c.join(t, "_file").drop("_file").orderBy("date", "body"), c.join(t, "_file", "left_anti").drop("_file")
 
 
 def flatten_features(rows: DataFrame) -> DataFrame:

@@ -21,8 +21,18 @@ def append(records: DataFrame, path: str, key: str, text: str) -> None:
 
 
 def rebuild(records: DataFrame, path: str, key: str, text: str) -> None:
-    """Replace the sink by the records; the write commits as a whole or not at all."""
-    records.where(_filled(text, 0)).dropDuplicates([key]).write.mode("overwrite").json(path)
+    """Replace the sink by the records. They are written beside it first, and take its place by renaming once they are complete.
+
+    Until then the old records stay; a run that dies between the two renames leaves them in ``<path>.old``.
+    """
+    spark = records.sparkSession
+    to, new, old = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.new", f"{path}.old"))
+    records.where(_filled(text, 0)).dropDuplicates([key]).write.mode("overwrite").json(f"{path}.new")
+    fs = to.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(old, True)
+    if fs.exists(to) and not fs.rename(to, old) or not fs.rename(new, to):
+        raise OSError(f"cannot put {path}.new in the place of {path}")
+    fs.delete(old, True)
 
 
 def dead_letters(lines: DataFrame, schema: str, column: str = "value") -> tuple[DataFrame, DataFrame]:

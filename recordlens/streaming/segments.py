@@ -1,8 +1,8 @@
 """Live transcript segments: idempotent admission, ordered publication, sessions of turns.
 
 State is per feed or per session and grows only with what is still out of order, plus the keys that
-admission must remember; both can be bounded by a time to live. Without one, a missing sequence number
-is waited for without end, and released by a close event.
+admission must remember; both can be bounded by a time to live. Without one, what follows a missing sequence
+number is held without end.
 """
 
 from collections.abc import Iterator

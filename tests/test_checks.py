@@ -4,11 +4,12 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from recordlens.operators import alignment, checks
+from recordlens.functions import text as fx
+from recordlens.operators import alignment, checks, folds, names, records
 
 
 def test_item_numbers(spark):
-    said = {"7": "7", "seven": "7", "Twenty one": "21", "twenty": "20", "7b": "7B", "seven b": "7B", "for": "4", "hello": None, "thirty-two c": "32C"}
+    said = {"7": "7", "seven": "7", "Twenty one": "21", "twenty": "20", "7b": "7B", "seven b": "7B", "for": None, "to discuss": None, "hello": None, "thirty-two c": "32C"}
     got = {r.s: r.n for r in spark.createDataFrame([(s,) for s in said], "s string").withColumn("n", alignment.item_number(F.col("s"))).collect()}
     assert got == said
 
@@ -22,9 +23,57 @@ def test_aligned(spark):
 
 def test_merged_threads(spark):
     day = 86400
-    rows = [("a", 0, 0, {"x": 0.5, "y": 0.5}), ("a", 1, day, {"x": 0.5, "z": 0.5}), ("a", 2, 2 * day, {"q": 1.0}), ("a", 3, 40 * day, {"x": 1.0}), ("b", 0, 0, {})]
-    got = {(r.owner, r.session): r.thread for r in alignment.merged_threads(spark.createDataFrame(rows, "owner string, session int, start long, profile map<string,double>")).collect()}
-    assert got == {("a", 0): 0, ("a", 1): 0, ("a", 2): 1, ("a", 3): 2, ("b", 0): 0}
+    rows = [("a", 0, 0, 9, {"x": 1, "y": 1}), ("a", 1, day, 30 * day, {"x": 1, "z": 1}), ("a", 2, 2 * day, 2 * day, {"q": 1}), ("a", 3, 40 * day, 40 * day, {"x": 1}), ("a", 4, 70 * day, 70 * day, {"x": 1}), ("b", 0, 0, 0, {})]
+    df = spark.createDataFrame(rows, "owner string, session int, start long, end long, counts map<string,int>")
+    got = {(r.owner, r.session): r.thread for r in alignment.merged_threads(df).collect()}
+    # Session 3 is near the last turn of thread 0, not its start; session 4 is too late.
+    assert got == {("a", 0): 0, ("a", 1): 0, ("a", 2): 1, ("a", 3): 0, ("a", 4): 2, ("b", 0): 0}
+    many = [("a", k, k * 60, k * 60, {f"t{k}": 1} if k else {"x": 1}) for k in range(13)] + [("a", 13, 2000, 2000, {"x": 1})]
+    got = alignment.merged_threads(spark.createDataFrame(many, df.schema)).where("session = 13").first()
+    assert got.thread == 13  # twelve threads were opened since
+
+
+def test_homophones(spark):
+    said = [("Next item is for, the fence", "4"), ("next item is number a.", "8"), ("an item to discuss", None), ("won the item", None)]
+    seg = spark.createDataFrame([(1, k, k, s) for k, (s, _) in enumerate(said)], "doc int, seq int, ts int, text string")
+    assert {r.seq: r.number for r in alignment.anchors(seg).collect()} == {k: n for k, (_, n) in enumerate(said) if n}
+
+
+def test_resolved_names(spark):
+    members = spark.createDataFrame([("c", "Rinner", None), ("c", "Allard", "Dr"), ("c", "Kramer", "Mayor"), ("c", "Brook", None)], "body string, member string, title string")
+    said = [("Mr.", "Rinder", "Rinner", 0.83), ("Dr.", "Alard", "Allard", 0.91), ("Mr", "Alard", None, None), ("Mayor", "Somebody", "Kramer", 1.0), ("Ms", "Crook", "Brook", 0.8), ("Mr", "Kramer", None, None)]
+    names_ = spark.createDataFrame([("c", t, n, 1) for t, n, _, _ in said], "body string, title string, name string, mentions long")
+    got = {(r.title, r.name): (r.member, r.score) for r in names.resolve(names_, members).collect()}
+    for t, n, member, score in said:
+        assert got[(t.rstrip("."), n)][0] == member and (score is None or got[(t.rstrip("."), n)][1] == score), (t, n, got)
+
+
+def test_clean_minutes(spark):
+    said = {"Dr. Ames moved 15- 1-402": "Dr Ames moved 15-1-402", "owner -occupied, Mr. X": "owner-occupied, Mr X", 'A , B voted "no."': 'A, B voted "no".', "re- turn": "re- turn"}
+    got = {r.s: r.c for r in spark.createDataFrame([(s,) for s in said], "s string").withColumn("c", records.clean_minutes(F.col("s"))).collect()}
+    assert got == said
+
+
+def test_contiguous(spark):
+    rows = [("s", 0), ("s", 1), ("s", 3), ("t", 1), ("u", 0)]
+    got = records.contiguous(spark.createDataFrame(rows, "session string, n long"), "session", "n").collect()
+    assert {tuple(r) for r in got} == {("s", 0), ("s", 1), ("u", 0)}
+
+
+def test_term_plurals(spark):
+    said = [("LEADS spoke; leads", "LEADS", 1), ("CATs and CAT", "CAT", 1), ("warrants, warrant, warranty", "warrant", 2), ("éclair clair", "clair", 1)]
+    for s, term, n in said:
+        assert spark.createDataFrame([(s,)], "s string").select(fx.count_term(F.col("s"), term)).first()[0] == n, s
+
+
+def test_packed_paragraphs(spark):
+    text = " ".join(f"word{k}" for k in range(3000))
+    lines = F.transform(F.split("s", " "), lambda w, i: F.struct(i.cast("double").alias("start"), w.alias("line")))
+    got = [r.text for r in spark.createDataFrame([(text,)], "s string").select(F.explode(folds.pack_lines(lines, 40)).alias("p")).select("p.text").collect()]
+    want = [""]
+    for w in text.split():
+        want = [*want[:-1], f"{want[-1]} {w}".strip()] if len(want[-1]) + 1 + len(w) <= 40 or not want[-1] else [*want, w]
+    assert got == want
 
 
 def test_postponements(spark):

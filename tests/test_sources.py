@@ -31,11 +31,13 @@ def test_paged_features(spark):
 
 
 def test_catalog_and_transcripts(spark, tmp_path):
-    (tmp_path / "t").mkdir()
-    (tmp_path / "t" / "a.md").write_text("---\n[00:00:01] hello")
+    (tmp_path / "t" / "x").mkdir(parents=True)
+    (tmp_path / "t" / "y").mkdir()
+    (tmp_path / "t" / "x" / "a.md").write_text("---\n[00:00:01] hello")
+    (tmp_path / "t" / "y" / "a.md").write_text("---\n[00:00:01] another")
     (tmp_path / "m.json").write_text(json.dumps([{"date": "2026-01-05", "body": "council", "file": "x/a.md"}, {"date": "2026-01-06", "body": "council", "file": None}, {"date": "2026-01-07", "body": "c", "file": "b.md"}]))
     found, missing = files.transcripts(files.read_catalog(spark, str(tmp_path / "m.json")), files.read_texts(spark, str(tmp_path / "t"), "*.md"))
-    assert [r.date for r in found.collect()] == ["2026-01-05"] and sorted(r.date for r in missing.collect()) == ["2026-01-06", "2026-01-07"]
+    assert [(r.date, r.text[-5:]) for r in found.collect()] == [("2026-01-05", "hello")] and sorted(r.date for r in missing.collect()) == ["2026-01-06", "2026-01-07"]
 
 
 def test_csv(spark, tmp_path):

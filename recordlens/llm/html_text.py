@@ -3,7 +3,9 @@
 A page becomes a row of text blocks with their place in the DOM. A linear classifier gives each block
 the cost of calling it content and of calling it boilerplate; these are the capacities of its edges to
 the two terminals. Neighbouring blocks, and blocks of one parent, are joined by smoothness edges that
-grow with their DOM proximity. A minimum cut (maximum flow) parts content from boilerplate.
+grow with their DOM proximity: they halve with each step of the way between them, and are weak across the
+border of an element that is marked as boilerplate. A minimum cut (maximum flow) parts content from
+boilerplate: a short line among paragraphs stays with them, one among menu lines goes with those.
 
 Null html is empty. A page without content has the text ''. Unclosed and truncated markup ends where
 its parent ends. Repeated rows are extracted alike. Extra columns are ignored.
@@ -34,7 +36,9 @@ BAD_NAME = re.compile(
 )
 GOOD, BAD = 1.5, -7.0
 ROLES = {"navigation": -7.0, "banner": -5.0, "contentinfo": -7.0, "complementary": -7.0, "search": -6.0, "alert": -6.0, "dialog": -6.0, "alertdialog": -6.0, "menu": -6.0, "menubar": -6.0, "form": -5.0, "main": 2.5, "article": 4.0}
-SMOOTH_NEXT, SMOOTH_SIBLING = 1.2, 0.6
+SMOOTH_NEXT, SMOOTH_SIBLING = 3.0, 1.5
+#: An element whose own odds are at most this is marked as boilerplate; an edge across its border keeps this share.
+MARKED, ACROSS = -4.0, 0.05
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:(?<=/)>|>.*?(?:</(?P=raw)\s*>|\Z))|<!\[CDATA\[.*?\]\]>|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</[^>]*(?:>|\Z)",
@@ -45,11 +49,12 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s
 
 
 class _Element:
-    __slots__ = ("name", "odds", "parent", "depth", "inside_article", "number")
+    __slots__ = ("name", "odds", "parent", "depth", "inside_article", "number", "marked")
 
     def __init__(self, name: str, odds: float, parent: "_Element | None", inside_article: bool, number: int):
         self.name, self.odds, self.parent, self.inside_article, self.number = name, odds, parent, inside_article, number
         self.depth = parent.depth + 1 if parent else 0
+        self.marked = parent is not None and odds - parent.odds <= MARKED
 
 
 def _odds(name: str, attrs: str, inside_article: bool) -> float:
@@ -143,14 +148,14 @@ def blocks(html: str) -> list[tuple[str, float, _Element, int]]:
 
 
 def _proximity(a: _Element, b: _Element) -> float:
-    """Shared part of the two paths to the root, 1 for blocks of one parent."""
-    deepest = max(a.depth, b.depth)
+    """1 for blocks of one parent, half for each further step of the way between them, less across a marked border."""
+    steps, out = 0, 1.0
     while a is not b:
-        if a.depth >= b.depth:
-            a = a.parent
-        else:
-            b = b.parent
-    return (a.depth + 1) / max(1, deepest)
+        if a.depth < b.depth:
+            a, b = b, a
+        out *= ACROSS if a.marked else 1.0
+        a, steps = a.parent, steps + 1
+    return out * 0.5 ** max(0, steps - 2)
 
 
 def label(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -232,7 +237,7 @@ def main_text(html: str) -> str:
             edges.append((k - 1, k, SMOOTH_NEXT * _proximity(found[k - 1][2], element)))
         parent = element.parent.number if element.parent else 0
         if parent in last_of and last_of[parent] < k - 1:
-            edges.append((last_of[parent], k, SMOOTH_SIBLING))
+            edges.append((last_of[parent], k, SMOOTH_SIBLING * _proximity(found[last_of[parent]][2], element)))
         last_of[parent] = k
     keep = label([o for _, o, _, _ in found], edges)
     return "\n".join(text for (text, _, _, _), yes in zip(found, keep, strict=True) if yes)

@@ -302,6 +302,18 @@ def test_html_min_cut_is_minimal():
         assert cost(html_text.label(odds, edges)) == pytest.approx(best)
 
 
+def test_html_neighbours_decide(monkeypatch):
+    flows, cut = [], html_text._min_cut
+    monkeypatch.setattr(html_text, "_min_cut", lambda *a: flows.append(1) or cut(*a))
+    long = "Some words of a paragraph. " * 12
+    page = f"<body><nav><a href=/>Home</a></nav><div><p>{long}</p><div>Yes.</div><div>No.</div><p>{long}</p></div><div class=ad>Buy it.</div><footer>All rights</footer></body>"
+    own = {text: odds > 0 for text, odds, _, _ in html_text.blocks(page)}
+    assert not own["Yes."] and html_text.main_text(page) == "\n".join([long.strip(), "Yes.", "No.", long.strip()]) and flows
+    ad = f"<article><p>{long}</p><div class='ad'>Buy this now.</div><p>{long}</p><aside>See more</aside><p>{long}</p></article>"
+    assert html_text.main_text(ad) == "\n".join([long.strip()] * 3)
+    assert html_text.main_text("<ul>" + "<li><a href=/>Menu</a></li>" * 5 + "<li>Top</li></ul>") == ""
+
+
 def test_html_main_text(spark):
     page = (
         '<html><head><title>t</title><script>var a = "</p>";</script></head><body><nav><ul><li><a href="/a">Home</a></li></ul></nav><div class="ad">Buy this now, it is a very good thing to buy.</div>'

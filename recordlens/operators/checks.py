@@ -1,6 +1,6 @@
 """Checks of independent records against each other; each adds an ``exception``."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -61,6 +61,34 @@ def grounded_citations(spoken: DataFrame, official: DataFrame) -> DataFrame:
     return j.select("doc", "ord", "role", "citation", status.alias("status"), F.when(F.col("exact"), F.col("citation")).otherwise(F.col("other")).alias("official"), (status == "ungrounded").alias("exception"))
 
 
+# The statute on closed sessions, and the wording of its purposes by subsection.
+CLOSED_STATUTE = "16-4-405"
+ROMAN = ["i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x", "xi", "xii", "xiii"]
+PURPOSES = {
+    1: r"threat to the security|right of access", 2: r"appointment, employment|dismissal of a public officer|personnel", 3: r"litigation",
+    7: r"selection of a site|purchase of real estate|real estate", 8: r"gifts, donations", 9: r"classified as confidential by law",
+    10: r"wages|salaries|terms of employment", 12: r"security planning",
+}
+
+
+def cited_basis(text: Column) -> Column:
+    """Sorted subsections that a written text cites, in roman or arabic numbers: 16-4-405(a)(iii), (a)(3)."""
+    said = F.regexp_extract_all(F.regexp_replace(text, r"-\s+", "-"), F.lit(rf"(?i){CLOSED_STATUTE}\s*\(?a\)?\s*\(?([ivx]+|\d+)\)?"), 1)
+    roman = F.create_map(*[F.lit(x) for k, v in enumerate(ROMAN, 1) for x in (v, k)])
+    numbers = F.transform(said, lambda v: F.coalesce(F.try_element_at(roman, F.lower(v)), v.try_cast("int")))
+    return F.array_sort(F.array_distinct(F.filter(numbers, lambda n: n > 0)))
+
+
+def spoken_basis(text: Column) -> tuple[Column, Column]:
+    """(subsections, purposes by their wording) of a spoken motion as captions write it: 164405A7, 16 4 405 a 10."""
+    flat = F.regexp_replace(F.regexp_replace(text, r"\[[^\]]{0,40}\]|>>", " "), r"\s+", " ")
+    flat = F.regexp_replace(flat, r"\b16\s?-?\s?4\s?-?\s?405", CLOSED_STATUTE)
+    said = F.regexp_extract_all(flat, F.lit(rf"(?i){CLOSED_STATUTE}\s*\(?\s*a\s*\)?\s*\(?\s*(\d{{1,2}})\b"), 1)
+    numbers = F.filter(F.transform(said, lambda v: v.cast("int")), lambda n: n.between(1, len(ROMAN)))
+    purposes = F.array(*[F.when(flat.rlike(f"(?i){p}"), F.lit(k)) for k, p in PURPOSES.items()])
+    return F.array_sort(F.array_distinct(numbers)), F.filter(purposes, lambda k: k.isNotNull())
+
+
 def session_basis(rows: DataFrame) -> DataFrame:
     """R8: the legal basis of closed sessions (doc, agenda, minutes, speech: cited subsections): whether all that cite one agree."""
     cited = F.filter(F.array("agenda", "minutes", "speech"), lambda a: F.size(a) > 0)

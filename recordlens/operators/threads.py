@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-
 def by_turn():
     return W.partitionBy("conv_id").orderBy("turn")
 
@@ -55,6 +54,89 @@ def turn_scores(turns: DataFrame, markers: dict[str, tuple[str, int]], confirm:
     return t.select(*turns.columns, score.alias("score"), F.transform("hits", lambda h: h["reason"]).alias("reasons"))
 
 
+# What an answer shows, with the points it gives. Those of ``low`` lists are sought in the lower-cased answer.
+RICHNESS = [
+    (r"^#{1,4}\s", 4, "structured answer with headings"),
+    (r"(?:^|\n)\s*[-*•]\s", 3, "structured answer with bullets"),
+    (r"\bhttps?://", 3, "answer carried links to sources"),
+    (r"\b\d{2,}(?:\.\d+)?\s*(?:%|million|usd|\$|acres|units|feet|sq)", 3, "answer carried hard figures"),
+    (r"\b(?:Wyo\.?\s*Stat|W\.S\.|§|CFR|U\.?S\.?C\.?)\b", 4, "cited statute or code"),
+    (r"\b(?:because|therefore|which means|the reason)\b", 2, "answer explained reasoning"),
+    (r"\bI (?:searched|looked up|checked|reviewed|analyzed)\b", 3, "answer reported source work"),
+]
+DELIVERED = [
+    (r"\|\s*-{3,}", 10, "delivered a table"),
+    (r"```", 8, "delivered code"),
+    (r"\b(?:here(?:'s| is) (?:the|a) (?:complete|full|final|finished|step-by-step))", 12, "declared complete deliverable"),
+    (r"\bstep 1\b.*\bstep \d\b", 8, "delivered numbered procedure"),
+    (r"^\s*\d+\.\s", 5, "delivered an ordered list"),
+    (r"\b(?:final|finished|ready to (?:file|send|submit))\b", 8, "final-form language"),
+    (r"\b(?:draft|template|checklist|playbook|script)\b", 6, "produced a reusable artifact"),
+    (r"\.(?:md|pdf|docx|html|py|json|csv)\b", 6, "references a produced file"),
+    (r"\b(?:cite|citation|source:|per the record|statute §|wy\.? stat)", 5, "grounded in sources"),
+]
+OPEN = [
+    (r"\bwould you like me to\b", -12, "assistant asked whether to continue"),
+    (r"\b(?:do you want me to|shall i|should i)\b", -12, "assistant asked whether to continue"),
+    (r"\blet me know (?:if|what|which)\b", -8, "assistant waiting on your input"),
+    (r"\bwhich (?:would you|do you) prefer\b", -8, "assistant offered a choice"),
+    (r"\b(?:option a|option b|option 1)\b", -6, "assistant presented options"),
+    (r"\bnext steps?:\s*$", -4, "declared next steps pending"),
+    (r"\b(?:to be continued|part 1 of|continued in)\b", -14, "explicitly part of a longer series"),
+]
+FAILED = [
+    (r"\bi (?:can(?:no|')t|am unable|'m unable|am not able)", -18, "model declined or was unable"),
+    (r"\bi don'?t have (?:enough|access|the ability)", -16, "model lacked information or access"),
+    (r"as an ai\b", -10, "boilerplate capability disclaimer"),
+    (r"\b(?:error|failed|timed out|blocked)\b", -6, "error surfaced in response"),
+    (r"\bi (?:may have|might have) (?:missed|misunderstood)", -6, "assistant flagged its own gap"),
+]
+CONFIRMS = ["perfect", "thank you", "thanks", "great", "exactly", "that works", "awesome", "got it", "yes that's", "nailed", "beautiful", "correct"]
+REJECTS = ["no,", "no ", "nope", "that's not", "thats not", "wrong", "try again", "i meant", "not what i", "you're wrong", "youre wrong", "stop", "again"]
+# Points of an answer's length (more than n characters, or fewer), and of the thread's course.
+LONGER, SHORTER = [(8000, 12, "very long, developed answer (>8k chars)"), (3000, 8, "developed answer (>3k chars)"), (800, 3, None)], [(200, -18, "thin answer (<200 chars)"), (400, -8, "brief answer (<400 chars)")]
+START, CONFIRMED, REJECTED, AWAITING, LANDED, DELIVERY, MOST_NEGATIVE, LARGEST_RELIEF = 45, 16, -14, -10, 8, 10, 32, 18
+AWAITS = "would you like me to|let me know if"
+
+
+def progress_scores(pairs: DataFrame) -> DataFrame:
+    """(conv_id, turn, score 0-100, reasons) of pairs (conv_id, turn, prompt, output): how far each answer brought its thread.
+
+    Points come from the answer's length and markers, and from the next prompt (it confirms or rejects); the last turn is
+    judged by whether it ends on a question or a delivery. Negative points of markers beyond a limit are given back in part.
+    A null answer counts as empty. One window over each thread, every marker one expression of a single projection.
+    """
+    out, low = F.col("_out"), F.lower("_out")
+
+    def hits(of: Column, markers) -> list[Column]:
+        return [F.when(of.rlike("(?im)" + p), F.struct(F.lit(name).alias("signal"), F.lit(n).alias("delta"))) for p, n, name in markers]
+
+    def total(c: str) -> Column:
+        return F.aggregate(c, F.lit(0), lambda a, h: a + h["delta"])
+
+    present = lambda *c: F.filter(F.array(*c), lambda h: h.isNotNull())
+    said = lambda n, name: F.struct(F.lit(name).alias("signal"), F.lit(n).alias("delta"))
+    size = F.length(out)
+    length = reduce(lambda acc, b: acc.when(size > b[0], said(b[1], b[2])), LONGER[1:], F.when(size > LONGER[0][0], said(*LONGER[0][1:])))
+    length = reduce(lambda acc, b: acc.when(size < b[0], said(b[1], b[2])), SHORTER, length)
+    w = W.partitionBy("conv_id").orderBy("turn")
+    p = pairs.select("conv_id", "turn", F.coalesce("output", F.lit("")).alias("_out"), F.trim(F.lower(F.coalesce(F.lead("prompt").over(w), F.lit("")))).alias("_next"), F.lead("turn").over(w).isNull().alias("_last"))
+    p = p.withColumns({"_len": present(length), "_rich": present(*hits(out, RICHNESS)), "_done": present(*hits(out, DELIVERED)), "_bad": present(*hits(low, OPEN + FAILED))})
+    starts = lambda words: reduce(lambda a, b: a | b, [F.col("_next").startswith(x) for x in words])
+    yes = ~F.col("_last") & starts(CONFIRMS)
+    waits = F.right(out, F.lit(400)).contains("?") | F.right(out, F.lit(600)).rlike(f"(?i){AWAITS}")
+    course = present(
+        F.when(yes, said(CONFIRMED, "you confirmed the result before moving on")),
+        F.when(~F.col("_last") & starts(REJECTS), said(REJECTED, "you rejected or re-aimed the answer next turn")),
+        F.when(F.col("_last") & waits, said(AWAITING, "thread ends awaiting your direction")),
+        F.when(F.col("_last") & (total("_done") >= DELIVERY), said(LANDED, "thread ends on a delivered artifact")),
+    )
+    relief = F.greatest(F.lit(0), F.least(F.lit(LARGEST_RELIEF), -total("_bad") - MOST_NEGATIVE))
+    p = p.withColumns({"_all": F.concat("_len", "_rich", "_done", "_bad", course), "_relief": relief})
+    score = F.greatest(F.lit(0), F.least(F.lit(100), START + total("_all") + F.col("_relief")))
+    return p.select("conv_id", "turn", score.alias("score"), F.filter(F.transform("_all", lambda h: h["signal"]), lambda x: x.isNotNull()).alias("reasons"))
+
+
 def completeness(scores: DataFrame) -> DataFrame:
     """Per thread: recency-weighted mean of scores mixed with the last one, a bonus for volume, and a label."""
     w = W.partitionBy("conv_id")

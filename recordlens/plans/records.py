@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as fx
-from ..operators import folds, names, records
+from ..operators import folds, minutes, names, records
 from ..operators import lexicon as lx
 from .base import query
 
@@ -201,3 +201,52 @@ select s_nationkey as member, count(distinct s_suppkey) as meetings, arg_min(tit
 def a04_roster(t):
     m = t.supplier.select(F.col("s_suppkey").alias("ord"), F.array(F.struct(F.col("s_nationkey").alias("name"), F.concat(F.lit("Mr"), (F.col("s_nationkey") % 3).cast("string")).alias("title"))).alias("present"))
     return names.roster(m.withColumn("absent", F.slice("present", 1, 0)))
+
+
+def _minutes_sql() -> tuple[str, str]:
+    """Descriptions of entries, and repaired texts, from the same fixed values."""
+    kind = "case " + " ".join(f"when regexp_matches(substr(body, 1, 220), '{p}') then '{k}'" for k, p in minutes.KINDS) + " else 'other' end"
+    reading = "case said " + " ".join(f"when '{w}' then {n}" for w, n in minutes.READINGS.items()) + " end"
+    end = minutes.TITLE_END
+    described = rf"""
+with b as (select doc_id, text, regexp_replace(text, '^\[CA\]\s*', '') as body, lower(regexp_extract(substr(text, 1, 120), '(1st|2nd|3rd|first|second|third) READING', 1, 'i')) as said from documents)
+select doc_id, {kind} as kind, cast({reading} as integer) as reading, starts_with(text, '[CA]') or contains(text, 'per Consent Agenda') as consent,
+  regexp_replace(trim(regexp_replace(case when regexp_matches(body, '{end}') then regexp_extract(body, '(?s)^(.*?)(?:{end})', 1) else substr(body, 1, 400) end, '\s+', ' ', 'g')), '[ .]+$', '') as title from b"""
+    text = r"regexp_replace(text, '\bD r\b', 'Dr', 'g')"
+    for w in sorted({*minutes.VOCABULARY, *_SPLIT}, key=lambda w: (-len(w), w)):
+        text = rf"regexp_replace({text}, '\b{(chr(92) + 's?').join(w)}\b', '{w}', 'g')"
+    return described, f"select doc_id, md5({text}) as repaired from documents"
+
+
+_SPLIT = ["thing", "tion", "haben"]
+_DESCRIBED, _REPAIRED = _minutes_sql()
+
+
+@query(_DESCRIBED)
+def d04_described(t):
+    return minutes.described(t.documents).select("doc_id", "kind", "reading", "consent", "title")
+
+
+@query(_REPAIRED)
+def t21_repaired(t):
+    return t.documents.select("doc_id", F.md5(minutes.repaired(F.col("text"), [*minutes.VOCABULARY, *_SPLIT])).alias("repaired"))
+
+
+@query(rf"""
+with f as (select item_id, regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '\.+$', '') as flat from benchmark),
+p as (select item_id, list_filter(list_transform(string_split_regex(flat, ',\s*|\s+and\s+'), lambda x: trim(x)), lambda x: x <> '') as p from f),
+u as (select item_id, unnest(p) as p, generate_subscripts(p, 1) as k from p),
+g as (select *, sum(case when k > 1 and (regexp_matches(p, '{minutes.GLUED}') or len(string_split(p, ' ')) > 4) then 0 else 1 end) over (partition by item_id order by k) as person from u)
+select item_id, cast(person - 1 as integer) as ord, string_agg(p, ', ' order by k) as person from g group by item_id, g.person""")
+def t22_people(t):
+    return t.benchmark.select("item_id", F.posexplode(minutes.people(F.col("text"))).alias("ord", "person"))
+
+
+@query()
+def g09_entries(t):
+    return minutes.entries(t.documents.withColumnRenamed("doc_id", "doc")).withColumnRenamed("doc", "doc_id")
+
+
+@query()
+def d05_parsed(t):
+    return minutes.parsed(t.documents.select(F.col("doc_id").alias("doc"), "text")).select(F.col("doc").alias("doc_id"), "seq", "kind", "reading", "consent", "title")

@@ -7,7 +7,7 @@ from ..functions import text as fx
 from ..operators import lexicon as lx
 from ..operators import similarity as sm
 from ..operators import threads as th
-from ..sources import sinks
+from ..sources import files, sinks
 from .base import query
 
 _CLEAN = """
@@ -60,6 +60,30 @@ def a20_turn_scores(t):
     return _scores(t).select("conv_id", "turn", "score", F.array_join("reasons", ",").alias("reasons"))
 
 
+def _progress_sql() -> str:
+    """Scores of paired turns, from the same fixed values."""
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    points = lambda of, marks: " + ".join(f"case when regexp_matches({of}, {q('(?im)' + p)}) then {n} else 0 end" for p, n, _ in marks)
+    length = "case " + " ".join([f"when length(o) > {n} then {d}" for n, d, _ in th.LONGER] + [f"when length(o) < {n} then {d}" for n, d, _ in th.SHORTER]) + " else 0 end"
+    starts = lambda words: "(" + " or ".join(f"starts_with(nxt, {q(x)})" for x in words) + ")"
+    return f"""
+with f as (select *, lag(role) over w as r0, lag(text) over w as t0 from conversations where length(text) >= 8 window w as (partition by conv_id order by turn)),
+t as (select conv_id, turn, role, text, lag(role) over w as prev, lead(role) over w as next, lead(text) over w as answer from f
+  where not (role is not distinct from r0 and text is not distinct from t0) window w as (partition by conv_id order by turn)),
+p as (select conv_id, turn, text as prompt, case when next = 'assistant' then answer end as output from t where role = 'user'
+  union all select conv_id, turn, null, text from t where role = 'assistant' and (prev is null or prev <> 'user')),
+n as (select conv_id, turn, coalesce(output, '') as o, lower(coalesce(output, '')) as lo, trim(lower(coalesce(lead(prompt) over w, ''))) as nxt, lead(turn) over w is null as last from p window w as (partition by conv_id order by turn)),
+s as (select *, {length} as len, {points("o", th.RICHNESS)} as rich, {points("o", th.DELIVERED)} as done, {points("lo", th.OPEN + th.FAILED)} as bad from n),
+c as (select *, case when not last and {starts(th.CONFIRMS)} then {th.CONFIRMED} else 0 end + case when not last and {starts(th.REJECTS)} then {th.REJECTED} else 0 end
+  + case when last and (contains(right(o, 400), '?') or regexp_matches(right(o, 600), '(?i){th.AWAITS}')) then {th.AWAITING} else 0 end + case when last and done >= {th.DELIVERY} then {th.LANDED} else 0 end as course from s)
+select conv_id, turn, cast(greatest(0, least(100, {th.START} + len + rich + done + bad + course + greatest(0, least({th.LARGEST_RELIEF}, -bad - {th.MOST_NEGATIVE})))) as integer) as score from c"""
+
+
+@query(_progress_sql())
+def a20_progress_scores(t):
+    return th.progress_scores(th.paired(t.conversations)).select("conv_id", "turn", "score")
+
+
 _DONE = f"""{_SCORE},
 i as (select *, row_number() over (partition by conv_id order by turn) - 1 as i, count(*) over (partition by conv_id) as n from s),
 w as (select *, 1 + 0.6 * case when n > 1 then i / (n - 1) else 0 end as w from i),
@@ -315,3 +339,21 @@ def t34_artifacts(t):
 select doc_id, n from (select doc_id, len(regexp_extract_all(regexp_replace(text, '([^A-Za-z0-9_])', '\\1\\1', 'g'), '(?i)(^|[^A-Za-z0-9_])with(s|es)?([^A-Za-z0-9_]|$)')) as n from documents) where n > 0""")
 def f01_plain_terms(t):
     return t.documents.select("doc_id", lx.term_count(F.col("text"), "with").cast("long").alias("n")).where("n > 0")
+
+
+@query(r"""
+with r as (select *, row_number() over (partition by conv_id order by turn) - 1 as k, trim(regexp_replace(text, '\s+', ' ', 'g')) as flat from conversations)
+select conv_id, cast(k as integer) as k, role as product, case when role = 'user' and flat <> '' then 'prompt' else 'event' end as kind, case when role = 'user' then flat else '' end as prompt, case when role = 'user' then '' else text end as output from r""")
+def s11_activity_items(t):
+    text, none = F.array("text"), F.expr("cast(array() as array<string>)")
+    item = F.struct("turn", F.col("role").alias("header"), F.when(F.col("role") == "user", text).otherwise(none).alias("subtitles"), F.when(F.col("role") == "user", none).otherwise(text).alias("details"))
+    exports = t.conversations.groupBy("conv_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(item)).alias("items"))).alias("text"))
+    return files.activity_items(exports.select(F.col("conv_id").alias("path"), "text")).select(F.col("path").alias("conv_id"), "k", "product", "kind", "prompt", "output")
+
+
+@query("select event_id, '/' || event_type as url, props as title, ts from events")
+def s17_browser_visits(t):
+    visit = F.struct(F.concat(F.lit("/"), "event_type").alias("url"), F.col("props").alias("title"), F.unix_micros(F.col("ts").cast("timestamp")).alias("time_usec"))
+    exports = t.events.select(F.col("event_id").alias("path"), F.to_json(F.struct(F.array(visit).alias("history"))).alias("text"))
+    v = files.browser_visits(exports)
+    return v.select(F.col("path").alias("event_id"), "url", "title", F.col("ts").cast(dict(t.events.dtypes)["ts"]).alias("ts"))

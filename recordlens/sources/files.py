@@ -90,3 +90,69 @@ def activity_turns(pages: DataFrame) -> DataFrame:
         F.regexp_extract("body", stamp, 1).alias("ts_raw"),
         text(after).alias("output"),
     )
+
+
+_ITEM = "struct<header:string,title:string,time:string,subtitles:array<string>,details:array<string>>"
+
+
+def activity_items(pages: DataFrame, product: str = "Google") -> DataFrame:
+    """Turns of activity exports in JSON (path, text): a list, or an object whose ``items`` or ``activity`` is one.
+
+    Subtitles (names, or objects with a name) become the prompt, details the output; an entry without a prompt is an event.
+    Texts that are no JSON give no turns.
+    """
+    shape = F.when(F.ltrim("text").startswith("["), F.from_json("text", f"array<{_ITEM}>"))
+    whole = F.from_json("text", f"struct<items:array<{_ITEM}>,activity:array<{_ITEM}>>")
+    one = F.from_json("text", _ITEM)
+    lone = F.when(F.coalesce(one["title"], one["header"], one["time"]).isNotNull(), F.array(one))
+    i = pages.select("path", F.posexplode(F.coalesce(shape, whole["items"], whole["activity"], lone)).alias("k", "i"))
+    plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"(?s)<[^>]+>", " "), r"\s+", " "))
+    name = lambda s: plain(F.when(s.startswith("{"), F.get_json_object(s, "$.name")).otherwise(s))
+    joined = lambda c, by: F.array_join(F.filter(c, lambda x: x.isNotNull() & (x != "")), by)
+    none = F.expr("cast(array() as array<string>)")
+    prompt = joined(F.transform(F.coalesce("i.subtitles", none), name), "\n")
+    source = F.coalesce(F.nullif("i.header", F.lit("")), F.lit(product))
+    return i.select(
+        "path", "k", source.alias("product"), F.when(prompt != "", "prompt").otherwise("event").alias("kind"), F.try_to_timestamp("i.time").alias("ts"),
+        F.col("i.time").alias("ts_raw"), prompt.alias("prompt"), joined(F.coalesce("i.details", none), "\n\n").alias("output"),
+    )
+
+
+# Headers that drive listings use, by the column they fill, the first that is there.
+DRIVE_HEADERS = {"name": ["title", "filename", "name", "file name"], "url": ["url", "link", "webviewlink"], "created": ["created", "creation time", "date"]}
+
+
+def drive_rows(rows: DataFrame) -> DataFrame:
+    """name, url, created of a drive listing (``read_csv``), whatever its headers are called; without a name "(unnamed)"."""
+    by = {c.strip().strip('"').lower(): c for c in rows.columns}
+
+    def first(column: str) -> Column:
+        return next((F.col(f"`{by[h]}`") for h in DRIVE_HEADERS[column] if h in by), F.lit(None).cast("string"))
+
+    empty = F.lit("")
+    return rows.select(F.coalesce(F.nullif(first("name"), empty), F.lit("(unnamed)")).alias("name"), F.coalesce(first("url"), empty).alias("url"), F.coalesce(first("created"), empty).alias("created"))
+
+
+def browser_visits(pages: DataFrame) -> DataFrame:
+    """path, url, title, ts of browser histories in JSON (path, text); texts that are no history give no rows."""
+    visit = "array<struct<url:string,title:string,time_usec:long>>"
+    h = F.from_json("text", f"struct<`Browser History`:{visit},history:{visit}>")
+    v = pages.select("path", F.explode(F.coalesce(h["Browser History"], h["history"])).alias("v"))
+    return v.select("path", "v.url", "v.title", F.timestamp_micros(F.nullif("v.time_usec", F.lit(0))).alias("ts"))
+
+
+def mail_counts(texts: DataFrame) -> DataFrame:
+    """path and the number of messages of mailboxes (path, text)."""
+    return texts.select("path", F.regexp_count("text", F.lit("(?m)^From ")).cast("long").alias("messages"))
+
+
+#: Kinds of export files by the end of their name, the first that fits.
+EXPORT_KINDS = [("mail", r"\.mbox$"), ("drive", r"\.csv$"), ("browser", r"browserhistory\.json$"), ("activity_json", r"\.json$"), ("activity", r"myactivity\.html?$"), ("page", r"\.(?:mht(?:ml)?|html?)$"), ("text", r"\.(?:txt|md)$")]
+
+
+def export_kind(path: Column) -> Column:
+    """Which reader a file of an export goes to, by its name; null if none does."""
+    name, kind = F.lower(F.regexp_extract(path, r"([^/]*)$", 1)), F.lit(None).cast("string")
+    for k, pattern in reversed(EXPORT_KINDS):
+        kind = F.when(name.rlike(pattern), k).otherwise(kind)
+    return kind

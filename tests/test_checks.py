@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from recordlens.functions import text as fx
-from recordlens.operators import alignment, checks, folds, names, records
+from recordlens.operators import alignment, checks, folds, names, records, threads
 
 
 def test_item_numbers(spark):
@@ -98,3 +98,21 @@ def test_attendance_citations_basis_lifecycle(spark):
     readings = [(1, d(2026, 1, 5), 1, "carried", None, False), (1, d(2026, 1, 19), 2, "postponed", None, False), (1, d(2026, 2, 2), 2, "postponed", None, False), (1, d(2026, 2, 16), 3, "carried", "4656", True), (2, d(2026, 1, 5), 3, "failed", None, False), (3, d(2026, 8, 1), 1, "carried", None, False)]
     got = {r.grp: (r.days, r.adopted, r.flags) for r in checks.lifecycle(spark.createDataFrame(readings, "grp int, date date, reading int, result string, number string, substitute boolean")).collect()}
     assert got == {1: (42, True, ["postponed repeatedly", "substitute at third reading"]), 2: (0, False, ["missing predecessor", "failed"]), 3: (0, False, [])}
+
+
+def test_bases_of_closed_sessions(spark):
+    rows = [("under 16-4- 405(a)(iii) and 16-4-405(a)(10), 16-4-405(A)(3)", "pursuant to 164405A7 for real estate"), ("16-4-405(a)", "[music] >> 16 4 405 a 99 litigation"), ("", "")]
+    df = spark.createDataFrame(rows, "written string, spoken string").coalesce(1)
+    n, p = checks.spoken_basis(F.col("spoken"))
+    got = [(r.w, r.n, r.p) for r in df.select(checks.cited_basis(F.col("written")).alias("w"), n.alias("n"), p.alias("p")).collect()]
+    assert got == [([3, 10], [7], [7]), ([], [], [3]), ([], [], [])]
+
+
+def test_progress_scores(spark):
+    rows = [
+        (1, 0, "make it", "Here is the complete checklist.\n| a |\n|---|\n" + "x" * 500), (1, 1, "perfect", "I can't. As an AI I don't have access. Would you like me to try? Let me know if so."), (1, 2, "no, wrong", None),
+    ]
+    got = [(r.turn, r.score, r.reasons) for r in threads.progress_scores(spark.createDataFrame(rows, "conv_id int, turn int, prompt string, output string")).orderBy("turn").collect()]
+    assert got[0][:2] == (0, 45 + 10 + 12 + 6 + 16) and got[0][2][-1] == "you confirmed the result before moving on"
+    # 64 negative points of markers: 18 of those beyond 32 are given back; then the short answer and the rejection.
+    assert got[1][:2] == (1, max(0, 45 - 18 - 18 - 16 - 10 - 12 - 8 + 18 - 14)) and got[2][:2] == (2, 45 - 18)

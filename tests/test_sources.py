@@ -74,3 +74,18 @@ def test_activity_export(spark):
     cell = '<div class="outer-cell mdl"><div class="header-cell"><p class="t">Gemini Apps<br></p></div><div class="content-cell mdl-cell">Prompted what is &lt;this&gt;<br>Mar 4, 2026, 1:02:03 PM MST<br><p>An answer.</p></div></div>'
     got = files.activity_turns(spark.createDataFrame([("p", cell)], "path string, text string")).withColumn("ts", files.activity_stamp(F.col("ts_raw"))).first()
     assert (got["product"], got.kind, got.output) == ("Gemini Apps", "prompt", "An answer.") and str(got.ts) == "2026-03-04 20:02:03"
+
+
+def test_activity_items_visits_and_listings(spark):
+    one = '{"header":"Search","title":"t","time":"2026-03-04T01:02:03Z","subtitles":[{"name":"<b>who</b> is"},{"x":1}],"details":["a","b"]}'
+    rows = [("list", f"[{one}]"), ("items", f'{{"items":[{one},{{"title":"x"}}]}}'), ("lone", '{"title":"only"}'), ("bad", "no json"), ("null", None)]
+    got = sorted((r.path, r.k, r.product, r.kind, str(r.ts), r.prompt, r.output) for r in files.activity_items(spark.createDataFrame(rows, "path string, text string")).collect())
+    full = ("Search", "prompt", "2026-03-04 01:02:03", "who is", "a\n\nb")
+    assert got == [("items", 0, *full), ("items", 1, "Google", "event", "None", "", ""), ("list", 0, *full), ("lone", 0, "Google", "event", "None", "", "")]
+    h = [("a", '{"Browser History":[{"url":"u","title":"t","time_usec":1000000},{"url":"v"}]}'), ("b", "{}"), ("c", "[")]
+    assert [(r.url, str(r.ts)) for r in files.browser_visits(spark.createDataFrame(h, "path string, text string")).orderBy("url").collect()] == [("u", "1970-01-01 00:00:01"), ("v", "None")]
+    d = files.drive_rows(spark.createDataFrame([("f", "http://x", "2026"), (None, None, "")], "`File Name` string, Link string, `Creation Time` string").coalesce(1))
+    assert [tuple(r) for r in d.collect()] == [("f", "http://x", "2026"), ("(unnamed)", "", "")]
+    assert files.mail_counts(spark.createDataFrame([("m", "From a\nx From b\nFrom c\n")], "path string, text string")).first().messages == 2
+    kinds = {"x/Mail.MBOX": "mail", "BrowserHistory.json": "browser", "My/MyActivity.html": "activity", "a.json": "activity_json", "p.mhtml": "page", "n.md": "text", "x.bin": None}
+    assert {r.p: r.k for r in spark.createDataFrame([(p,) for p in kinds], "p string").withColumn("k", files.export_kind(F.col("p"))).collect()} == kinds

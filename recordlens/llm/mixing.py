@@ -121,9 +121,12 @@ def rake_to_keep(cells: DataFrame, margins: list[str], keep: float) -> tuple[Dat
 
 def mix(docs: DataFrame, language: dict[str, float] | None = None, topic: dict[str, float] | None = None, keep: float = KEEP) -> DataFrame:
     """row (all columns of ``docs``), doc_id, source, lang, n_words, topic, weight (of one of the cell's tokens, relative to the input), probability and sampled."""
+    u = F.pmod(F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit(""))), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rows = packed(docs, "doc_id", "source", "lang", "text").withColumns(
-        {"_source": F.coalesce("source", F.lit("unknown")), "_lang": F.coalesce("lang", F.lit("unknown")), "_topic": topic_of(F.col("text")), "_words": n_words(F.col("text"))}
+        {"_source": F.coalesce("source", F.lit("unknown")), "_lang": F.coalesce("lang", F.lit("unknown")), "_topic": topic_of(F.col("text")), "_words": n_words(F.col("text")), "_u": u}
     )
+    # Texts are gone through once: counting and sampling both read what is staged here, and only the columns they need.
+    rows = staged(rows.drop("text"), "measured")
     margins = ["_source", "_lang", "_topic"]
     cells = staged(rows.groupBy(margins).agg(F.sum("_words").alias("tokens")), "cells")
     for m, wanted in zip(margins, (None, LANGUAGE if language is None else language, TOPIC if topic is None else topic), strict=True):
@@ -131,8 +134,7 @@ def mix(docs: DataFrame, language: dict[str, float] | None = None, topic: dict[s
     cells, keep = rake_to_keep(staged(cells.fillna(0.0), "cells-with-targets"), margins, keep)
     share = F.col("tokens") / F.sum("tokens").over(W.partitionBy())
     cells = staged(cells.select(*margins, F.when(F.col("tokens") > 0, F.col("weight") / share).otherwise(1.0).alias("_weight")), "cell-weights")
-    u = F.pmod(F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit(""))), F.lit(1 << 30)) / F.lit(float(1 << 30))
     p = F.least(F.lit(1.0), F.lit(keep) * F.col("_weight"))  # above 1 by rounding only
     return rows.join(cells, margins, "left").select(
-        "row", "doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_words").alias("n_words"), F.col("_weight").alias("weight"), p.alias("probability"), (u < p).alias("sampled")
+        "row", "doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_words").alias("n_words"), F.col("_weight").alias("weight"), p.alias("probability"), (F.col("_u") < p).alias("sampled")
     )

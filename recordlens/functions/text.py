@@ -134,17 +134,28 @@ def highlight(c: Column, terms: list[str]) -> Column:
 
 
 def relative_age(seconds: Column) -> Column:
-    """today, yesterday, n days, n mo, n.n yr from an age in seconds."""
-    days = F.floor(seconds / 86400)
+    """today, yesterday, n days ago, n mo ago, n.n yr ago from an age in seconds, to the nearest day; empty without an age."""
+    days = F.floor(seconds / 86400 + 0.5)
     return (
-        F.when(days <= 0, "today")
+        F.when(days.isNull(), "")
+        .when(days <= 0, "today")
         .when(days == 1, "yesterday")
-        .when(days < 45, F.concat(days.cast("string"), F.lit(" days")))
-        .when(days < 540, F.concat(F.round(days / 30.44).cast("int").cast("string"), F.lit(" mo")))
-        .otherwise(F.format_string("%.1f yr", days / 365.25))
+        .when(days < 30, F.concat(days.cast("string"), F.lit(" days ago")))
+        .when(days < 365, F.concat(F.floor(days / 30 + 0.5).cast("string"), F.lit(" mo ago")))
+        .otherwise(F.concat((F.floor(days / 365 * 10 + 0.5) / 10).cast("decimal(10,1)").cast("string"), F.lit(" yr ago")))
     )
 
 
+def byte_label(n: Column) -> Column:
+    """A number of bytes in the largest unit that it fills, with one decimal below ten of a unit; 0 without bytes."""
+    out = F.when(F.coalesce(n, F.lit(0)) == 0, "0").when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
+    for k, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
+        x = n / F.lit(float(1024**k))
+        label = F.when(x < 10, (F.floor(x * 10 + 0.5) / 10).cast("decimal(20,1)").cast("string")).otherwise(F.floor(x + 0.5).cast("string"))
+        out = out.when((x < 1024) | F.lit(unit == "TB"), F.concat(label, F.lit(f" {unit}")))
+    return out
+
+
 def first_date(c: Column) -> Column:
     """The first of four written forms that names a real day: 2026-02-03, January 13, 2026, 1/13/2026, -20260113-."""
     day = r"(3[01]|[12][0-9]|0?[1-9])"

@@ -68,6 +68,45 @@ def gaps(rows: DataFrame, keys: list[str], start: str, end: Column, order: str,
     return out.where(F.col("seconds") > least_seconds)
 
 
+def coverage_gaps(rows: DataFrame, keys: list[str], session: str, start: str, end: Column, order: str, cause: Column, restart_seconds: float = 0.25, break_seconds: float = 0.05) -> DataFrame:
+    """Gaps with their reason: ``worker_restart`` where the session changes, if longer than ``restart_seconds``, else ``cause``, if longer than ``break_seconds``."""
+    w = W.partitionBy(*keys).orderBy(start, order)
+    restart = F.coalesce(F.col(session) != F.lag(session).over(w), F.lit(False))
+    marked = rows.withColumn("reason", F.when(restart, "worker_restart").otherwise(cause))
+    return gaps(marked, keys, start, end, order, break_seconds).where((F.col("reason") != "worker_restart") | (F.col("seconds") > restart_seconds))
+
+
+# The states of a feed.
+STATES = ["connecting", "receiving_audio", "no_speech_detected", "transcription_pending", "publishing", "upstream_unavailable", "asr_failure", "storage_failure", "stopped"]
+FAULTS = ["upstream_unavailable", "asr_failure", "storage_failure"]
+#: What an event leads to, and the states that it does not leave.
+EVENTS = {
+    "start": ("connecting", []), "connect": ("connecting", FAULTS), "audio": ("receiving_audio", [s for s in STATES if s not in ("connecting", "upstream_unavailable")]),
+    "queued": ("transcription_pending", [s for s in STATES if s not in ("receiving_audio", "no_speech_detected")]), "taken": ("transcription_pending", ["storage_failure"]),
+    "silence": ("no_speech_detected", ["upstream_unavailable"]), "published": ("publishing", []), "drained": ("receiving_audio", ["upstream_unavailable"]),
+    "upstream": ("upstream_unavailable", []), "asr": ("asr_failure", []), "storage": ("storage_failure", []), "stop": ("stopped", []),
+}
+
+
+def feed_states(events: DataFrame, key: str, order: list[str], event: str, at_once: int = 1000) -> DataFrame:
+    """(key, state): the state that a feed's events, in ``order``, lead to from ``stopped``; an event without a meaning changes nothing.
+
+    An event is a mapping of states. Mappings compose, so a feed's events are folded ``at_once`` at a time, and then the results.
+    """
+    ints = lambda xs: F.array(*[F.lit(STATES.index(x)) for x in xs])
+    same = ints(STATES)
+    steps = F.create_map(*[x for e, (to, stay) in EVENTS.items() for x in (F.lit(e), ints([s if s in stay else to for s in STATES]))])
+    rows = events.select(key, (F.row_number().over(W.partitionBy(key).orderBy(*order)) - 1).alias("_k"), F.coalesce(steps[F.col(event)], same).alias("_step"))
+
+    def folded(rows: DataFrame, keys: list[str]) -> DataFrame:
+        run = F.array_sort(F.collect_list(F.struct("_k", "_step")))
+        return rows.groupBy(*keys).agg(F.aggregate(run, same, lambda was, x: F.transform(was, lambda s: F.get(x["_step"], s))).alias("_step"))
+
+    parts = folded(rows.withColumn("_part", F.floor(F.col("_k") / at_once)), [key, "_part"]).withColumnRenamed("_part", "_k")
+    whole = folded(parts, [key])
+    return whole.select(key, F.get(F.array(*map(F.lit, STATES)), F.get("_step", F.lit(STATES.index("stopped")))).alias("state"))
+
+
 def retained(rows: DataFrame, end: str, as_of_ts: Column, audio_seconds: int, row_seconds: int, audio: list[str]) -> DataFrame:
     """Rows older than ``row_seconds`` go; of those at least ``audio_seconds`` old the ``audio`` columns are cleared and marked."""
     age = fx.micros(as_of_ts) - fx.micros(F.col(end))

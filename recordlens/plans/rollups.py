@@ -164,16 +164,35 @@ def w09_health(t):
     return h.select("user_id", stale.alias("staleness"), "backlog", F.round(F.col("backlog") * F.col("mean20") + F.col("last_lag"), 6).alias("lag_estimate"), ((stale <= 86400) & (F.col("backlog") < 20)).alias("healthy"))
 
 
-_STATES = {"error": "degraded", "view": "capturing", "click": "publishing"}
+_HAPPENED = {"error": ["upstream", "asr", "storage"], "view": ["audio", "queued", "taken"], "click": ["silence", "published", "drained"], "signup": ["connect", "start", "stop"]}
 
 
-@query("""
-select user_id, case max_by(event_type, ts) when 'error' then 'degraded' when 'view' then 'capturing' when 'click' then 'publishing' else 'idle' end as state from events group by user_id""")
+@query(f"""
+with e as (select user_id, ts, event_id, case event_type {" ".join(f"when '{k}' then {v}[event_id % 3 + 1]" for k, v in _HAPPENED.items())} else 'other' end as e from events),
+l as (select user_id, list(e order by ts, event_id) as l from e group by user_id)
+select user_id, list_reduce(list_prepend('stopped', l), lambda s, e: case
+  when e = 'start' then 'connecting' when e = 'published' then 'publishing' when e = 'upstream' then 'upstream_unavailable' when e = 'asr' then 'asr_failure' when e = 'storage' then 'storage_failure' when e = 'stop' then 'stopped'
+  when e = 'connect' and s not in ('upstream_unavailable', 'asr_failure', 'storage_failure') then 'connecting' when e = 'audio' and s in ('connecting', 'upstream_unavailable') then 'receiving_audio'
+  when e = 'queued' and s in ('receiving_audio', 'no_speech_detected') then 'transcription_pending' when e = 'taken' and s <> 'storage_failure' then 'transcription_pending'
+  when e = 'silence' and s <> 'upstream_unavailable' then 'no_speech_detected' when e = 'drained' and s <> 'upstream_unavailable' then 'receiving_audio' else s end) as state from l""")
 def w10_state(t):
-    out = F.lit("idle")
-    for k, v in _STATES.items():
-        out = F.when(F.col("e") == k, v).otherwise(out)
-    return t.events.groupBy("user_id").agg(F.max_by("event_type", "ts").alias("e")).select("user_id", out.alias("state"))
+    which = (F.col("event_id") % 3).cast("int")
+    happened = F.lit("other")
+    for k, v in _HAPPENED.items():
+        happened = F.when(F.col("event_type") == k, F.get(F.array(*map(F.lit, v)), which)).otherwise(happened)
+    return tl.feed_states(t.events.withColumn("happened", happened), "user_id", ["ts", "event_id"], "happened")
+
+
+@query("""
+with e as (select *, ts::date as session, epoch_us(ts) as us from events),
+l as (select user_id, event_id, (us - lag(us + 1000000 * cast(event_id % 60 as bigint)) over w) / 1e6 as seconds,
+  case when session <> lag(session) over w then 'worker_restart' when event_type = 'error' then 'read_timeout' else 'disconnect' end as reason from e window w as (partition by user_id order by ts, event_id))
+select * from l where seconds > 1800 and (reason <> 'worker_restart' or seconds > 36000)""")
+def w04_gap_reasons(t):
+    e = t.events.withColumn("session", F.to_date("ts"))
+    cause = F.when(F.col("event_type") == "error", "read_timeout").otherwise("disconnect")
+    end = F.col("ts") + F.make_dt_interval(secs=F.col("event_id") % 60)
+    return tl.coverage_gaps(e, ["user_id"], "session", "ts", end, "event_id", cause, 36000, 1800).select("user_id", "event_id", "seconds", "reason")
 
 
 @query("""

@@ -148,13 +148,31 @@ def t33_highlight(t):
 
 
 @query("""
-with a as (select event_id, cast(floor((epoch(timestamp '2026-06-01') - epoch(ts)) / 86400) as bigint) - event_id % 900 as d from events)
-select event_id, case when d <= 0 then 'today' when d = 1 then 'yesterday' when d < 45 then d || ' days' when d < 540 then cast(round(d / 30.44) as int) || ' mo' else printf('%.1f yr', d / 365.25) end as age from a""")
+with a as (select event_id, cast(floor((epoch_us(timestamp '2026-06-01') - epoch_us(ts)) / 86400e6 - event_id % 900 + 0.5) as bigint) as d from events)
+select event_id, case when d <= 0 then 'today' when d = 1 then 'yesterday' when d < 30 then d || ' days ago' when d < 365 then cast(floor(d / 30 + 0.5) as bigint) || ' mo ago'
+  else cast(cast(floor(d / 365 * 10 + 0.5) / 10 as decimal(10, 1)) as varchar) || ' yr ago' end as age from a""")
 def t38_relative_age(t):
-    age = F.lit(1780272000.0) - fx.micros(F.col("ts")) / 1e6 - (F.col("event_id") % 900) * 86400
+    age = (F.lit(1780272000000000) - fx.micros(F.col("ts"))) / 1e6 - (F.col("event_id") % 900) * 86400
     return t.events.select("event_id", fx.relative_age(age).alias("age"))
 
 
+_LABEL = """case when n = 0 then '0' when n < 1024 then n || ' B' when u < 10 then cast(cast(floor(u * 10 + 0.5) / 10 as decimal(20, 1)) as varchar) || unit else cast(floor(u + 0.5) as bigint) || unit end"""
+
+
+@query(f"""
+with b as (select 'document' as kind, cast(doc_id as varchar) as id, strlen(text) as n from documents union all select 'source', source, sum(strlen(text)) from documents group by source
+  union all select 'page', cast(page_id as varchar), strlen(html) from pages),
+u as (select *, case when n < 1048576 then n / 1024.0::double when n < 1073741824 then n / 1048576.0::double else n / 1073741824.0::double end as u,
+  case when n < 1048576 then ' KB' when n < 1073741824 then ' MB' else ' GB' end as unit from b)
+select kind, id, {_LABEL} as size from u""")
+def t38_byte_size(t):
+    d = t.documents.select("doc_id", "source", F.octet_length("text").cast("long").alias("n"))
+    b = d.select(F.lit("document").alias("kind"), F.col("doc_id").cast("string").alias("id"), "n")
+    b = b.unionByName(d.groupBy(F.col("source").alias("id")).agg(F.sum("n").alias("n")).withColumn("kind", F.lit("source")))
+    b = b.unionByName(t.pages.select(F.lit("page").alias("kind"), F.col("page_id").cast("string").alias("id"), F.octet_length("html").cast("long").alias("n")))
+    return b.select("kind", "id", fx.byte_label(F.col("n")).alias("size"))
+
+
 @query(r"""
 with s as (select doc_id, unnest(string_split_regex(regexp_replace(text, '([.?!])\s+', '\1>>', 'g'), '>>')) as s from documents),
 c as (select doc_id, trim(regexp_replace(s, '\s+', ' ', 'g')) as s from s)

@@ -5,16 +5,16 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 
 from ..cluster import ship
-from . import bpe, exact_dedup, html_text, lz_dedup, mixing, ngram_join, quality, topk, toxicity, url_filter
+from . import bpe, exact_dedup, html_text, lexical_search, lz_dedup, mixing, ngram_join, periodic_runs, quality, token_counts, topk, toxicity, url_filter
 from .staging import bounded_batches, table
 
-VOCABULARY = "byte_bpe_50k.json"
+VOCABULARY, COUNTED = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
-def vocabulary_path() -> str:
+def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
-    return str(Path(public_tokenizers.path(VOCABULARY)))
+    return str(Path(public_tokenizers.path(name)))
 
 
 def op1_crf_toxicity(spark, sf_dir: str) -> DataFrame:
@@ -57,6 +57,18 @@ def op10_lz_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return lz_dedup.lz_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(periodic_runs.planted(table(spark, sf_dir, "documents")))
+
+
+def op12_lexical_search(spark, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_token_counts(spark, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary_path(COUNTED))
+
+
 QUERIES = [
     op1_crf_toxicity,
     op2_url_filter,
@@ -68,6 +80,9 @@ QUERIES = [
     op8_indexed_quality,
     op9_source_mixing,
     op10_lz_substring_dedup,
+    op11_periodic_runs,
+    op12_lexical_search,
+    op13_token_counts,
 ]
 
 
@@ -92,4 +107,5 @@ def oracle_sql() -> dict[str, str]:
 with t as (select doc_id, {lower} as body from documents)
 select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size, doc_id = max(doc_id) over g as kept, sha256(body) as text_sha256
 from t window g as (partition by body)""",
+        "op12_lexical_search": lexical_search.oracle(),
     }

@@ -50,6 +50,43 @@ def slices(text: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.n
         row = end
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on as one number; behind the end are zeros."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0, head: int | None = None) -> np.ndarray:
+    """A uint64 for each span of bytes (its first ``head``), eight bytes at a time."""
+    eight = eights(data)
+    left, at = ends - starts, starts.copy()
+    if head:
+        left = np.minimum(left, head)
+    h = np.full(len(at), (seed * 0x632BE59BD9B4E019 + 0x243F6A8885A308D3) & (2**64 - 1), np.uint64) ^ left.astype(np.uint64)
+    live = np.arange(len(at))
+    while len(live):
+        block = eight[at[live]] & _MASK[np.minimum(left[live], 8)]
+        h[live] = mix(h[live] * _K ^ block)
+        live = live[left[live] > 8]
+        at[live] += 8
+        left[live] -= 8
+    return h
+
+
+def same(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the spans of ``size`` bytes from ``a`` and from ``b`` on are equal."""
+    eight, out = eights(data), np.ones(len(a), bool)
+    live, left, at = np.arange(len(a)), size.copy(), 0
+    while len(live):
+        mask = _MASK[np.minimum(left[live], 8)]
+        out[live] &= (eight[a[live] + at] & mask) == (eight[b[live] + at] & mask)
+        live = live[out[live] & (left[live] > 8)]
+        left[live] -= 8
+        at += 8
+    return out
+
+
 class Words:
     """Words of one slice: ``starts``, ``ends`` (bytes) and ``ptr``, the word range of each row.
 
@@ -73,22 +110,8 @@ class Words:
         self.ptr = np.searchsorted(self.starts, offsets)
 
     def hashes(self, seed: int = 0, head: int | None = None) -> np.ndarray:
-        """A uint64 for each word, from its bytes (the first ``head``) eight at a time."""
-        padded = np.zeros(len(self.data) + 8, np.uint8)
-        padded[: len(self.data)] = self.data
-        eight = np.ndarray((len(self.data) + 1,), "<u8", padded, strides=(1,))
-        left, at = self.ends - self.starts, self.starts.copy()
-        if head:
-            left = np.minimum(left, head)
-        h = np.full(len(at), (seed * 0x632BE59BD9B4E019 + 0x243F6A8885A308D3) & (2**64 - 1), np.uint64) ^ left.astype(np.uint64)
-        live = np.arange(len(at))
-        while len(live):
-            block = eight[at[live]] & _MASK[np.minimum(left[live], 8)]
-            h[live] = mix(h[live] * _K ^ block)
-            live = live[left[live] > 8]
-            at[live] += 8
-            left[live] -= 8
-        return h
+        """A uint64 for each word, from its bytes (the first ``head``)."""
+        return hashes(self.data, self.starts, self.ends, seed, head)
 
     def grams(self, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of ``n`` consecutive words and whether the words are of one row, by first word."""

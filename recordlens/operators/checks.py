@@ -4,7 +4,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .similarity import best_match
+from .names import with_ratio
+from .similarity import best_match, candidates, contained, ordered, similar
 
 
 def postponements(postponed: DataFrame, agenda: DataFrame, meetings: DataFrame, days: int = 60, least: float = 0.5) -> DataFrame:
@@ -12,23 +13,32 @@ def postponements(postponed: DataFrame, agenda: DataFrame, meetings: DataFrame,
 
     ``postponed`` (id, to, tokens), ``agenda`` (date, tokens), ``meetings`` (date); dates are dates.
     """
-    p = postponed.withColumn("n", F.size("tokens"))
-    x = p.select("id", "to", "n", F.explode("tokens").alias("t"))
-    y = agenda.withColumns({"m": F.size("tokens"), "item": F.monotonically_increasing_id()}).select("item", "date", "m", F.explode("tokens").alias("t"))
+    x, y = ordered(postponed.select("id", "to", "tokens"), agenda.select(F.monotonically_increasing_id().alias("id"), "date", "tokens"))
     near = (F.col("date") >= F.col("to")) & (F.col("date") <= F.date_add("to", days))
-    common = x.join(y, "t").where(near).groupBy("id", "to", "n", "item", "date", "m").agg(F.count(F.lit(1)).alias("c"))
-    similar = common.where(F.col("c") / (F.col("n") + F.col("m") - F.col("c")) >= least).groupBy("id").agg(F.min("date").alias("found"))
+    pairs = candidates(x.withColumn("t", F.lit(least)), y, least, near)
+    found = similar(pairs, x, y, least, ["date"]).groupBy(F.col("left_id").alias("id")).agg(F.min("date").alias("found"))
     last = meetings.agg(F.max("date").alias("last"))
     held = meetings.select(F.col("date").alias("to")).distinct().withColumn("held", F.lit(True))
-    j = p.drop("n", "tokens").join(similar, "id", "left").join(held, "to", "left").crossJoin(F.broadcast(last))  # one row
+    j = postponed.select("id", "to").join(found, "id", "left").join(held, "to", "left").crossJoin(F.broadcast(last))  # one row
     status = F.when(F.col("found") == F.col("to"), "honored").when(F.col("to") > F.col("last"), "target not in record").when(F.col("found").isNotNull(), "reappeared later").when(F.col("held").isNull(), "no meeting").otherwise("not found")
     return j.select("id", "to", status.alias("status"), status.isin("no meeting", "not found").alias("exception"))
 
 
-def coverage(agenda: DataFrame, minutes: DataFrame, least: float = 0.34) -> DataFrame:
-    """R3: agenda items (id, tokens) that no minutes entry (id, ord, tokens) covers."""
-    found = best_match(agenda, minutes, least, "ord")
-    return agenda.select(F.col("id").alias("left_id")).join(found, "left_id", "left").withColumn("exception", F.col("right_id").isNull())
+def coverage(agenda: DataFrame, minutes: DataFrame, least: float = 0.34, within: float = 0.6, chars: int = 400) -> DataFrame:
+    """R3: agenda items (id, meeting, tokens) that no entry (id, ord, meeting, tokens, raw, chars) of their meeting's minutes covers.
+
+    An entry covers an item by a title of similarity ``least``, or if its whole text (``raw`` tokens) has a share ``within`` of the item's
+    tokens. Meetings without minutes, or with less than ``chars`` characters of them, are not judged. Returns left_id, meeting, similarity, share, exception.
+    """
+    held = minutes.groupBy("meeting").agg(F.sum("chars").alias("chars")).where(F.col("chars") >= chars).select("meeting")
+    items = agenda.join(held, "meeting")
+    # Tokens of other meetings are other tokens.
+    of = lambda c: F.transform(c, lambda t: F.concat_ws("\x1f", F.col("meeting").cast("string"), t))
+    left = items.select("id", of("tokens").alias("tokens"))
+    titles = best_match(left, minutes.select("id", "ord", of("tokens").alias("tokens")), least, "ord").select("left_id", "similarity")
+    texts = contained(left, minutes.select("id", of("raw").alias("tokens")), within)
+    out = items.select(F.col("id").alias("left_id"), "meeting").join(titles, "left_id", "left").join(texts, "left_id", "left")
+    return out.withColumn("exception", F.col("similarity").isNull() & F.col("share").isNull())
 
 
 def roster_heard(listed: DataFrame, words: DataFrame, keys: list[str]) -> DataFrame:
@@ -47,22 +57,36 @@ def attendance(roll: DataFrame, spoken: DataFrame) -> DataFrame:
 def grounded_citations(spoken: DataFrame, official: DataFrame) -> DataFrame:
     """R7: spoken citations (doc, ord, role, citation) against official ones (doc, citation), the first of each citation and role.
 
-    Exact, else close: the same title and chapter, and a section that begins alike or differs by zeros.
+    A citation has title, chapter and section: 16-4-405. It is grounded exactly, or closely: by an official one of the same title and chapter
+    whose section begins with the spoken one, differs by zeros only, or has a matching-blocks ratio of 0.75 or more. Sections have two to four
+    digits, so that ratio needs them to be equal but for one digit more, less or other (two digits and two: to be equal):
+    each section is joined by itself with one digit left out, never with all of its chapter. Of close ones the first kind counts, then the smallest.
     """
-    zeros = lambda c: F.regexp_replace(c, r"(?<=^|-)0+|[().]", "")
-    chapter = lambda c: F.regexp_extract(c, r"^(\d+-\d+)", 1)
-    first = spoken.withColumn("k", F.row_number().over(W.partitionBy("doc", "citation", "role").orderBy("ord"))).where("k = 1").drop("k").withColumn("ch", chapter(zeros(F.col("citation"))))
-    exact = official.select("doc", "citation").distinct().withColumn("exact", F.lit(True))
-    close = official.select("doc", F.col("citation").alias("other")).distinct().withColumn("ch", chapter(zeros(F.col("other")))).where("ch <> ''")
-    a, b = zeros(F.col("citation")), zeros(F.col("other"))
-    near = first.join(close, ["doc", "ch"]).where(a.startswith(b) | b.startswith(a)).groupBy("doc", "ord", "role", "citation").agg(F.min("other").alias("other"))
-    j = first.drop("ch").join(exact, ["doc", "citation"], "left").join(near, ["doc", "ord", "role", "citation"], "left")
-    status = F.when(F.col("exact"), "exact").when(F.col("other").isNotNull(), "close").otherwise("ungrounded")
-    return j.select("doc", "ord", "role", "citation", status.alias("status"), F.when(F.col("exact"), F.col("citation")).otherwise(F.col("other")).alias("official"), (status == "ungrounded").alias("exception"))
+    first = spoken.withColumn("k", F.row_number().over(W.partitionBy("doc", "citation", "role").orderBy("ord"))).where("k = 1").select("doc", "ord", "role", "citation")
+    parts = lambda d: d.withColumn("p", F.split(F.regexp_extract("citation", r"(\d{1,2}-\d{1,2}-\d{2,4})", 1), "-")).where("size(p) = 3").withColumns({"chapter": F.concat_ws("-", F.col("p")[0], F.col("p")[1]), "section": F.col("p")[2]}).drop("p")
+    known = parts(official.select("doc", "citation").distinct()).select("doc", "chapter", F.col("section").alias("other"), F.concat_ws("-", "chapter", "section").alias("official"))
+
+    def keys(c: Column, heads: Column | None = None) -> Column:
+        """What sections meet by: themselves, without zeros, without one digit; the official ones also by their beginnings."""
+        cut = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.lit("d"), F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))
+        return F.array_distinct(F.concat(F.array(F.concat(F.lit("h"), c), F.concat(F.lit("z"), F.replace(c, F.lit("0"))), F.concat(F.lit("d"), c)), cut, heads if heads is not None else F.array().cast("array<string>")))
+
+    heads = F.transform(F.sequence(F.lit(2), F.length("other")), lambda n: F.concat(F.lit("h"), F.substring("other", F.lit(1), n)))
+    x = parts(first).withColumn("key", F.explode(keys(F.col("section"))))
+    y = known.withColumn("key", F.explode(keys(F.col("other"), heads)))
+    m, n = F.length("section"), F.length("other")
+    by_digits = F.col("key").startswith("d") & (F.least(m, n) >= 2) & (m + n >= F.when(m == n, 8).otherwise(5)) & (F.abs(m - n) <= 1)
+    rank = F.when(F.col("other") == F.col("section"), 0).when(F.col("other").startswith(F.col("section")), 1).when(F.replace("other", F.lit("0")) == F.replace("section", F.lit("0")), 2).when(by_digits, 3)
+    pairs = x.join(y, ["doc", "chapter", "key"]).withColumn("rank", rank).where("rank is not null").select("doc", "ord", "role", "citation", "official", "rank", F.col("section").alias("x"), F.col("other").alias("y"))
+    # The ratio takes the longest block first, so it may be less than what two sections have in common.
+    near = pairs.where("rank < 3").drop("x", "y").unionByName(with_ratio(pairs.where("rank = 3").distinct()).where("ratio >= 0.75").drop("x", "y", "ratio")).groupBy("doc", "ord", "role", "citation").agg(F.min(F.struct("rank", "official")).alias("best"))
+    j = first.join(near, ["doc", "ord", "role", "citation"], "left")
+    status = F.when(F.col("best.rank") == 0, "exact").when(F.col("best.rank").isNotNull(), "close").otherwise("ungrounded")
+    return j.select("doc", "ord", "role", "citation", status.alias("status"), F.col("best.official").alias("official"), (status == "ungrounded").alias("exception"))
 
 
 # The statute on closed sessions, and the wording of its purposes by subsection.
-CLOSED_STATUTE = "16-4-405"
+CLOSED_STATUTE = ["16", "4", "405"]
 ROMAN = ["i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x", "xi", "xii", "xiii"]
 PURPOSES = {
     1: r"threat to the security|right of access", 2: r"appointment, employment|dismissal of a public officer|personnel", 3: r"litigation",
@@ -71,22 +95,32 @@ PURPOSES = {
 }
 
 
-def cited_basis(text: Column) -> Column:
-    """Sorted subsections that a written text cites, in roman or arabic numbers: 16-4-405(a)(iii), (a)(3)."""
-    said = F.regexp_extract_all(F.regexp_replace(text, r"-\s+", "-"), F.lit(rf"(?i){CLOSED_STATUTE}\s*\(?a\)?\s*\(?([ivx]+|\d+)\)?"), 1)
-    roman = F.create_map(*[F.lit(x) for k, v in enumerate(ROMAN, 1) for x in (v, k)])
-    numbers = F.transform(said, lambda v: F.coalesce(F.try_element_at(roman, F.lower(v)), v.try_cast("int")))
-    return F.array_sort(F.array_distinct(F.filter(numbers, lambda n: n > 0)))
+def closed_basis(text: Column, spoken: bool = False) -> Column:
+    """numbers, bare and purposes of a text on a closed session.
 
-
-def spoken_basis(text: Column) -> tuple[Column, Column]:
-    """(subsections, purposes by their wording) of a spoken motion as captions write it: 164405A7, 16 4 405 a 10."""
-    flat = F.regexp_replace(F.regexp_replace(text, r"\[[^\]]{0,40}\]|>>", " "), r"\s+", " ")
-    flat = F.regexp_replace(flat, r"\b16\s?-?\s?4\s?-?\s?405", CLOSED_STATUTE)
-    said = F.regexp_extract_all(flat, F.lit(rf"(?i){CLOSED_STATUTE}\s*\(?\s*a\s*\)?\s*\(?\s*(\d{{1,2}})\b"), 1)
-    numbers = F.filter(F.transform(said, lambda v: v.cast("int")), lambda n: n.between(1, len(ROMAN)))
-    purposes = F.array(*[F.when(flat.rlike(f"(?i){p}"), F.lit(k)) for k, p in PURPOSES.items()])
-    return F.array_sort(F.array_distinct(numbers)), F.filter(purposes, lambda k: k.isNotNull())
+    What follows each mention of the statute is looked at by itself: an "a", bracketed or not, and then the subsection, in arabic or, in written
+    texts, roman digits. ``numbers`` are the subsections, sorted; ``bare`` says that a mention has none; ``purposes`` are those named by
+    their wording. Of captions, notes in brackets and signs of speakers go first; there the statute's numbers may run together.
+    """
+    said = F.coalesce(F.regexp_replace(text, r"\[[^\]]*\]|>>", " ") if spoken else text, F.lit(""))
+    said = F.lower(F.regexp_replace(said, r"\s+", " "))
+    between = r" ?-? ?" if spoken else r" ?- ?"
+    parts = F.split(said, rf"\b{between.join(CLOSED_STATUTE)}")
+    behind = F.slice(parts, F.lit(2), F.size(parts))
+    digits = r"\d+" if spoken else r"\d+|[ivx]+"
+    found = F.transform(behind, lambda tail: F.regexp_extract(tail, rf"^[ (]*a[ )(]*({digits})(?![a-z])", 1))
+    roman = F.create_map(*[x for k, v in enumerate(ROMAN, 1) for x in (F.lit(v), F.lit(k))])
+    value = F.transform(found, lambda v: F.coalesce(F.try_element_at(roman, v), v.try_cast("int")))
+    real = F.transform(value, lambda n: F.when(n.between(1, len(ROMAN)) if spoken else n > 0, n))
+    purposes = F.array_compact(F.array(*[F.when(said.rlike(p), F.lit(k)) for k, p in PURPOSES.items()]))
+    return F.struct(F.array_sort(F.array_distinct(F.array_compact(real))).alias("numbers"), F.exists(found, lambda v: v == "").alias("bare"), purposes.alias("purposes"))
+
+
+def sessions_of(texts: DataFrame) -> DataFrame:
+    """R8 from texts (doc, agenda, minutes, speech): ``session_basis`` of what they cite, with what speech cites without a subsection, and its purposes."""
+    kinds = texts.select("doc", *[closed_basis(F.col(c), c == "speech").alias(c) for c in ("agenda", "minutes", "speech")])
+    numbers = kinds.select("doc", F.col("agenda.numbers").alias("agenda"), F.col("minutes.numbers").alias("minutes"), F.col("speech.numbers").alias("speech"), F.col("speech.bare").alias("cited_without_subsection"), "speech.purposes")
+    return session_basis(numbers)
 
 
 def session_basis(rows: DataFrame) -> DataFrame:

@@ -144,15 +144,17 @@ def d18_final_votes(t):
 
 
 @query(f"""
-with a as (select item_id as id, {_TOK} as t from benchmark), m as (select doc_id as id, {_TOK} as t from documents),
-x as (select id, len(t) as n, unnest(t) as w from a), y as (select id, len(t) as n, unnest(t) as w from m),
-s as (select x.id, y.id as other, round(count(*) / (x.n + y.n - count(*)), 6) as sim from x join y using (w) group by x.id, y.id, x.n, y.n)
-select id as left_id, not exists (select 1 from s where s.id = a.id and sim >= 0.2) as exception from a""")
+with a as (select item_id as id, length(text) % 7 as meeting, {_TOK} as t from benchmark), m as (select doc_id as id, length(text) % 7 as meeting, length(text) as chars, {_TOK} as t from documents),
+h as (select meeting from m group by meeting having sum(chars) >= 400),
+x as (select id, meeting, len(t) as n, unnest(t) as w from a), y as (select id, meeting, len(t) as n, unnest(t) as w from m),
+s as (select x.id, y.id as other, count(*) as c, x.n, y.n as m from x join y using (meeting, w) group by x.id, y.id, x.n, y.n),
+b as (select id, max(round(c / (n + m - c), 6)) filter (round(c / (n + m - c), 6) >= 0.34) as similarity, max(round(c / n, 6)) filter (round(c / n, 6) >= 0.6) as share from s group by id)
+select a.id as left_id, similarity, share, similarity is null and share is null as exception from a join h using (meeting) left join b using (id)""")
 def d11_agenda_coverage(t):
-    tok = F.array_distinct(fx.tokens(F.col("text"), 4))
-    a = t.benchmark.select(F.col("item_id").alias("id"), tok.alias("tokens"))
-    m = t.documents.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("ord"), tok.alias("tokens"))
-    return checks.coverage(a, m, 0.2).select("left_id", "exception")
+    tok, meeting = F.array_distinct(fx.tokens(F.col("text"), 4)), (F.length("text") % 7).alias("meeting")
+    a = t.benchmark.select(F.col("item_id").alias("id"), meeting, tok.alias("tokens"))
+    m = t.documents.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("ord"), meeting, tok.alias("tokens"), tok.alias("raw"), F.length("text").alias("chars"))
+    return checks.coverage(a, m).select("left_id", "similarity", "share", "exception")
 
 
 @query("select doc_id from documents where doc_id % 4 <> 0 union all select doc_id from documents where doc_id % 4 = 0")

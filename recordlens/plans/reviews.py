@@ -56,32 +56,55 @@ def d14_attendance(t):
     return out.select("doc", F.array_join("only_recorded", ",").alias("only_recorded"), F.array_join("only_heard", ",").alias("only_heard"), "exception")
 
 
-@query("""
-with l as (select l_suppkey as doc, l_orderkey * 8 + l_linenumber as ord, l_returnflag as role, l_linestatus as s, l_linenumber || '-' || (1 + l_partkey % 9) as ch, cast(l_quantity as int) as q from lineitem),
-c as (select *, ch || '-' || q as citation from l),
-f as (select * from (select *, row_number() over (partition by doc, citation, role order by ord) as k from c where role <> 'N') where k = 1),
-o as (select distinct doc, ch, citation as official from c where role = 'N'),
-n as (select f.doc, f.ord, f.role, f.citation, min(official) as other from f join o on f.doc = o.doc and f.ch = o.ch where starts_with(f.citation, official) or starts_with(official, f.citation) group by all),
-x as (select f.doc, f.ord, f.role, f.citation, exists (select 1 from o where o.doc = f.doc and o.official = f.citation) as exact, n.other from f left join n on n.doc = f.doc and n.ord = f.ord and n.role = f.role and n.citation = f.citation)
-select doc, ord, role, citation, case when exact then 'exact' when other is not null then 'close' else 'ungrounded' end as status, case when exact then citation else other end as official,
-  not exact and other is null as exception from x""")
+#: The matching-blocks ratio of sections, which have two to four digits: the longest common block, then what stands on its sides.
+_RATIO = """
+k as (select *, len(s) + len(o) as chars,
+  list_filter(range(1, len(s) - 1), lambda i: contains(o, substr(s, i, 3))) as three, list_filter(range(1, len(s)), lambda i: contains(o, substr(s, i, 2)))[1] as two, list_filter(range(1, len(s) + 1), lambda i: contains(o, substr(s, i, 1)))[1] as one from p),
+k2 as (select *, strpos(o, substr(s, two, 2)) as at2, substr(s, one + 1) as s1, substr(o, strpos(o, substr(s, one, 1)) + 1) as o1 from k),
+k3 as (select *, list_filter(range(1, len(s1) + 1), lambda i: contains(o1, substr(s1, i, 1)))[1] as next from k2),
+k4 as (select *, case when s = o then len(s) when len(three) > 0 then 3
+  when two is not null then 2 + (list_has_any(string_split(substr(s, 1, two - 1), ''), list_filter(string_split(substr(o, 1, at2 - 1), ''), lambda c: c <> '')))::int
+    + (list_has_any(string_split(substr(s, two + 2), ''), list_filter(string_split(substr(o, at2 + 2), ''), lambda c: c <> '')))::int
+  when next is not null then 2 + (list_has_any(string_split(substr(s1, next + 1), ''), list_filter(string_split(substr(o1, strpos(o1, substr(s1, next, 1)) + 1), ''), lambda c: c <> '')))::int
+  when one is not null then 1 else 0 end as matched from k3)"""
+
+
+@query(f"""
+with l as (select l_suppkey as doc, l_orderkey * 8 + l_linenumber as ord, l_returnflag as role, l_linenumber || '-' || (1 + l_partkey % 2) as ch, (10 + floor(l_extendedprice)::bigint % 1300)::varchar as s from lineitem),
+f as (select * from (select *, row_number() over (partition by doc, ch, s, role order by ord) as k from l where role <> 'N') where k = 1),
+o as (select distinct doc, ch, s as o from l where role = 'N'),
+p as (select f.doc, f.ord, f.role, f.ch, f.s, o.o from f join o on f.doc = o.doc and f.ch = o.ch), {_RATIO},
+n as (select doc, ord, role, ch, s, min((case when o = s then 0 when starts_with(o, s) then 1 when replace(o, '0', '') = replace(s, '0', '') then 2 else 3 end, ch || '-' || o)) as best
+  from k4 where starts_with(o, s) or replace(o, '0', '') = replace(s, '0', '') or 2.0 * matched / chars >= 0.75 group by all)
+select f.doc, f.ord, f.role, f.ch || '-' || f.s as citation, case when best is null then 'ungrounded' when best[1] = 0 then 'exact' else 'close' end as status, best[2] as official, best is null as exception
+from f left join n using (doc, ord, role, ch, s)""")
 def d15_grounded_citations(t):
-    text = lambda c: c.cast("string")
-    citation = F.concat_ws("-", text(F.col("l_linenumber")), text(F.col("l_partkey") % 9 + 1), text(F.col("l_quantity").cast("int")))
+    section = (F.floor("l_extendedprice") % 1300 + 10).cast("string")
+    citation = F.concat_ws("-", F.col("l_linenumber").cast("string"), (F.col("l_partkey") % 2 + 1).cast("string"), section)
     c = t.lineitem.select(F.col("l_suppkey").alias("doc"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ord"), F.col("l_returnflag").alias("role"), citation.alias("citation"))
     return checks.grounded_citations(c.where("role <> 'N'"), c.where("role = 'N'"))
 
 
-@query("""
+_BARE = "l_returnflag = 'R' and l_quantity < 5"
+
+
+@query(f"""
 with s as (select l_orderkey as doc, list_sort(list_distinct(list(l_linenumber) filter (l_returnflag = 'A'))) as a, list_sort(list_distinct(list(l_linenumber) filter (l_returnflag = 'N'))) as m,
-  list_sort(list_distinct(list(l_linenumber) filter (l_returnflag = 'R'))) as v from lineitem group by l_orderkey),
+  list_sort(list_distinct(list(l_linenumber) filter (l_returnflag = 'R' and not ({_BARE})))) as v, coalesce(bool_or({_BARE}), false) as cited_without_subsection, coalesce(bool_or(l_returnflag = 'R' and l_linenumber = 3), false) as litigation from lineitem group by l_orderkey),
 c as (select *, len(list_filter([a, m, v], lambda x: len(x) > 0)) as n, len(list_distinct(list_filter([a, m, v], lambda x: len(x) > 0))) = 1 as alike from s)
-select doc, n > 0 and alike as consistent, concat_ws(',', case when coalesce(len(a), 0) = 0 then 'none on the agenda' end, case when coalesce(len(m), 0) = 0 then 'none in the minutes' end, case when n > 1 and not alike then 'bases differ' end) as notes,
-  not alike as exception from c""")
+select doc, n > 0 and alike as consistent, concat_ws(',', case when n = 0 then 'no basis cited' end, case when coalesce(len(a), 0) = 0 then 'none on the agenda' end, case when coalesce(len(m), 0) = 0 then 'none in the minutes' end, case when n > 1 and not alike then 'bases differ' end) as notes,
+  not alike as exception, cited_without_subsection, case when litigation then '3' else '' end as purposes from c""")
 def d16_session_basis(t):
-    cited = lambda flag: F.array_sort(F.collect_set(F.when(F.col("l_returnflag") == flag, F.col("l_linenumber"))))
-    rows = t.lineitem.groupBy(F.col("l_orderkey").alias("doc")).agg(cited("A").alias("agenda"), cited("N").alias("minutes"), cited("R").alias("speech"))
-    return checks.session_basis(rows).select("doc", "consistent", F.array_join("notes", ",").alias("notes"), "exception")
+    n = F.col("l_linenumber").cast("string")
+    roman = F.get(F.array(*map(F.lit, checks.ROMAN)), F.col("l_linenumber") - 1)
+    said = F.when(F.expr(_BARE), F.lit("under 16-4-405 as noted")).otherwise(F.concat(F.when(F.col("l_partkey") % 2 == 0, "pursuant to 164405A").otherwise(">> [music] 16 4 405 a "), n))
+    said = F.concat(said, F.when(F.col("l_linenumber") == 3, " on litigation").otherwise(" to discuss"))
+    listed = lambda flag, c: F.array_join(F.collect_list(F.when(F.col("l_returnflag") == flag, c)), "; ")
+    texts = t.lineitem.groupBy(F.col("l_orderkey").alias("doc")).agg(
+        listed("A", F.concat(F.lit("W.S. 16-4- 405(a)("), roman, F.lit(")"))).alias("agenda"), listed("N", F.concat(F.lit("closed under 16-4-405(A)("), n, F.lit(")"))).alias("minutes"), listed("R", said).alias("speech")
+    )
+    out = checks.sessions_of(texts)
+    return out.select("doc", "consistent", F.array_join("notes", ",").alias("notes"), "exception", "cited_without_subsection", F.array_join(F.transform("purposes", lambda p: p.cast("string")), ",").alias("purposes"))
 
 
 @query()

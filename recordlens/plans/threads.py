@@ -199,8 +199,10 @@ def j04_best_match(t):
 with d as (select doc_id, {_TOK} as t from documents)
 select a.doc_id, round(len(list_intersect(a.t, b.t)) / greatest(len(list_distinct(list_concat(a.t, b.t))), 1), 6) as similarity from d a join d b on b.doc_id = a.doc_id + 1""")
 def t28_title_similarity(t):
-    d = t.documents.select("doc_id", F.array_distinct(fx.tokens(F.col("text"), 4)).alias("t"))
-    nxt = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("t").alias("u"))
+    # The same title at two readings: the prefix tells nothing.
+    title = lambda n: F.concat(F.lit(f"[CA] ORDINANCE - {n} READING - "), "text")
+    d = t.documents.select("doc_id", fx.title_key(title("1st")).alias("t"))
+    nxt = t.documents.select((F.col("doc_id") - 1).alias("doc_id"), fx.title_key(title("3rd")).alias("u"))
     return d.join(nxt, "doc_id").select("doc_id", F.round(fx.jaccard(F.col("t"), F.col("u")), 6).alias("similarity"))
 
 

@@ -1,11 +1,13 @@
 """Alignment and checks against fixed results."""
 
 import datetime as dt
+import difflib
+import random
 
 from pyspark.sql import functions as F
 
 from recordlens.functions import text as fx
-from recordlens.operators import alignment, checks, folds, names, records, threads
+from recordlens.operators import alignment, checks, folds, names, records, similarity, threads
 
 
 def test_item_numbers(spark):
@@ -89,9 +91,11 @@ def test_attendance_citations_basis_lifecycle(spark):
     roll = spark.createDataFrame([(1, ["A", "B"]), (2, ["A"]), (3, ["A"])], "doc int, present array<string>")
     heard = spark.createDataFrame([(1, ["A", "C"]), (2, ["A"])], "doc int, heard array<string>")
     assert {r.doc: r.exception for r in checks.attendance(roll, heard).collect()} == {1: True, 2: False, 3: False}
-    spoken = spark.createDataFrame([(1, 0, "public", "16-4-405"), (1, 1, "public", "16-04-405"), (1, 2, "official", "35-7-1046"), (1, 3, "public", "16-4-405")], "doc int, ord int, role string, citation string")
-    official = spark.createDataFrame([(1, "16-4-405")], "doc int, citation string")
-    assert {r.ord: r.status for r in checks.grounded_citations(spoken, official).collect()} == {0: "exact", 1: "close", 2: "ungrounded"}
+    said = ["21-7-308", "W.S. 21-7-38", "35-2-1046", "21-7-308", "21-7-30", "21-07-308", "21-7-338", "21-7-388", "21-7-99", "21-7", "8-1-1234"]
+    spoken = spark.createDataFrame([(1, k, "public", c) for k, c in enumerate(said)], "doc int, ord int, role string, citation string")
+    official = spark.createDataFrame([(1, "21-7-308"), (1, "21-7-3088"), (1, "8-1-1284"), (2, "21-7-99")], "doc int, citation string")
+    want = {0: ("exact", "21-7-308"), 1: ("close", "21-7-308"), 2: ("ungrounded", None), 4: ("close", "21-7-308"), 5: ("ungrounded", None), 6: ("ungrounded", None), 7: ("close", "21-7-3088"), 8: ("ungrounded", None), 9: ("ungrounded", None), 10: ("close", "8-1-1284")}
+    assert {r.ord: (r.status, r.official) for r in checks.grounded_citations(spoken, official).collect()} == want
     basis = spark.createDataFrame([(1, [7], [7], []), (2, [7], [9], [7]), (3, [], [], [])], "doc int, agenda array<int>, minutes array<int>, speech array<int>")
     assert {r.doc: (r.consistent, r.exception) for r in checks.session_basis(basis).collect()} == {1: (True, False), 2: (False, True), 3: (False, True)}
     d = dt.date
@@ -100,12 +104,61 @@ def test_attendance_citations_basis_lifecycle(spark):
     assert got == {1: (42, True, ["postponed repeatedly", "substitute at third reading"]), 2: (0, False, ["missing predecessor", "failed"]), 3: (0, False, [])}
 
 
+def test_close_citations_by_brute_force(spark):
+    rng = random.Random(12)
+    section = lambda: "".join(rng.choice("0123") for _ in range(rng.choice([2, 3, 4, 4])))
+    said, known = [f"7-1-{section()}" for _ in range(400)], sorted({f"7-1-{section()}" for _ in range(25)})
+    spoken = spark.createDataFrame([(1, k, "public", c) for k, c in enumerate(said)], "doc int, ord int, role string, citation string")
+    got = {r.citation: (r.status, r.official) for r in checks.grounded_citations(spoken, spark.createDataFrame([(1, c) for c in known], "doc int, citation string")).collect()}
+
+    def rank(a, b):
+        a, b = a[4:], b[4:]
+        return 0 if a == b else 1 if b.startswith(a) else 2 if a.replace("0", "") == b.replace("0", "") else 3 if difflib.SequenceMatcher(None, a, b).ratio() >= 0.75 else None
+
+    for c in set(said):
+        best = min(((rank(c, o), o) for o in known if rank(c, o) is not None), default=(None, None))
+        assert got[c] == ({None: "ungrounded", 0: "exact"}.get(best[0], "close"), best[1]), c
+
+
 def test_bases_of_closed_sessions(spark):
-    rows = [("under 16-4- 405(a)(iii) and 16-4-405(a)(10), 16-4-405(A)(3)", "pursuant to 164405A7 for real estate"), ("16-4-405(a)", "[music] >> 16 4 405 a 99 litigation"), ("", "")]
+    rows = [("as 16- 4-\n405(a)(iii) says, 16-4-405(a)(10) and 16-4-405 (A)(3)", "by 164405A7 on real estate [noise]"), ("16-4-405(a)", "[music] >> 16 4 405 a 99 litigation"), ("", ""), (None, None), ("16-4-405(a)(i) in", "16-4-405 and")]
     df = spark.createDataFrame(rows, "written string, spoken string").coalesce(1)
-    n, p = checks.spoken_basis(F.col("spoken"))
-    got = [(r.w, r.n, r.p) for r in df.select(checks.cited_basis(F.col("written")).alias("w"), n.alias("n"), p.alias("p")).collect()]
-    assert got == [([3, 10], [7], [7]), ([], [], [3]), ([], [], [])]
+    got = [(tuple(r.w), tuple(r.s)) for r in df.select(checks.closed_basis(F.col("written")).alias("w"), checks.closed_basis(F.col("spoken"), True).alias("s")).collect()]
+    assert got == [
+        (([3, 10], False, []), ([7], False, [7])), (([], True, []), ([], False, [3])), (([], False, []), ([], False, [])), (([], False, []), ([], False, [])), (([1], False, []), ([], True, [])),
+    ]
+
+
+def test_coverage_by_brute_force(spark):
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(30)]
+    items = [(k, rng.randint(0, 5), rng.sample(words, rng.randint(1, 9))) for k in range(120)]
+    entries = [(k, k, rng.randint(0, 4), rng.sample(words, rng.randint(0, 9)), rng.sample(words, rng.randint(0, 16)), 100) for k in range(40)] + [(90, 90, 5, ["w1"], ["w1"], 399)]
+    got = checks.coverage(spark.createDataFrame(items, "id int, meeting int, tokens array<string>"), spark.createDataFrame(entries, "id int, ord int, meeting int, tokens array<string>, raw array<string>, chars int"))
+    got = {r.left_id: r.exception for r in got.collect()}
+    want = {}
+    for k, m, t in items:
+        of = [e for e in entries if e[2] == m]
+        if sum(e[5] for e in of) >= 400:
+            want[k] = not any(len(set(t) & set(e[3])) / len(set(t) | set(e[3])) >= 0.34 or len(set(t) & set(e[4])) / len(set(t)) >= 0.6 for e in of)
+    assert got == want and {True, False} <= set(want.values()) and len(want) < 120
+
+
+def test_best_match_by_brute_force(spark):
+    rng = random.Random(7)
+    words = [f"w{min(rng.randint(0, 40), rng.randint(0, 40))}" for _ in range(600)]
+    sets = lambda n: [(k, k * 7 % 31, [rng.choice(words) for _ in range(rng.randint(0, 14))]) for k in range(n)]
+    left, right = sets(80), sets(200)
+    frames = [spark.createDataFrame(rows, "id int, ord int, tokens array<string>") for rows in (left, right)]
+    for least in (0.2, 0.5, 1.0):
+        sim = lambda a, b: round(len(set(a) & set(b)) / max(1, len(set(a) | set(b))), 6)
+        want = {}
+        for k, _, t in left:
+            near = [(-sim(t, u), o, i) for i, o, u in right if sim(t, u) >= least]
+            if near:
+                want[k] = (min(near)[:2], -min(near)[0])
+        got = {r.left_id: (next((-r.similarity, o) for i, o, _ in right if i == r.right_id), r.similarity) for r in similarity.best_match(frames[0].drop("ord"), frames[1], least, "ord").collect()}
+        assert got == want, least
 
 
 def test_progress_scores(spark):

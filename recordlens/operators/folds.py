@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..shared import written
+from .capture import numbered
+from .components import connected
+from .similarity import candidates, ordered, similar
 
 def new_suffix(previous: Column, current: Column) -> Column:
     """The part of ``current`` (array of lines) behind its longest overlap with the end of ``previous``."""
@@ -149,30 +153,41 @@ def chain(candidates: DataFrame) -> DataFrame:
 
 def greedy_groups(rows: DataFrame, least: float, days: int) -> DataFrame:
     """Groups of actions (block, ord, day, tokens): each joins the group whose last action is most similar (Jaccard at least
-    ``least``, at most ``days`` earlier), else opens one. Order decides, so a block is one fold over its sorted rows, read
-    batch by batch; it holds the groups whose last action is at most ``days`` old and compares with no others."""
+    ``least``, at most ``days`` earlier; of equal ones the group opened first), else opens one. Adds grp, counted in a block by first actions.
+
+    Order decides, but only among actions that may join each other: pairs that are similar and near in time are found by a prefix
+    join, and their connected components are folded, each by itself, over sorted rows. Actions without such a pair never reach a fold.
+    A fold holds the groups of its component whose last action is at most ``days`` old.
+    """
+    of_block = F.transform("tokens", lambda t: F.concat_ws("\x1f", F.col("block").cast("string"), t))
+    numbers = written(rows.withColumn("id", F.monotonically_increasing_id()), "actions")
+    (sets,) = ordered(numbers.select("id", "day", of_block.alias("tokens")))
+    other = sets.withColumnRenamed("day", "other_day")
+    near = (F.abs(F.col("other_day") - F.col("day")) <= days) & (F.col("left_id") < F.col("right_id"))
+    pairs = candidates(sets.withColumn("t", F.lit(least)), other, least, near)
+    roots = connected(similar(pairs, sets, sets, least).select(F.col("left_id").alias("a"), F.col("right_id").alias("b")))
+    linked = numbers.select("id", "day", "ord").join(sets.select("id", "tokens"), "id").join(roots, F.col("id") == F.col("node")).select("root", "day", "ord", "id", "tokens")
 
     def run(batches):
-        block, lasts, opened = None, None, 0
+        root, lasts = None, {}
         for b in batches:
             out = []
-            for key, day, tokens in zip(*(b.column(c).to_pylist() for c in ("block", "day", "tokens")), strict=True):
-                if lasts is None or key != block:
-                    block, lasts, opened = key, {}, 0
+            for key, day, ident, tokens in zip(*(b.column(c).to_pylist() for c in ("root", "day", "id", "tokens")), strict=True):
+                if key != root:
+                    root, lasts = key, {}
                 lasts = {g: x for g, x in lasts.items() if day - x[0] <= days}
-                mine, best = set(tokens or []), (-1.0, None)
+                mine, best = set(tokens), (-1.0, ident)
                 for g, (_, last) in lasts.items():
-                    union = len(mine | last)
-                    sim = len(mine & last) / union if union else 0.0
+                    common = len(mine & last)
+                    sim = common / (len(mine) + len(last) - common)
                     if sim >= least and sim > best[0]:
                         best = (sim, g)
-                g = best[1]
-                if g is None:
-                    g, opened = opened, opened + 1
-                lasts[g] = (day, mine)
-                out.append(g)
-            names = [n for n in b.schema.names if n != "tokens"]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(out, pa.int32())], [*names, "grp"])
-
-    names = [f"{n} {k}" for n, k in rows.dtypes if n != "tokens"]
-    return rows.repartition("block").sortWithinPartitions("block", "day", "ord").mapInArrow(run, ", ".join([*names, "grp int"]))
+                # A group is named by its first action; names stay in the order of opening.
+                lasts[best[1]] = (day, mine)
+                out.append(best[1])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.int64())], ["id", "lead"])
+
+    led = written(linked.repartition("root").sortWithinPartitions("root", "day", "ord").mapInArrow(run, "id long, lead long"), "groups")
+    named = numbers.select("id", "block", "day", "ord").join(led, "id", "left").withColumn("lead", F.coalesce("lead", "id"))
+    leads = numbered(named.where("id = lead").select("block", "day", "ord", "lead"), "block", "day", ["ord"], 365).select("lead", (F.col("cursor") - 1).cast("int").alias("grp"))
+    return numbers.drop("tokens").join(named.select("id", "lead"), "id").join(leads, "lead").select(*[c for c in rows.columns if c != "tokens"], "grp")

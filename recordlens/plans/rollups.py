@@ -298,10 +298,10 @@ def a34_freshness(t):
     return t.orders.agg(F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("freshest"), F.count(F.lit(1)).alias("entries"), late.alias("late"), (F.max("o_orderdate") >= F.expr("timestamp_ntz'1999-01-01 00:00:00'")).alias("fresh"))
 
 
-@query("select o_orderpriority as body, count(*) as meetings, array_to_string(list_sort(list(distinct strftime(o_orderdate, '%Y-%m')))[1:12], ',') as months from orders group by 1")
+@query("select o_orderpriority as body, count(*) as meetings, array_to_string(list_sort(list(distinct strftime(o_orderdate, '%Y-%m-%d'))), ',') as dates from orders group by 1")
 def a27_by_body(t):
-    g = t.orders.groupBy(F.col("o_orderpriority").alias("body")).agg(F.count(F.lit(1)).alias("meetings"), F.array_sort(F.collect_set(F.date_format("o_orderdate", "yyyy-MM"))).alias("m"))
-    return g.select("body", "meetings", F.array_join(F.slice("m", 1, 12), ",").alias("months"))
+    g = t.orders.groupBy(F.col("o_orderpriority").alias("body")).agg(F.count(F.lit(1)).alias("meetings"), F.array_sort(F.collect_set(F.date_format("o_orderdate", "yyyy-MM-dd"))).alias("d"))
+    return g.select("body", "meetings", F.array_join("d", ",").alias("dates"))
 
 
 @query("""

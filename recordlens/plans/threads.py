@@ -244,12 +244,12 @@ def j01_missing_files(t):
 
 
 @query("""
-with o as (select *, row_number() over (partition by o_custkey, strftime(o_orderdate, '%Y-%m') order by o_orderkey) as k from orders)
-select c_custkey, o_orderkey from customer left join o on o_custkey = c_custkey and k = 1 and strftime(o_orderdate, '%Y-%m') = '1998-03'""")
+with o as (select *, strftime(o_orderdate, '%Y-%m') as month, row_number() over (partition by o_custkey, strftime(o_orderdate, '%Y-%m'), o_orderpriority order by o_orderkey) as k from orders)
+select c_custkey, month, o_orderpriority as kind, o_orderkey from customer left join o on o_custkey = c_custkey and k = 1""")
 def j02_first_match(t):
-    o = t.orders.withColumn("month", F.date_format("o_orderdate", "yyyy-MM"))
-    first = o.groupBy("o_custkey", "month").agg(F.min("o_orderkey").alias("o_orderkey")).where("month = '1998-03'")
-    return t.customer.join(first, F.col("o_custkey") == F.col("c_custkey"), "left").select("c_custkey", "o_orderkey")
+    o = t.orders.select(F.col("o_custkey").alias("c_custkey"), F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.col("o_orderpriority").alias("kind"), "o_orderkey")
+    first = o.groupBy("c_custkey", "month", "kind").agg(F.min("o_orderkey").alias("o_orderkey"))
+    return t.customer.select("c_custkey").join(first, "c_custkey", "left")
 
 
 @query("select c_custkey, (select max(o_orderkey) from orders where o_custkey = c_custkey) as o_orderkey from customer")

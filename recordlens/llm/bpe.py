@@ -19,8 +19,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Pieces that a worker remembers; it forgets all of them when there are more.
-CACHE_PIECES = 400_000
+from .staging import lean
+
+#: Pieces that a worker remembers; it forgets all of them when there are more. The second number is for tasks that forget at their end.
+CACHE_PIECES, FEWER_PIECES = 400_000, 100_000
 
 _PRE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Where cutting at single spaces differs from cutting by the pattern.
@@ -62,6 +64,7 @@ class Encoder:
         #: Token lengths that occur before three last bytes, the longest first.
         self.sizes = {end: (*sorted(found, reverse=True), *_SHORT) for end, found in sizes.items()}
         self.fits: dict[tuple[int, int], bool] = {}
+        self.most = CACHE_PIECES
         self.pieces: dict[str, tuple[str, bytes]] = {}
         self.words: dict[bytes, tuple[str, bytes]] = {}
         self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
@@ -150,7 +153,7 @@ class Encoder:
 
     def learn(self, pieces: set[str]) -> None:
         """Encode pieces that are not known yet."""
-        if len(self.pieces) + len(pieces) > CACHE_PIECES:
+        if len(self.pieces) + len(pieces) > self.most:
             self.forget()
         words, parts = self.words, {}
         for p in pieces:
@@ -184,7 +187,7 @@ class Encoder:
                 at = m.end()
             cut.append([*parts, self.split(t[at:])])
         new = {p for parts in cut for ps in parts if not isinstance(ps, str) for p in ps if p not in self.pieces}
-        if len(self.pieces) + len(new) > CACHE_PIECES:
+        if len(self.pieces) + len(new) > self.most:
             new = {p for parts in cut for ps in parts if not isinstance(ps, str) for p in ps}
         self.learn(new)
         known, out = self.pieces, []
@@ -213,10 +216,12 @@ def encode_documents(docs: DataFrame, vocabulary: str, full: bool = False, forge
 
     With ``forget``, a task drops the pieces that it has learnt when it ends: a worker outlives its tasks,
     and where other kinds of stages share the executors, they need the memory. Else later tasks use them.
+    It also remembers fewer at once.
     """
 
     def run(batches):
         enc = encoder(vocabulary)
+        enc.most = FEWER_PIECES if forget else CACHE_PIECES
         for b in batches:
             ids_out, texts = b.column("doc_id"), b.column("text")
             row = 0
@@ -242,4 +247,4 @@ def encode_documents(docs: DataFrame, vocabulary: str, full: bool = False, forge
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if full else [])]
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * full
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(lean(run) if forget else run, schema)

@@ -100,7 +100,7 @@ def test_registered():
 
 def test_sql(spark):
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "benchmark"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     for name, sql in registry.oracle_sql().items():
         got = registry.queries()[name](spark, SF)

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions import markdown
 from ..functions import text as fx
 from ..functions import urls as ux
 from ..operators import pages as px
@@ -93,6 +94,23 @@ def t18_links(t):
     return px.links(t.pages).select("page_id", "ord", "href", "anchor")
 
 
+@query()
+def t17_markdown(t):
+    return markdown.pages_markdown(t.pages).select("page_id", "markdown")
+
+
+_SHOWN = "regexp_replace(html, '(?is)<!--.*?-->|" + "|".join(rf"<{x}\b.*?</{x}\s*>" for x in ("script", "style", "noscript", "template")) + "', '', 'g')"
+
+
+@query(rf"""
+with p as (select page_id, {_SHOWN} as body from pages),
+l as (select page_id, body, regexp_extract_all(body, '(?is)<a\s[^>]*href\s*=\s*["'']([^"'']+)["''][^>]*>.*?</a\s*>', 1) as hrefs from p)
+select page_id, replace(trim(regexp_replace(regexp_extract(body, '(?is)<title[^>]*>(.*?)</title\s*>', 1), '\s+', ' ', 'g')), '&amp;', '&') as title, len(hrefs) as n_links, array_to_string(hrefs, ' ') as hrefs from l""")
+def t18_page_parts(t):
+    p = markdown.pages_markdown(t.pages)
+    return p.select("page_id", F.coalesce("title", F.lit("")).alias("title"), F.size("links").cast("long").alias("n_links"), F.array_join("links.href", " ").alias("hrefs"))
+
+
 @query(r"select page_id, trim(regexp_replace(regexp_replace(html, '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) as line from pages")
 def t19_clean_line(t):
     return t.pages.select("page_id", fx.collapse(F.regexp_replace("html", "<[^>]*>", "")).alias("line"))

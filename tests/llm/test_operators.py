@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -269,6 +270,35 @@ def test_url_filter_propagates_to_aliases(spark):
     assert got[9] == got[10] == ("", "", None, "allow") and got[11] == ("lonely.net", "", None, "allow") and got[12][2:] == ("org/", "allow") and got[13][2] is None
 
 
+PLANTED = [  # (url, html, verdict)
+    ("https://a.net/1", "<!-- <link rel=canonical href=https://x.com/de/1> -->", "allow"),
+    ("https://a.net/2", "<script>var s = '<link rel=\"canonical\" href=\"https://x.com/de/2\">';</script>", "allow"),
+    ("https://a.net/3", "<link rel=canonical title=\"a>b\" href=\"https://x.com/de/3\">", "block"),
+    ("https://a.net/4", "<META HTTP-EQUIV='refresh' content=\"0; https://x.com/de/4\">", "block"),
+    ("https://a.net/5", "<meta http-equiv=refresh content='5; URL=\"https://x.com/de/5\"'>", "block"),
+    ("https://a.net/6", "<meta http-equiv=refresh content=5><textarea><link rel=canonical href=https://x.com/de/6></textarea>", "allow"),
+    ("https://a.net/7", "<style><link rel=canonical href=https://x.com/de/7></style><link rel='alternate canonical' href='/8?q=1'>", "block"),
+    ("https://a.net/8", "<link href=https://x.com/de/8 rel=canonical>", "block"),
+    ("https://a.net/9", "<link rel=canonical href=https://x.com/de/9><meta http-equiv=refresh content='0;url=https://b.org/'>", "allow"),
+    ("https://x.com/de/9", None, "block"),
+    ("https://a.net/10", "<!-- open <link rel=canonical href=https://x.com/de/10>", "allow"),
+    ("https://a.net/11", "<link rel=canonical data-x='" + "y" * 200_000 + "' href=https://x.com/de/11>", "block"),
+    (None, "<link rel=canonical href=https://x.com/de/1>", "allow"),
+]
+
+
+def test_url_filter_reads_tags_as_browsers_do(spark):
+    rows = [(k, url, html) for k, (url, html, _) in enumerate(PLANTED)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: tuple(r) for r in url_filter.url_filter(df).select("page_id", "host", "path", "rule", "verdict").collect()}
+    assert {k: r[4] for k, r in got.items()} == {k: v for k, (_, _, v) in enumerate(PLANTED)}
+    con = duckdb.connect()
+    con.execute("create table pages (page_id bigint, url varchar, html varchar)")
+    con.executemany("insert into pages values (?, ?, ?)", rows)
+    assert {r[0]: r for r in con.execute(url_filter.oracle()).fetchall()} == got
+    assert url_filter.url_filter(df.where("false")).count() == 0
+
+
 def test_url_filter_resolves_every_target(spark):
     refresh, link = '<meta http-equiv="refresh" content="0; url={}">', '<link rel="{}" href="{}">'
     pages = [

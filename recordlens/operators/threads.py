@@ -163,3 +163,64 @@ def packets(scores: DataFrame, threads: DataFrame, top: int, limit: int) -> Data
     return t.groupBy("conv_id", "resume_score").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.col("text").substr(1, limit).alias("text")))), lambda x: x["text"]), "\n").alias("packet")
     )
+
+
+# What attachments leave in a text, and the words that name nothing.
+ATTACHMENTS = (
+    r"(?i)Attached \d+ files?\.|\[(?:Audio included|image[^\]]*)\.?\]\([^)]*\)|!\[[^\]]*\]|\[[^\]]*\.(?:png|jpe?g|wav|mp3|mp4|pdf|html?|csv|json|txt|srt|vtt)\]\([^)]*\)"
+)
+
+
+def thread_names(turns: DataFrame, labels: list[tuple[str, str]], broad: set[str], stop: list[str], first: int = 8, last: int = 4, sure: float = 4.0, share: float = 0.02) -> DataFrame:
+    """(thread, name) of turns (thread, ord, text): the best label of its subject, else its proper nouns, else its salient words.
+
+    1. Labels (pattern, label) are voted for by their matches in the thread's first and last turns (a turn that is both counts twice): twice
+       where the pattern has several words, 0.35 times where the label is ``broad``. The label of most votes, the first listed on ties, names the
+       thread, unless it is broad and has less than ``sure`` votes.
+    2. Capitalised words inside sentences of the same turns, found twice or more: the two most frequent, the first to appear on ties.
+    3. Words and word pairs of all turns: the most frequent pair, if it is among the twelve most frequent terms, the first pair of them and ``share`` of
+       all; else the two most frequent words. Capitalised words of four letters and more count half as much again.
+    """
+    ends = W.partitionBy("thread")
+    t = turns.withColumn("text", F.regexp_replace(F.coalesce("text", F.lit("")), ATTACHMENTS, " "))
+    marked = t.withColumns({"a": F.row_number().over(ends.orderBy("ord")), "z": F.row_number().over(ends.orderBy(F.desc("ord")))})
+    anchor = marked.withColumn("times", (F.col("a") <= first).cast("int") + (F.col("z") <= last).cast("int")).where("times > 0")
+
+    def weight(pattern: str, label: str) -> float:
+        return (2.0 if " " in pattern or "|" in pattern else 1.0) * (0.35 if label in broad else 1.0)
+
+    votes = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(label).alias("label"), (F.regexp_count("text", F.lit(f"(?i){p}")) * F.col("times") * F.lit(weight(p, label))).alias("v")) for k, (p, label) in enumerate(labels)])
+    # Labels that several patterns share are one.
+    counted = anchor.select("thread", F.inline(votes)).where("v > 0").groupBy("thread", "label").agg(F.round(F.sum("v"), 6).alias("v"), F.min("k").alias("k"))
+    voted = counted.groupBy("thread").agg(F.max_by(F.struct("label", "v"), F.struct("v", (-F.col("k")).alias("k"))).alias("best")).select("thread", F.when(~F.col("best.label").isin(*broad) | (F.col("best.v") >= sure), F.col("best.label")).alias("voted"))
+
+    sentence = anchor.select("thread", "a", "times", F.posexplode(F.split("text", r"[.!?\n]")).alias("s", "sentence"))
+    whole = lambda c: F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}_]+"), 0)
+    words = F.filter(whole("sentence"), lambda w: w.rlike(r"^[A-Z][a-zA-Z]{2,}$"))
+    opens = F.startswith(F.trim("sentence"), F.coalesce(F.get("w", F.lit(0)), F.lit("\x00")))
+    inner = sentence.withColumn("w", words).select("thread", "a", "s", "times", F.posexplode(F.when(opens, F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0)))).otherwise(F.col("w"))).alias("k", "word"))
+    proper = inner.where(~F.lower("word").isin(*stop)).groupBy("thread", "word").agg(F.sum("times").alias("n"), F.min(F.struct("a", "s", "k")).alias("at")).where("n >= 2")
+    nouns = _top(proper, F.struct((-F.col("n")).alias("n"), "at"), "word", 2, "nouns")
+
+    tokens = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z][a-z'-]+"), 0), lambda w: (F.length(w) > 2) & ~w.isin(*stop))
+    said = t.select("thread", "text", tokens.alias("w"))
+    pairs = F.transform(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", x, F.get("w", i + 1)))
+    capital = F.transform(F.filter(whole("text"), lambda w: w.rlike(r"^[A-Z][a-z]{3,}$") & ~F.lower(w).isin(*stop)), F.lower)
+    terms = said.select("thread", F.explode(F.concat(F.transform(F.concat("w", pairs), lambda x: F.struct(x.alias("term"), F.lit(1.0).alias("n"))), F.transform(capital, lambda x: F.struct(x.alias("term"), F.lit(1.5).alias("n"))))).alias("x"))
+    counts = terms.groupBy("thread", "x.term").agg(F.sum("x.n").alias("n"))
+    total = counts.groupBy("thread").agg(F.sum("n").alias("total"))
+    best = counts.withColumn("k", F.row_number().over(W.partitionBy("thread").orderBy(F.desc("n"), "term"))).where("k <= 12").join(total, "thread")
+    isolated = best.groupBy("thread").agg(
+        F.min_by(F.struct("term", (F.col("n") / F.col("total")).alias("share")), F.when(F.col("term").contains(" "), F.col("k"))).alias("pair"),
+        F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("k", "term"))), 1, 2), lambda x: F.initcap(x["term"])), " / ").alias("words"),
+    )
+    salient = isolated.select("thread", F.when(F.col("pair.share") >= share, F.initcap("pair.term")).otherwise(F.col("words")).alias("salient"))
+    j = turns.select("thread").distinct().join(voted, "thread", "left").join(nouns, "thread", "left").join(salient, "thread", "left")
+    return j.select("thread", F.coalesce("voted", F.array_join("nouns", " / "), "salient", F.lit("Untitled thread")).alias("name"))
+
+
+def _top(rows: DataFrame, order: Column, value: str, n: int, name: str) -> DataFrame:
+    """(thread, name): the first ``n`` values of each thread."""
+    k = F.row_number().over(W.partitionBy("thread").orderBy(order))
+    kept = rows.withColumn("_k", k).where(F.col("_k") <= n)
+    return kept.groupBy("thread").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", value))), lambda x: x[value]).alias(name))

@@ -7,6 +7,7 @@ from ..functions import text as fx
 from ..operators import checks
 from ..operators import lexicon as lx
 from ..operators import similarity as sm
+from ..operators import threads
 from ..sources import sinks
 from .base import query
 
@@ -75,23 +76,37 @@ def a15_status_tallies(t):
     return t.events.groupBy(F.col("event_type").alias("role"), status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(r"""
-with p as (select conv_id, unnest(regexp_extract_all(text, '[a-z,] ([A-Z][a-z]+)', 1)) as w from conversations),
-c as (select conv_id, w, count(*) as n from p group by all),
-n as (select conv_id, max_by(w, (n, w)) as proper from c where n >= 2 group by conv_id),
-t as (select conv_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) >= 5)) as w from conversations),
-k as (select conv_id, max_by(w, (n, w)) as top from (select conv_id, w, count(*) as n from t group by all) group by conv_id)
-select conv_id, coalesce(proper, top, 'thread') as name from (select distinct conv_id from conversations) left join n using (conv_id) left join k using (conv_id)""")
+_LABELS = [("thth|shth", "Twin sounds"), ("onsh", "On"), ("wh (?:an|in)|handsh", "Two words"), ("tion", "Actions")]
+_BROAD = {"Actions", "On"}
+_NAME_STOP = ["the", "and", "that", "with", "was", "for"]
+_QUOTED = ", ".join(f"'{w}'" for w in _NAME_STOP)
+_VOTES = " union all ".join(
+    f"select thread, {k} as k, '{label}' as label, sum(len(regexp_extract_all(text, '(?i){p}')) * times) * {(2.0 if ' ' in p or '|' in p else 1.0) * (0.35 if label in _BROAD else 1.0)} as v from anchor group by thread" for k, (p, label) in enumerate(_LABELS)
+)
+
+
+@query(rf"""
+with t as (select conv_id as thread, turn, text, row_number() over (partition by conv_id order by turn) as a, row_number() over (partition by conv_id order by turn desc) as z from conversations),
+anchor as (select *, (a <= 8)::int + (z <= 4)::int as times from t where a <= 8 or z <= 4),
+v as (select thread, arg_max((label, round(v, 6)), (round(v, 6), -k)) as best from ({_VOTES}) where v > 0 group by thread),
+s as (select thread, a, times, unnest(l) as sentence, generate_subscripts(l, 1) as s from (select *, string_split_regex(text, '[.!?\n]') as l from anchor)),
+w as (select *, list_filter(regexp_extract_all(sentence, '[\pL\pN_]+'), lambda y: regexp_matches(y, '^[A-Z][a-zA-Z]{{2,}}$')) as w from s),
+i as (select thread, a, s, times, unnest(l) as word, generate_subscripts(l, 1) as k from (select *, case when starts_with(trim(sentence), coalesce(w[1], chr(1))) then w[2:] else w end as l from w)),
+p as (select thread, word, sum(times) as n, min((a, s, k)) as at_ from i where lower(word) not in ({_QUOTED}) group by all having sum(times) >= 2),
+pn as (select thread, string_agg(word, ' / ' order by r) as nouns from (select *, row_number() over (partition by thread order by n desc, at_) as r from p) where r <= 2 group by thread),
+x as (select thread, text, list_filter(regexp_extract_all(lower(text), '[a-z][a-z''-]+'), lambda x: len(x) > 2 and x not in ({_QUOTED})) as w from t),
+m as (select thread, unnest(w) as term, 1.0 as n from x union all select thread, unnest(list_transform(w[1:len(w) - 1], lambda y, i: y || ' ' || w[i + 1])), 1.0 from x
+  union all select thread, unnest(list_filter(list_transform(list_filter(regexp_extract_all(text, '[\pL\pN_]+'), lambda y: regexp_matches(y, '^[A-Z][a-z]{{3,}}$')), lambda y: lower(y)), lambda y: y not in ({_QUOTED}))), 1.5 from x),
+c as (select thread, term, sum(n) as n from m group by all),
+b as (select *, row_number() over (partition by thread order by n desc, term) as k, sum(n) over (partition by thread) as total from c),
+f as (select thread, arg_min((term, n / total), k) filter (contains(term, ' ')) as pair, string_agg(term, ' / ' order by k) filter (k <= 2) as words from b where k <= 12 group by thread),
+up as (select thread, case when pair[2] >= 0.02 then pair[1] else words end as salient from f),
+cap as (select thread, string_agg(upper(y[1]) || y[2:], ' ' order by o) as salient from (select thread, unnest(string_split(salient, ' ')) as y, generate_subscripts(string_split(salient, ' '), 1) as o from up) group by thread)
+select d.thread as conv_id, coalesce(case when v.best[1] not in ('Actions', 'On') or v.best[2] >= 4 then v.best[1] end, pn.nouns, cap.salient, 'Untitled thread') as name
+from (select distinct thread from t) d left join v using (thread) left join pn using (thread) left join cap using (thread)""")
 def a19_thread_names(t):
-    c = t.conversations
-
-    def top(words, least):
-        n = c.select("conv_id", F.explode(words).alias("w")).groupBy("conv_id", "w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-        return n.groupBy("conv_id").agg(F.max_by("w", F.struct("n", "w")).alias("best"))
-
-    proper = top(F.regexp_extract_all("text", F.lit("[a-z,] ([A-Z][a-z]+)"), 1), 2).withColumnRenamed("best", "proper")
-    word = top(fx.tokens(F.col("text"), 5), 1)
-    return c.select("conv_id").distinct().join(proper, "conv_id", "left").join(word, "conv_id", "left").select("conv_id", F.coalesce("proper", "best", F.lit("thread")).alias("name"))
+    turns = t.conversations.select(F.col("conv_id").alias("thread"), F.col("turn").alias("ord"), "text")
+    return threads.thread_names(turns, _LABELS, _BROAD, _NAME_STOP).withColumnRenamed("thread", "conv_id")
 
 
 @query("select doc_id, upper(left(text, 5)) = upper(left(lang, 5)) as pdf, starts_with(text, 'The') as supported from documents")

@@ -124,15 +124,21 @@ def rocks(spark):
     spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
 
 
-def streamed(spark, tmp_path, batches, **more):
-    """Each batch by a query of its own that goes on from the checkpoint of the one before."""
+def streamed(spark, tmp_path, batches, until=(), **more):
+    """Each batch by a query of its own that goes on from the checkpoint of the one before; with timers, until so many rows are published."""
     for k, rows in enumerate(batches):
         spark.createDataFrame(rows, capture.EVENT).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
-        if k and more:
-            time.sleep(more["idle_ms"] / 1000 + 0.5)
         out = live.captured(spark.readStream.schema(capture.EVENT).json(str(tmp_path / "in")), **more)
-        q = out.writeStream.format("json").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
-        q.awaitTermination(180)
+        w = out.writeStream.format("json").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "at"))
+        if more:  # timers need batches that go on without data
+            q = w.trigger(processingTime="1 second").start()
+            end = time.time() + 90
+            while time.time() < end and q.isActive and len([x for f in (tmp_path / "out").glob("*.json") for x in f.read_text().splitlines() if '"published"' in x]) < until[k]:
+                time.sleep(0.5)
+            q.stop()
+        else:
+            q = w.trigger(availableNow=True).start()
+            q.awaitTermination(180)
         assert q.exception() is None
     return spark.read.schema(live.CAPTURED).json(str(tmp_path / "out"))
 
@@ -158,7 +164,7 @@ def test_stream_is_the_fold_over_restarts(rocks, tmp_path):
 
 def test_idle_feed_is_recovered(rocks, tmp_path):
     first = [event("f", 1, "start", "s"), event("f", 3, "segment", "s", 2, "c", 20.0), event("f", 4, "segment", "s", 1, "b", 30.0), event("f", 5, "segment", "s", 4, "e", 10.0)]
-    out = streamed(rocks, tmp_path, [first, [event("g", 1, "start", "t")], [event("f", 9, "segment", "s", 0, "a", 0.0)]], idle_ms=2000)
+    out = streamed(rocks, tmp_path, [first, [event("f", 9, "segment", "s", 0, "a", 0.0)]], until=(3, 4), idle_ms=3000)
     rows = [(r.segment_id, r.cursor) for r in out.where("kind = 'published' and feed_id = 'f'").orderBy("cursor").collect()]
     assert rows == [("e", 1), ("c", 2), ("b", 3), ("a", 4)]
     assert {r.status for r in out.where("kind = 'session' and feed_id = 'f'").collect()} == {"active", "recovered"}

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as fx
+from ..operators import acoustics
 from ..operators import timeline as tl
 from ..operators import votes as vt
 from .base import query
@@ -89,10 +90,30 @@ def a39_weighted_mean(t):
     return t.events.groupBy("user_id").agg(F.round(F.sum(F.col("value") * d) / F.sum(d), 6).alias("mean_logprob"), F.max("value").alias("max_no_speech"))
 
 
-@query("""
-select event_id, case when value < 2.0 then 'acoustic_silence' when event_id % 100 < 3 then 'low_speech_ratio' else 'speech' end as gate from events""")
+_SOUND = """
+with v as (select vec_id as id, list_transform(embedding, lambda x: floor(x * 6000)::int / 32768.0::double) as x from embeddings),
+f as (select id, x, list_transform(range(0, len(x) // 8), lambda k: 20 * log10(sqrt(list_sum(list_transform(x[k * 8 + 1 : k * 8 + 8], lambda y: y * y)) / 8 + 1e-12))) as frames from v),
+l as (select id, round(len(x) / 400.0::double, 3) as duration_seconds, round(20 * log10(sqrt(list_sum(list_transform(x, lambda y: y * y)) / len(x) + 1e-12)), 2) as rms_dbfs, round(20 * log10(list_max(list_transform(x, lambda y: abs(y))) + 1e-12), 2) as peak_dbfs,
+  round(len(list_filter(frames, lambda d: d > -33)) / len(frames)::double, 4) as speech_frame_ratio from f)"""
+
+
+def _levels(t):
+    """Vectors as sound: 400 samples a second."""
+    half = lambda x: F.lpad(F.hex(F.floor(x.cast("double") * 6000).cast("long") + 65536), 5, "0")
+    swapped = F.array_join(F.transform("embedding", lambda x: F.concat(F.substring(half(x), 4, 2), F.substring(half(x), 2, 2))), "")
+    chunks = t.embeddings.select(F.col("vec_id").alias("id"), F.unhex(swapped).alias("pcm"), F.lit(400).alias("rate"), F.lit(1).alias("channels"))
+    return acoustics.levels(chunks, loud=-33.0)
+
+
+@query(f"""{_SOUND},
+p as (select conv_id as id, turn, trim(text) as text, (length(text) % 10) / 10.0::double as no_speech, -(length(text) % 13) / 10.0::double as logprob from conversations),
+k as (select id, string_agg(text, ' ' order by turn) as text from p where text <> '' and not (no_speech >= 0.6 and logprob < -1.1) and not (lower(text) in ('thank you.', 'you', '.', '...') and (no_speech > 0.45 or logprob < -1.0)) group by id),
+g as (select id, case when rms_dbfs < -40 or speech_frame_ratio < 0.5 then 'acoustic_silence' when k.text is null then 'vad_or_nonspeech_filtered' end as gate_reason, text from l left join k using (id))
+select id, case when gate_reason is null then 'speech' else 'no_speech' end as kind, case when gate_reason is null then md5(text) else md5('') end as text, gate_reason from g""")
 def f11_speech_gate(t):
-    return t.events.select("event_id", F.when(F.col("value") < 2.0, "acoustic_silence").when(F.col("event_id") % 100 < 3, "low_speech_ratio").otherwise("speech").alias("gate"))
+    n = F.length("text")
+    pieces = t.conversations.select(F.col("conv_id").alias("id"), F.col("turn").alias("ord"), "text", ((n % 10) / 10).alias("no_speech"), (-(n % 13) / 10).alias("logprob"))
+    return acoustics.heard(acoustics.gated(_levels(t), -40.0, 0.5), pieces, 0.6).withColumn("text", F.md5("text"))
 
 
 @query("""
@@ -304,14 +325,9 @@ def a27_by_body(t):
     return g.select("body", "meetings", F.array_join("d", ",").alias("dates"))
 
 
-@query("""
-select vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: cast(x as double) * x)) / len(embedding)), 6) as rms, round(cast(list_max(list_transform(embedding, lambda x: abs(x))) as double), 6) as peak,
-  round(len(list_filter(embedding, lambda x: abs(x) > 0.5)) / len(embedding), 6) as speech from embeddings""")
+@query(f"{_SOUND} select * from l")
 def a38_acoustic_metrics(t):
-    d = F.transform("embedding", lambda x: x.cast("double"))
-    rms = F.sqrt(F.aggregate(d, F.lit(0.0), lambda a, x: a + x * x) / F.size(d))
-    speech = F.size(F.filter(d, lambda x: F.abs(x) > 0.5)) / F.size(d)
-    return t.embeddings.select("vec_id", F.round(rms, 6).alias("rms"), F.round(F.array_max(F.transform(d, F.abs)), 6).alias("peak"), F.round(speech, 6).alias("speech"))
+    return _levels(t)
 
 
 @query("select user_id as service, max_by(value, event_id) as items, max(event_id) as last_id from events group by 1")

@@ -21,6 +21,25 @@ def test_paged_offsets(spark, options, ids):
     assert [json.loads(r.record)["id"] for r in rows.orderBy("ordinal").collect()] == ids
 
 
+@pytest.mark.parametrize("dialect", ["offset", "feature"])
+def test_paged_ranges_and_pushed_bounds(spark, dialect):
+    spark.sparkContext.addPyFile(os.path.join(os.path.dirname(__file__), "paged_fixture.py"))
+    spark.dataSource.register(PagedRecords)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        rows = spark.read.format("paged_records").options(reader=f"paged_fixture.{dialect}", dialect=dialect, pageSize="1", pagesPerTask="2", pushDown="true").load()
+        assert rows.rdd.getNumPartitions() == 3 and sorted(r.ordinal for r in rows.collect()) == [0, 1, 2, 3, 4]  # no total is known
+        for condition, want in (("ordinal >= 1 and ordinal < 4", [1, 2, 3]), ("ordinal = 2", [2]), ("ordinal > 3", [4]), ("ordinal <= 0", [0]), ("ordinal > 9", []), ("ordinal >= 3 and record like '%4%'", [4])):
+            found = rows.where(condition)
+            assert sorted(r.ordinal for r in found.collect()) == want, condition
+        plan = rows.where("ordinal >= 3")._jdf.queryExecution().executedPlan().toString()
+        assert "BatchScan" in plan and "Filter " not in plan  # the source has taken the condition
+        assert "Filter " in rows.where("record like '%4%'")._jdf.queryExecution().executedPlan().toString()
+        assert rows.where("ordinal >= 3").rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
 def test_paged_features(spark):
     spark.sparkContext.addPyFile(os.path.join(os.path.dirname(__file__), "paged_fixture.py"))
     spark.dataSource.register(PagedRecords)

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 
 from .names import with_ratio
 from .similarity import best_match, candidates, contained, ordered, similar
+from .timeline import within
 
 
 def postponements(postponed: DataFrame, agenda: DataFrame, meetings: DataFrame, days: int = 60, least: float = 0.5) -> DataFrame:
@@ -47,6 +48,29 @@ def roster_heard(listed: DataFrame, words: DataFrame, keys: list[str]) -> DataFr
     return listed.join(heard, keys, "left").withColumn("heard", F.coalesce("_heard", F.lit(False))).drop("_heard")
 
 
+def commenters_in_window(items: DataFrame, segments: DataFrame, entries: DataFrame, apart: int = 4, least: float = 0.3, width_seconds: int = 3600) -> DataFrame:
+    """R5: the public commenters that the minutes list for an item against the speakers who introduce themselves while it is dealt with.
+
+    ``items`` (doc, item, start, end, tokens, listed: names), ``segments`` (doc, ts, text, intro: whether a speaker introduces themselves) and
+    ``entries`` (doc, ord, tokens, listed), the minutes. Segments meet items by time, in buckets of ``width_seconds``. A listed name is heard if its surname, of
+    more than three letters, is part of a segment of the item. Comments that an item lacks may be listed under a related one: the entry of the
+    document with commenters whose title is most similar, ``least`` at least. Items without names and speakers are left out.
+    """
+    surname = lambda name: F.lower(F.element_at(F.regexp_extract_all(F.concat(F.lit("a "), F.split_part(name, F.lit(","), F.lit(1))), F.lit("[A-Za-z']+"), 0), -1))
+    said = within(segments, items.select("doc", "item", "start", "end"), ["doc"], "ts", "start", "end", width_seconds).select("doc", "item", F.lower("text").alias("text"), "intro")
+    starts = said.groupBy("doc", "item").agg(F.count_if("intro").alias("introduced"))
+    named = items.select("doc", "item", F.posexplode("listed").alias("k", "name")).withColumn("surname", surname(F.col("name"))).where(F.length("surname") > 3)
+    heard = said.join(named, ["doc", "item"]).where(F.contains("text", F.col("surname"))).select("doc", "item", "k").distinct().groupBy("doc", "item").agg(F.count(F.lit(1)).alias("heard"))
+    j = items.select("doc", "item", F.size("listed").alias("listed")).join(starts, ["doc", "item"], "left").join(heard, ["doc", "item"], "left").na.fill(0, ["introduced", "heard"])
+    j = j.where("listed > 0 or introduced > 0")
+    of = lambda: F.transform("tokens", lambda t: F.concat_ws("\x1f", F.col("doc").cast("string"), t)).alias("tokens")
+    lonely = items.join(j.where("listed = 0").select("doc", "item"), ["doc", "item"]).select(F.struct("doc", "item").alias("id"), of())
+    related = best_match(lonely, entries.where(F.size("listed") > 0).select(F.col("ord").alias("id"), "ord", of()), least, "ord")
+    j = j.join(related.select("left_id.doc", "left_id.item", F.col("right_id").alias("related")), ["doc", "item"], "left")
+    exception = ((F.col("listed") >= 2) & (F.col("introduced") == 0)) | ((F.col("listed") == 0) & (F.col("introduced") >= 2)) | (F.abs(F.col("listed") - F.col("introduced")) >= apart)
+    return j.withColumn("exception", exception & F.col("related").isNull())
+
+
 def attendance(roll: DataFrame, spoken: DataFrame) -> DataFrame:
     """R6: the recorded roll (doc, present) against the members heard in the roll call (doc, heard)."""
     j = roll.join(spoken, "doc", "left").withColumn("heard", F.coalesce("heard", F.expr("cast(array() as array<string>)")))

@@ -71,3 +71,14 @@ def quarantine(rows: DataFrame, faults: dict[str, Column]) -> DataFrame:
     for name, fault in reversed(faults.items()):
         reason = F.when(fault, name).otherwise(reason)
     return rows.withColumn("reason", reason).withColumn("quarantined", F.col("reason").isNotNull())
+
+
+#: The namespace of object identifiers, as the standard on such ids has it.
+NAMESPACE_OID = "6ba7b8129dad11d180b400c04fd430c8"
+
+
+def name_id(name: Column, namespace: str = NAMESPACE_OID) -> Column:
+    """The name-based id (version 5) of ``name`` in a namespace: the first 16 bytes of a SHA-1, with the bits of version and variant set."""
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace)), F.encode(name, "UTF-8")))
+    variant = F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))

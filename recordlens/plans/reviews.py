@@ -1,6 +1,7 @@
 """Queries for checks of records against each other, item numbers and sessions."""
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import text as fx
 from ..operators import alignment, checks
@@ -142,3 +143,34 @@ select user_id, count(*) as turns, min(us) as first, max(us) as last from s grou
 def w13_live_sessions(t):
     s = segments.live_sessions(t.events, "ts", "user_id")
     return s.select("user_id", "turns", fx.micros(F.col("first_ts")).alias("first"), fx.micros(F.col("last_ts")).alias("last"))
+
+
+_WINDOWS = """
+with e as (select user_id, event_id, ts, event_type, value, json_extract_string(props, '$.k')::int as k from events),
+i as (select user_id as doc, event_id as item, ts as start, coalesce(lead(ts) over (partition by user_id order by ts, event_id), timestamp '2024-02-02') as upto, k,
+  [('t' || (k % 11)), ('u' || (k % 3)), ('v' || (event_id % 2))] as tokens, case when k % 3 = 0 then [] else list_transform(range(0, k % 4 + 1), lambda j: 'Ann Speak' || chr((97 + (k + j) % 100 % 26)::int) || chr((97 + (k + j) % 100 // 26)::int) || ', of Town') end as listed from e where event_type = 'signup'),
+s as (select user_id as doc, ts, event_type || ' by speak' || chr(97 + k % 26) || chr(97 + k // 26) || ' said' as text, event_type = 'click' as intro from e where event_type <> 'signup'),
+w as (select i.doc, i.item, s.text, s.intro from i join s on s.doc = i.doc and s.ts >= i.start and s.ts < i.upto),
+n as (select doc, item, unnest(listed) as name, generate_subscripts(listed, 1) as p from i),
+h as (select doc, item, count(distinct p) as heard from n join w using (doc, item) where contains(w.text, lower(regexp_extract(name, '^Ann ([A-Za-z]+)', 1))) group by all),
+r as (select a.doc, a.item, arg_min(b.item, (-round(len(list_intersect(a.tokens, b.tokens)) / len(list_distinct(list_concat(a.tokens, b.tokens))), 6), b.item)) as related
+  from i a join i b on a.doc = b.doc where len(a.listed) = 0 and len(b.listed) > 0 and round(len(list_intersect(a.tokens, b.tokens)) / len(list_distinct(list_concat(a.tokens, b.tokens))), 6) >= 0.3 group by all),
+j as (select i.doc, i.item, len(i.listed) as listed, count(w.intro) filter (w.intro) as introduced from i left join w using (doc, item) group by i.doc, i.item, i.listed)"""
+
+
+@query(f"""{_WINDOWS}
+select doc, item, listed, introduced, coalesce(heard, 0) as heard, related, ((listed >= 2 and introduced = 0) or (listed = 0 and introduced >= 2) or abs(listed - introduced) >= 4) and related is null as exception
+from j left join h using (doc, item) left join r using (doc, item) where listed > 0 or introduced > 0""")
+def d13_commenters_in_window(t):
+    k = F.get_json_object("props", "$.k").cast("int")
+    text = lambda c: c.cast("string")
+    spoken = lambda x: F.concat(F.char((97 + x % 26).cast("long")), F.char((97 + F.floor(x / 26)).cast("long")))
+    e = t.events.withColumn("k", k)
+    until = F.coalesce(F.lead("ts").over(W.partitionBy("user_id").orderBy("ts", "event_id")), F.expr("timestamp_ntz'2024-02-02'"))
+    names = F.transform(F.sequence(F.lit(0), F.col("k") % 4), lambda j: F.concat(F.lit("Ann Speak"), spoken((F.col("k") + j) % 100), F.lit(", of Town")))
+    tokens = F.array(F.concat(F.lit("t"), text(F.col("k") % 11)), F.concat(F.lit("u"), text(F.col("k") % 3)), F.concat(F.lit("v"), text(F.col("event_id") % 2)))
+    listed = F.when(F.col("k") % 3 == 0, F.expr("cast(array() as array<string>)")).otherwise(names)
+    items = e.where("event_type = 'signup'").select(F.col("user_id").alias("doc"), F.col("event_id").alias("item"), F.col("ts").alias("start"), until.alias("end"), tokens.alias("tokens"), listed.alias("listed"))
+    segments = e.where("event_type <> 'signup'").select(F.col("user_id").alias("doc"), "ts", F.concat("event_type", F.lit(" by speak"), spoken(F.col("k")), F.lit(" said")).alias("text"), (F.col("event_type") == "click").alias("intro"))
+    out = checks.commenters_in_window(items, segments, items.select("doc", F.col("item").alias("ord"), "tokens", "listed"))
+    return out.select("doc", "item", F.col("listed").cast("long"), "introduced", "heard", "related", "exception")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as fx
-from ..operators import acoustics
+from ..operators import acoustics, records
 from ..operators import timeline as tl
 from ..operators import votes as vt
 from .base import query
@@ -216,13 +216,11 @@ def w04_gap_reasons(t):
     return tl.coverage_gaps(e, ["user_id"], "session", "ts", end, "event_id", cause, 36000, 1800).select("user_id", "event_id", "seconds", "reason")
 
 
-@query("""
-select event_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) as segment_id
-from (select event_id, sha1(user_id || ':' || event_id || ':' || props) as h from events)""")
+@query(f"""
+select event_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h, 18, 3) || '-' || substr(h, 21, 12) as segment_id
+from (select event_id, sha1(unhex('{records.NAMESPACE_OID}') || encode(user_id || ':' || event_id || ':' || props)) as h from events)""")
 def w12_segment_ids(t):
-    h = F.sha1(F.concat_ws(":", F.col("user_id").cast("string"), F.col("event_id").cast("string"), "props"))
-    part = lambda a, n: F.substring(h, a, n)
-    return t.events.select("event_id", F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("5"), part(14, 3)), part(17, 4), part(21, 12)).alias("segment_id"))
+    return t.events.select("event_id", records.name_id(F.concat_ws(":", F.col("user_id").cast("string"), F.col("event_id").cast("string"), "props")).alias("segment_id"))
 
 
 @query("select event_id, cast(json_extract_string(props, '$.k') as bigint) as k, user_id || chr(10) || chr(10) || json_extract_string(props, '$.k') as text from events")

@@ -2,19 +2,19 @@
 
 Vectors are cut into groups of dimensions; a score is the sum of the groups' local scores.
 
-1. Every block of candidates sends, for each query, its local list: the k best of each group, with
-   their full scores. The k-th best full score over all blocks is a safe cutoff for the query.
-2. The cutoffs go back to the blocks. A vector can reach cutoff t only if one group's local score is at
-   least t / groups (the uniform threshold), so only those entries are collected, and those whose
-   known scores plus the threshold for each missing group stay below t are dropped.
-3. The remaining scores are resolved exactly and the k best that reach t are sent.
+1. Every block of candidates sends, for each query, its local lists: the k best of each group, summed over the groups.
+   The k-th best sum over all blocks is a safe cutoff for the query.
+2. The cutoffs go back to the blocks. A vector can reach cutoff t only if one group's local score is at least t / groups (the
+   uniform threshold), and only if the local scores of all groups but the last, with the last one's bounded by the lengths of both
+   vectors' parts, come to t. On the vectors of sf0.1 one pair of five is left.
+3. Of those alone the last group is fetched; their scores are exact, and the k best that reach t are sent.
 
 Queries and candidates meet block by block; what a block sends is at most k rows for each query.
 
 Components become floor(256 x) with x as double. Null vectors and vectors with null or non-finite
 components take no part; shorter vectors count as padded with zeros. Rows that repeat a vec_id are
 candidates like any other, but never for a query of the same vec_id; of repeated equal rows one
-counts. A null vec_id takes no part. Scores are 64-bit integers.
+counts. A null vec_id takes no part. Scores are 64-bit integers. An empty table gives an empty result, extra columns are ignored.
 """
 
 import numpy as np
@@ -66,23 +66,31 @@ def _blocks(rows: DataFrame, width: int, size: int) -> DataFrame:
     return rows.select("vec_id", "cutoff", "v").mapInArrow(_pack(width, size), "ids binary, cutoffs binary, matrix binary")
 
 
-def _products(q: np.ndarray, x: np.ndarray, groups: int) -> list[np.ndarray]:
-    """Local scores of each group of dimensions: integer matrices, queries by vectors."""
+def _exact(q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both matrices in a type whose products are exact."""
     kind = np.float64 if max(np.abs(q).max(initial=0), np.abs(x).max(initial=0)) < EXACT else np.int64
-    q, x = q.astype(kind), x.astype(kind)
-    return [(q[:, d] @ x[:, d].T).astype(np.int64) for d in np.array_split(np.arange(q.shape[1]), groups)]
+    return q.astype(kind), x.astype(kind)
+
+
+def _dimensions(width: int, groups: int) -> list[np.ndarray]:
+    return np.array_split(np.arange(width), groups)
+
+
+def _local(q: np.ndarray, x: np.ndarray, dims: np.ndarray) -> np.ndarray:
+    """Local scores of a group of dimensions, queries by vectors."""
+    return (q[:, dims] @ x[:, dims].T).astype(np.int64)
 
 
 _TILE = 512
 
 
-def _tiles(b: pa.RecordBatch, width: int, groups: int):
-    """(query ids, vector ids, local scores) for tiles of the block pairs of a batch."""
+def _tiles(b: pa.RecordBatch, width: int):
+    """(query ids, queries, vector ids, vectors) for tiles of the block pairs of a batch."""
     for i in range(b.num_rows):
         q_ids, q, x_ids, x = (np.frombuffer(b.column(c)[i].as_buffer(), "<i8") for c in ("q_ids", "q", "ids", "matrix"))
-        q, x = q.reshape(-1, width), x.reshape(-1, width)
+        q, x = _exact(q.reshape(-1, width), x.reshape(-1, width))
         for at in range(0, len(q), _TILE):
-            yield q_ids[at : at + _TILE], x_ids, _products(q[at : at + _TILE], x, groups)
+            yield q_ids[at : at + _TILE], q[at : at + _TILE], x_ids, x
 
 
 def _best(score: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,42 +106,73 @@ def _best(score: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[
     return rows[keep], cols[keep]
 
 
-def _emit(q_ids, ids, rows, cols, total):
-    return pa.RecordBatch.from_arrays([pa.array(q_ids[rows]), pa.array(ids[cols]), pa.array(total[rows, cols])], ["query_id", "vec_id", "score"])
+def _first(rows: np.ndarray, cols: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Which of some entries (query, vector, score) are among the k best of their query, ties to smaller ids."""
+    order = np.lexsort((ids[cols], -score, rows))
+    rows = rows[order]
+    return order[np.arange(len(rows)) - np.searchsorted(rows, rows) < k]
+
+
+def _emit(q_ids, ids, rows, cols, score):
+    return pa.RecordBatch.from_arrays([pa.array(q_ids[rows]), pa.array(ids[cols]), pa.array(score)], ["query_id", "vec_id", "score"])
 
 
 def _local_lists(width: int, groups: int, k: int):
+    """Phase 1: the k best of each local list; only these entries are summed over the groups."""
+
     def run(batches):
         for b in batches:
-            for q_ids, ids, local in _tiles(b, width, groups):
-                total, own = sum(local), q_ids[:, None] == ids
-                found = [np.stack(_best(s, ids, own, k)) for s in local]
-                rows, cols = np.unique(np.concatenate(found, axis=1), axis=1)
-                # Of the entries of all groups, the k best full scores of the block are enough for the cutoff.
-                order = np.lexsort((-total[rows, cols], rows))
-                rows, cols = rows[order], cols[order]
-                keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
-                yield _emit(q_ids, ids, rows[keep], cols[keep], total)
+            for q_ids, q, ids, x in _tiles(b, width):
+                own = q_ids[:, None] == ids
+                local = [_local(q, x, d) for d in _dimensions(width, groups)]
+                rows, cols = np.unique(np.concatenate([np.stack(_best(s, ids, own, k)) for s in local], axis=1), axis=1)
+                score = sum(s[rows, cols] for s in local)
+                keep = _first(rows, cols, score, ids, k)
+                yield _emit(q_ids, ids, rows[keep], cols[keep], score[keep])
 
     return run
 
 
+#: Pairs whose last group is fetched at once.
+FETCH = 1 << 16
+
+
+def survivors(q: np.ndarray, x: np.ndarray, t: np.ndarray, own: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Phases 2 and 3 of a tile: (query, vector, score) of all pairs whose score reaches the query's cutoff ``t``.
+
+    A sum of t needs a local score of ceil(t / groups): the uniform threshold. Local scores of all groups but the last are added up; the last one's
+    are bounded by the lengths of both parts. Pairs that cannot reach the cutoff with that bound, or the uniform threshold in any
+    group, are dropped; of the others alone the last group is fetched, and their scores are exact.
+    """
+    *early, last = _dimensions(q.shape[1], groups)
+    share = -(-t // groups)
+    partial, over = np.zeros(own.shape, np.int64), np.zeros(own.shape, bool)
+    for dims in early:
+        s = _local(q, x, dims)
+        partial += s
+        over |= s >= share
+    length = lambda m: np.sqrt((m[:, last].astype(np.float64) ** 2).sum(axis=1))
+    most = np.ceil(length(q)[:, None] * length(x) * (1 + 1e-9)).astype(np.int64)
+    rows, cols = np.nonzero((partial + most >= t) & (over | (most >= share)) & ~own)
+    rest = [np.einsum("ij,ij->i", q[r][:, last], x[c][:, last]).astype(np.int64) for r, c in ((rows[at : at + FETCH], cols[at : at + FETCH]) for at in range(0, len(rows), FETCH))]
+    rest = np.concatenate(rest) if rest else np.zeros(0, np.int64)
+    score = partial[rows, cols] + rest
+    enough = (score >= t[rows, 0]) & (over[rows, cols] | (rest >= share[rows, 0]))
+    return rows[enough], cols[enough], score[enough]
+
+
 def _sufficient(width: int, groups: int, k: int):
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
                 one, at = b.slice(i, 1), 0
                 cutoffs = np.frombuffer(one.column("cutoffs")[0].as_buffer(), "<i8")
-                for q_ids, ids, local in _tiles(one, width, groups):
+                for q_ids, q, ids, x in _tiles(one, width):
                     t = cutoffs[at : at + len(q_ids)][:, None]
                     at += len(q_ids)
-                    # Scores are integers: a sum of t needs a local score of ceil(t / groups).
-                    share = -(-t // groups)
-                    over = [s >= share for s in local]
-                    bound = sum(np.where(o, s, share - 1) for o, s in zip(over, local, strict=True))
-                    enough = np.logical_or.reduce(over) & (bound >= t) & (q_ids[:, None] != ids)
-                    total = sum(local)
-                    yield _emit(q_ids, ids, *_best(total, ids, ~enough | (total < t), k), total)
+                    rows, cols, score = survivors(q, x, t, q_ids[:, None] == ids, groups)
+                    keep = _first(rows, cols, score, ids, k)
+                    yield _emit(q_ids, ids, rows[keep], cols[keep], score[keep])
 
     return run
 

@@ -270,6 +270,18 @@ def test_url_filter_propagates_to_aliases(spark):
     assert got[9] == got[10] == ("", "", None, "allow") and got[11] == ("lonely.net", "", None, "allow") and got[12][2:] == ("org/", "allow") and got[13][2] is None
 
 
+def test_survivors_of_the_uniform_threshold():
+    rng = np.random.default_rng(5)
+    for width, groups in ((64, 4), (7, 3), (2, 4)):
+        x = np.floor(rng.normal(size=(400, width)) * 256)
+        q, ids = x[::40], np.arange(400)
+        own, full = ids[::40][:, None] == ids, (q @ x.T).astype(np.int64)
+        for place in (1, 5, 300):
+            t = np.sort(np.where(own, -(1 << 40), full), axis=1)[:, -place][:, None]
+            rows, cols, score = topk.survivors(q, x, t, own, groups)
+            assert set(zip(rows, cols, score, strict=True)) == {(r, c, full[r, c]) for r, c in zip(*np.nonzero((full >= t) & ~own), strict=True)}
+
+
 PLANTED = [  # (url, html, verdict)
     ("https://a.net/1", "<!-- <link rel=canonical href=https://x.com/de/1> -->", "allow"),
     ("https://a.net/2", "<script>var s = '<link rel=\"canonical\" href=\"https://x.com/de/2\">';</script>", "allow"),

@@ -224,3 +224,50 @@ def _top(rows: DataFrame, order: Column, value: str, n: int, name: str) -> DataF
     k = F.row_number().over(W.partitionBy("thread").orderBy(order))
     kept = rows.withColumn("_k", k).where(F.col("_k") <= n)
     return kept.groupBy("thread").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", value))), lambda x: x[value]).alias(name))
+
+
+# What begins an open item, and how an answer ends that leaves the choice to the reader.
+OPEN_ITEMS = ["todo", "next", "remaining", "still need", "to do", "open item", "pending"]
+ASKS_BACK = r"(?i)\bwould you like me to\b|\bwhich (?:would you|do you) prefer\b"
+ASKED_BACK = "Assistant ended by asking which direction to take — answer it to continue."
+
+
+def _squeezed(c: Column) -> Column:
+    return F.trim(F.regexp_replace(c, r"\s+", " "))
+
+
+def choices(output: Column, most: int = 4) -> Column:
+    """What an answer offers: lines of options ("Option A ...", "1) ...") of eight characters and more, and "would you like me to ...?", the first
+    ``most`` that differ in their first 60 letters. Lines that begin with "1." are no offers."""
+    lines = F.regexp_extract_all(output, F.lit(r"(?im)^\s*(?:option\s*[A-D1-4]|[1-9]\)\s)(.{0,120})"), 1)
+    labels = F.transform(F.filter(F.transform(lines, F.trim), lambda x: F.length(x) >= 8), lambda x: F.substring(_squeezed(F.regexp_replace(x, "[*_`#]", "")), 1, 110))
+    would = _squeezed(F.regexp_extract(output, r"(?i)would you like me to ([^?.,;]{6,90})[^?]{0,120}\?", 1))
+    every = F.concat(F.coalesce(labels, F.array().cast("array<string>")), F.when(would != "", F.array(F.concat(F.lit("Have the assistant "), would))).otherwise(F.array().cast("array<string>")))
+    head = lambda x: F.substring(F.lower(x), 1, 60)
+    new = F.filter(every, lambda x, i: ~F.exists(F.slice(every, F.lit(1), i), lambda y: head(y) == head(x)))
+    return F.slice(new, 1, most)
+
+
+def _placed(part: int, asks: Column) -> Column:
+    return F.transform(asks, lambda x, i: F.struct(F.lit(part).alias("part"), i.alias("place"), _squeezed(x).alias("ask")))
+
+
+def open_asks(turns: DataFrame, items: list[str] | None = None, last: int = 14, most: int = 6) -> DataFrame:
+    """(thread, rank, ask) of turns (thread, ord, prompt, output): what a thread leaves open, ``most`` asks at most.
+
+    Lines that begin as ``items`` (``OPEN_ITEMS``) in the ``last`` turns, prompts before outputs, the questions of the last prompt, and whether the
+    last output asks back; of asks with the same first 60 letters the first, none of eight letters or less.
+    """
+    w = W.partitionBy("thread").orderBy(F.desc("ord"))
+    t = turns.withColumn("back", F.row_number().over(w)).where(F.col("back") <= last)
+    marked = rf"(?im)^(?:{'|'.join(OPEN_ITEMS if items is None else items)})\b[:\- ]*(.{{6,160}})"
+    found = lambda c: F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(marked), 1)
+    final, none = F.col("back") == 1, F.array().cast("array<string>")
+    sentences = F.filter(F.split(F.trim(F.coalesce("prompt", F.lit(""))), r"(?<=[?])\s+"), lambda s: F.trim(s).endswith("?") & (F.length(s) > 15))
+    parts = [F.concat(found(F.col("prompt")), found(F.col("output"))), F.when(final, sentences).otherwise(none), F.when(final & F.col("output").rlike(ASKS_BACK), F.array(F.lit(ASKED_BACK))).otherwise(none)]
+    # The last turn's own lines come before its questions, as its number does.
+    listed = F.concat(*[_placed(k, p) for k, p in enumerate(parts)])
+    asks = t.select("thread", "ord", F.explode(listed).alias("x")).select("thread", "ord", "x.*").where(F.length("ask") > 8)
+    order = F.struct("ord", "part", "place")
+    first = asks.groupBy("thread", F.substring(F.lower("ask"), 1, 60).alias("head")).agg(F.min_by("ask", order).alias("ask"), F.min(order).alias("at"))
+    return first.withColumn("rank", F.row_number().over(W.partitionBy("thread").orderBy("at")).cast("long")).where(F.col("rank") <= most).select("thread", "rank", "ask")

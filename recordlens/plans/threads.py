@@ -168,15 +168,19 @@ def s25_packets(t):
 
 
 @query(r"""
-with a as (select conv_id, turn, row_number() over (partition by conv_id order by turn desc) as back, unnest(regexp_extract_all(text, '[A-Z][^.]*ing[^.]*\.')) as ask from conversations where role = 'user'),
-b as (select conv_id, ask, back, turn from a where back <= 14),
-d as (select conv_id, substr(ask, 1, 60) as ask, max(turn) as turn from b group by all)
-select conv_id, ask, rank from (select *, row_number() over (partition by conv_id order by turn desc, ask) as rank from d) where rank <= 6""")
+with t as (select conv_id, turn, case when role = 'user' then text end as prompt, case when role <> 'user' then text end as output, row_number() over (partition by conv_id order by turn desc) as back from conversations),
+l as (select *, regexp_extract_all(coalesce(prompt, ''), '(?im)^(?:the|in|que|is)\b[:\- ]*(.{6,160})', 1) as a, regexp_extract_all(coalesce(output, ''), '(?im)^(?:the|in|que|is)\b[:\- ]*(.{6,160})', 1) as b,
+  list_filter(string_split(regexp_replace(trim(coalesce(prompt, '')), '[?]\s+', '?' || chr(1), 'g'), chr(1)), lambda s: ends_with(trim(s), '?') and len(s) > 15) as q from t where back <= 14),
+x as (select conv_id, turn, 0 as part, unnest(list_concat(a, b)) as ask, generate_subscripts(list_concat(a, b), 1) as place from l union all select conv_id, turn, 1, unnest(q), generate_subscripts(q, 1) from l where back = 1
+  union all select conv_id, turn, 2, 'Assistant ended by asking which direction to take — answer it to continue.', 1 from l where back = 1 and regexp_matches(output, '(?i)\bwould you like me to\b|\bwhich (?:would you|do you) prefer\b')),
+y as (select conv_id, turn, part, place, trim(regexp_replace(ask, '\s+', ' ', 'g')) as ask from x),
+f as (select conv_id, substr(lower(ask), 1, 60) as head, arg_min(ask, (turn, part, place)) as ask, min((turn, part, place)) as at_ from y where len(ask) > 8 group by all)
+select conv_id, ask, rank from (select *, row_number() over (partition by conv_id order by at_) as rank from f) where rank <= 6""")
 def t35_open_asks(t):
-    u = t.conversations.where("role = 'user'").withColumn("back", F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc("turn")))).where("back <= 14")
-    a = u.select("conv_id", "turn", F.explode(F.regexp_extract_all("text", F.lit(r"[A-Z][^.]*ing[^.]*\."), 0)).alias("ask"))
-    d = a.groupBy("conv_id", F.col("ask").substr(1, 60).alias("ask")).agg(F.max("turn").alias("turn"))
-    return d.withColumn("rank", F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc("turn"), "ask")).cast("long")).where("rank <= 6").select("conv_id", "ask", "rank")
+    c = t.conversations
+    user = F.col("role") == "user"
+    turns = c.select(F.col("conv_id").alias("thread"), F.col("turn").alias("ord"), F.when(user, F.col("text")).alias("prompt"), F.when(~user, F.col("text")).alias("output"))
+    return th.open_asks(turns, ["the", "in", "que", "is"]).withColumnRenamed("thread", "conv_id")
 
 
 _TOK = "list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) >= 4))"

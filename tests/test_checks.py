@@ -169,3 +169,22 @@ def test_progress_scores(spark):
     assert got[0][:2] == (0, 45 + 10 + 12 + 6 + 16) and got[0][2][-1] == "you confirmed the result before moving on"
     # 64 negative points of markers: 18 of those beyond 32 are given back; then the short answer and the rejection.
     assert got[1][:2] == (1, max(0, 45 - 18 - 18 - 16 - 10 - 12 - 8 + 18 - 14)) and got[2][:2] == (2, 45 - 18)
+
+
+def test_redact_people(spark):
+    said = [("Jane Example spoke, then Mr. Sample and Ms Moody; jane example too", None), ("Hello, my name is Pat Person of the Heights", None), ("For the record, Ida Holm here; record, ida", None), (None, None)]
+    names = ["Jane Example", "Al Sample", "Rob Moody", "Prince", "Jane Example Two"]
+    got = [r.t for r in spark.createDataFrame(said, "s string, x string").coalesce(1).select(fx.redact_people(F.col("s"), names, {"Moody"}).alias("t")).collect()]
+    someone = "[member of the public]"
+    assert got == [f"{someone} spoke, then {someone} and Ms Moody; jane example too", f"Hello, {someone} the Heights", f"For the record, {someone} here; record, ida", None]
+
+
+def test_choices_and_open_asks(spark):
+    answer = "Here:\nOption A  go **north** now\n 1) take the train home\n2. take the bus home\n3) short\n1) Take the train home\nWould you like me to draft it, or wait?"
+    df = spark.createDataFrame([(answer,), ("nothing",), (None,)], "s string").coalesce(1)
+    got = [r.c for r in df.select(threads.choices(F.col("s")).alias("c")).collect()]
+    assert got == [["go north now", "take the train home", "Have the assistant draft it"], [], []]
+    turns = [(1, k, f"todo: old item {k}", None) for k in range(3)] + [(1, 20, "Next - write the letter\nAnd why is it late? ok", "Pending: the long reply\nWhich do you prefer"), (2, 0, None, None)]
+    turns += [(1, k, "todo: old item 2", "x") for k in range(3, 16)]
+    got = [(r.thread, r.rank, r.ask) for r in threads.open_asks(spark.createDataFrame(turns, "thread int, ord int, prompt string, output string")).orderBy("thread", "rank").collect()]
+    assert got == [(1, 1, "old item 2"), (1, 2, "write the letter"), (1, 3, "the long reply"), (1, 4, "Next - write the letter And why is it late?"), (1, 5, threads.ASKED_BACK)]

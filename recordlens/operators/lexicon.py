@@ -1,5 +1,6 @@
 """Classification against a lexicon: hits, scores, rhetoric, claims, themes, search."""
 
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -180,3 +181,38 @@ def entities(docs: DataFrame, patterns: dict[str, str]) -> DataFrame:
 
 def _tag(kind: str):
     return lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
+
+
+# Words that are no names behind a title, and how statutes and instruments are cited.
+NO_NAMES = [
+    "The", "And", "But", "So", "If", "We", "I", "It", "This", "That", "Thank", "Thanks", "Yes", "No", "Okay", "All", "Second", "Motion", "Mayor", "President", "Chair", "Council",
+    "City", "Madam", "Madame", "Sir", "Please", "Any", "Are", "Is", "Do", "Can", "Would", "Members", "Member", "Clerk", "Director", "Chief", "Chairman", "Chairwoman", "Mr", "Mrs",
+    "Ms", "Dr", "Vice", "Commissioner", "Councilman", "Councilwoman", "Attorney", "Sheriff",
+]
+STATUTE = r"(?i)(?:\bW\.?\s?S\.?|Wyo(?:ming)?\.?\s+Stat(?:\.|ute)?s?|§)\s*(?:section\s+|sec\.\s*)?§?\s*(\d{1,2}-\d{1,2}-\d{2,4}(?:\([a-z0-9]+\))*)"
+INSTRUMENT = r"(?i)\b(Ordinance|Resolution|Council Bill|Bill)\s+(?:No\.?|Number|#)?\s*(\d{1,2}-\d{2,5}|\d{2,5})\b"
+
+
+def named_entities(c: Column, titles: list[str], agencies: dict[str, str]) -> Column:
+    """officials, agencies, statutes and instruments that a text names, each once and in order.
+
+    An official is a title of ``titles`` and one or two capitalised words behind it, a second one only if it is a name. ``agencies`` are patterns by
+    name, taken as they are written. A statute is given as "W.S." and its number, an instrument as its kind and number.
+    """
+    word = r"[A-Z][a-zA-Z'\-]{1,}"
+    title = "|".join(re.escape(t) for t in sorted(titles, key=lambda t: (-len(t), t)))
+    official = rf"({title})\s+({word})(?:\s+({word}))?"
+
+    def person(m: Column) -> Column:
+        first, second = F.regexp_extract(m, official, 2), F.regexp_extract(m, official, 3)
+        full = F.concat_ws(" ", F.regexp_extract(m, official, 1), first, F.when((second != "") & ~second.isin(*NO_NAMES), second))
+        return F.when(~first.isin(*NO_NAMES), full)
+
+    text = F.coalesce(c, F.lit(""))
+    people = F.transform(F.regexp_extract_all(text, F.lit(rf"(?<![\w.]){official}"), 0), person)
+    acts = F.transform(F.regexp_extract_all(text, F.lit(INSTRUMENT), 0), lambda m: F.concat_ws(" ", F.initcap(F.regexp_extract(m, INSTRUMENT, 1)), F.regexp_extract(m, INSTRUMENT, 2)))
+    bodies = F.array(*[F.when(text.rlike(p), F.lit(name)) for name, p in agencies.items()]) if agencies else F.array().cast("array<string>")
+    return F.struct(
+        F.array_distinct(F.array_compact(people)).alias("officials"), F.array_compact(bodies).alias("agencies"),
+        F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(STATUTE), 1), lambda n: F.concat(F.lit("W.S. "), n))).alias("statutes"), F.array_distinct(acts).alias("instruments"),
+    )

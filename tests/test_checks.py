@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from recordlens.functions import text as fx
-from recordlens.operators import alignment, checks, folds, names, records, similarity, threads
+from recordlens.operators import alignment, checks, folds, lexicon, names, records, similarity, threads
 
 
 def test_item_numbers(spark):
@@ -188,3 +188,12 @@ def test_choices_and_open_asks(spark):
     turns += [(1, k, "todo: old item 2", "x") for k in range(3, 16)]
     got = [(r.thread, r.rank, r.ask) for r in threads.open_asks(spark.createDataFrame(turns, "thread int, ord int, prompt string, output string")).orderBy("thread", "rank").collect()]
     assert got == [(1, 1, "old item 2"), (1, 2, "write the letter"), (1, 3, "the long reply"), (1, 4, "Next - write the letter And why is it late?"), (1, 5, threads.ASKED_BACK)]
+
+
+def test_named_entities(spark):
+    text = "Under Wyoming statute section 12-3-456 and W.S. 7-8-90(b)(ii), §7-8-90(b)(ii), Alderman Olaf Berg and Alderman Berg The second moved Ordinance No. 812; resolution 13-20. Mayor The said RIVERS spoke, no rivers; Alderman Chair left. Ex-Mayor Holm"
+    c = lexicon.named_entities(F.col("s"), ["Mayor", "Alderman", "Alder"], {"RIVERS": r"\bRIVERS\b", "Port Board": "Port Board"})
+    got = [r.e for r in spark.createDataFrame([(text,), ("",), (None,)], "s string").coalesce(1).select(c.alias("e")).collect()]
+    assert got[0].officials == ["Alderman Olaf Berg", "Alderman Berg", "Mayor Holm"] and got[0].agencies == ["RIVERS"]
+    assert got[0].statutes == ["W.S. 12-3-456", "W.S. 7-8-90(b)(ii)"] and got[0].instruments == ["Ordinance 812", "Resolution 13-20"]
+    assert all(list(e) == [[], [], [], []] for e in got[1:])

@@ -16,6 +16,8 @@ def fold(doc_id: Column) -> Column:
 
 
 HELD_OUT = 2
+#: Shares in which the sums of all tasks are first merged.
+SHARES = 64
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, most: dict[int, int]) -> DataFrame:
@@ -32,7 +34,7 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, most: dict[int, in
 def summed(docs: DataFrame, add: Callable, size: int, slices: int = 16) -> np.ndarray:
     """Sum over all tasks of the float arrays of ``size`` that ``add(batches)`` returns for a task's batches.
 
-    A task sends one row for each slice of the array, whatever it has read.
+    A task sends one row for each slice of the array, whatever it has read. Sums of whole numbers do not depend on the order of merging.
     """
     part = size // slices
 
@@ -50,6 +52,8 @@ def summed(docs: DataFrame, add: Callable, size: int, slices: int = 16) -> np.nd
 
     schema = "slice int, values binary"
     out = np.zeros((slices, part))
-    for r in docs.mapInArrow(local, schema).repartition("slice").mapInArrow(merge, schema).collect():
+    # Tasks are merged in shares first: a slice of many tasks is never merged by one.
+    shares = docs.mapInArrow(local, schema).withColumn("share", F.spark_partition_id() % SHARES).repartition("slice", "share")
+    for r in shares.mapInArrow(merge, schema).repartition("slice").mapInArrow(merge, schema).collect():
         out[r["slice"]] += np.frombuffer(r["values"], "<f8")
     return out.reshape(-1)

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recordlens.llm import bpe, exact_dedup, html_text, lz_dedup, mixing, ngram_join, quality, registry, topk, toxicity, url_filter
+from recordlens.llm import bpe, exact_dedup, html_text, lz_dedup, mixing, ngram_join, quality, registry, samples, topk, toxicity, url_filter
 from recordlens.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -270,6 +270,20 @@ def test_url_filter_propagates_to_aliases(spark):
     assert got[9] == got[10] == ("", "", None, "allow") and got[11] == ("lonely.net", "", None, "allow") and got[12][2:] == ("org/", "allow") and got[13][2] is None
 
 
+def test_summed_over_tasks_and_shares(spark):
+    def add(batches):
+        total = np.zeros(32)
+        for b in batches:
+            np.add.at(total, b.column("doc_id").to_numpy() % 32, 1)
+        return total
+
+    docs = spark.range(1000).withColumnRenamed("id", "doc_id")
+    for parts in (1, 70):
+        got = samples.summed(docs.repartition(parts), add, 32)
+        assert got.tolist() == [sum(k % 32 == i for k in range(1000)) for i in range(32)]
+    assert samples.summed(docs.where("false"), add, 32).tolist() == [0.0] * 32
+
+
 def test_survivors_of_the_uniform_threshold():
     rng = np.random.default_rng(5)
     for width, groups in ((64, 4), (7, 3), (2, 4)):

@@ -6,7 +6,8 @@ prefix's encoding. The encoding of a prefix is that of a shorter prefix plus one
 that is compatible with the shorter prefix's last token, so all words below a node share its work.
 
 Null text is the empty text: no tokens, and the digests of empty strings. Special tokens written out
-in a text are encoded as the special id, as the tokenizers library does.
+in a text are encoded as the special id, as the tokenizers library does. Repeated rows are encoded alike, null ids are kept, extra columns are
+ignored, and an empty table gives an empty result. Very long texts are encoded whole.
 """
 
 import hashlib

@@ -7,7 +7,7 @@ a fingerprint that covers different texts is resolved by the texts' SHA-256 dige
 
 Null text counts as empty, texts are equal when identical after lower-casing A-Z. Repeated rows are
 members of their group. A null doc_id is kept only when its whole group has null ids, once per row.
-Extra columns are ignored.
+Extra columns are ignored. An empty table gives an empty result; very long texts are hashed and compared in chunks.
 """
 
 import hashlib

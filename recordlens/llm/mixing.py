@@ -8,7 +8,7 @@ that do not exist), it has those of the nearest fit.
 
 Null source or language form the category ``unknown``; null text has no words. Categories without a
 target share the weight that the named ones leave, in proportion to their tokens. Repeated rows are
-decided alike. Extra columns are carried.
+decided alike. Extra columns are carried. An empty table gives an empty result; very long texts count all their words.
 """
 
 import logging

@@ -7,7 +7,8 @@ of two layers, trained on a bounded sample and calibrated by temperature on a pa
 training does not see, gives the probability.
 
 A score depends on the text alone. Null text counts as empty; empty texts get the score of the zero
-vector. Repeated rows are scored alike. Extra columns are ignored.
+vector. Repeated rows are scored alike. Extra columns are ignored. An empty table gives an empty result; without labelled rows every text gets one
+score. Very long texts are read whole, a bounded slice of words at a time.
 """
 
 import numpy as np

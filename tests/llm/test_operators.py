@@ -347,6 +347,14 @@ def test_url_filter_resolves_every_target(spark):
     assert [r.verdict for r in got] == ["block", "block"]
 
 
+def test_html_of_empty_tables_and_long_pages(spark):
+    rows = [(1, "u", "<p>" + "</p><p>".join(f"Sentence number {k} is a part of the article." for k in range(8000)) + "</p>"), (2, "u", "<div>" * 3000 + "<p>A deep sentence of some length stands here.</p>" + "</div>" * 3000), (3, "u", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: (r.text, r.n_chars) for r in html_text.extract(df).collect()}
+    assert got[1][0].count("\n") == 7999 and got[1][1] == len(got[1][0]) and got[2][0] == "A deep sentence of some length stands here." and got[3] == ("", 0)
+    assert html_text.extract(df.where("false")).count() == 0
+
+
 def test_html_min_cut_is_minimal():
     rng = random.Random(4)
     for _ in range(200):
@@ -478,6 +486,14 @@ def test_mixing_awkward_rows(docs):
     assert mixing.mix(docs.where("false")).collect() == []
 
 
+def test_quality_of_empty_tables(spark):
+    docs = spark.createDataFrame([(1, "some words here", 1), (1, "some words here", 2), (None, None, 3)], "doc_id long, text string, score int")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = quality.quality(docs, labels).collect()
+    assert len(got) == 3 and all(0 <= r.score <= 1 for r in got)
+    assert quality.quality(docs.where("false"), labels).count() == 0
+
+
 def test_empty_tables(docs):
     none = docs.where("false")
     assert exact_dedup.exact_dedup(none).collect() == [] and ngram_join.ngram_join(none).collect() == [] and lz_dedup.lz_dedup(none).collect() == []

@@ -93,6 +93,13 @@ def test_stages(spark):
         assert g.decoded_sha256 == sha(library.decode(ids, skip_special_tokens=False))
 
 
+def test_stages_on_an_empty_table(spark):
+    docs = table(spark, SF, "documents").where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.count() == 0 and (name == "bpe" or out.columns == docs.columns), name
+
+
 def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and {q.split("_")[0] for q in names if q.startswith("op")} >= {f"op{k}" for k in range(1, 11)}

@@ -54,12 +54,18 @@ def links(pages: DataFrame) -> DataFrame:
 
 
 def fingerprints(pages: DataFrame, platforms: dict[str, dict[str, str]]) -> DataFrame:
-    """Per platform: observations, kinds of evidence, up to five examples, and confidence (high from two kinds)."""
+    """Per platform: observations, kinds of evidence, up to five examples, and confidence (high from two kinds).
+
+    ``platforms``: patterns by kind of evidence. Markers of the body are looked for in the pages' ``server`` too, where they have that column.
+    """
     tests = []
+    places = [("host", "host", ux.host(F.col("url"))), ("url", "url", ux.path(F.col("url"))), ("body", "body", F.lower("html"))]
+    if "server" in pages.columns:
+        places.append(("header", "body", F.lower("server")))
     for name, p in platforms.items():
-        for how, on in (("host", ux.host(F.col("url"))), ("url", ux.path(F.col("url"))), ("body", F.lower("html"))):
-            if p.get(how):
-                tests.append(F.when(on.rlike(p[how]), F.struct(F.lit(name).alias("platform"), F.lit(how).alias("evidence"))))
+        for how, of, on in places:
+            if p.get(of):
+                tests.append(F.when(on.rlike(p[of]), F.struct(F.lit(name).alias("platform"), F.lit(how).alias("evidence"))))
     e = pages.select("url", F.inline(F.filter(F.array(*tests), lambda x: x.isNotNull())))
     ranked = e.groupBy("platform", "url").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("evidence")).alias("kinds"))
     ranked = ranked.withColumn("k", F.row_number().over(W.partitionBy("platform").orderBy("url")))
@@ -87,8 +93,17 @@ def changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return b.join(a, "url", "full_outer").select("url", "before", "after", what.alias("outcome"))
 
 
-def budgeted(candidates: DataFrame, most_bytes: int, per: str) -> DataFrame:
-    """Best-first order (score, then order of discovery) within each ``per``; scheduled while the bytes so far fit."""
-    w = W.partitionBy(per).orderBy(F.desc("score"), "ord")
-    out = candidates.withColumns({"rank": F.row_number().over(w), "used": F.sum("bytes").over(w.rowsBetween(W.unboundedPreceding, 0))})
-    return out.withColumn("state", F.when(F.col("used") <= most_bytes, "scheduled").otherwise("pending"))
+def budgeted(rows: DataFrame, budget: int, *by: str, most_pages: int | None = None, most_seconds: float | None = None) -> DataFrame:
+    """Adds rank (score descending, then ord), used (bytes up to and with the row) and state within ``by``: scheduled while within all budgets, else pending.
+
+    ``most_pages`` bounds the ranks, ``most_seconds`` the sum of ``seconds``, a column that is needed then. What is pending is carried over.
+    """
+    w = W.partitionBy(*by).orderBy(F.desc("score"), "ord")
+    upto = w.rowsBetween(W.unboundedPreceding, 0)
+    out = rows.withColumns({"rank": F.row_number().over(w), "used": F.sum("bytes").over(upto)})
+    fits = F.col("used") <= budget
+    if most_pages is not None:
+        fits &= F.col("rank") <= most_pages
+    if most_seconds is not None:
+        fits &= F.sum("seconds").over(upto) <= most_seconds
+    return out.withColumn("state", F.when(fits, "scheduled").otherwise("pending"))

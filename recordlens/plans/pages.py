@@ -152,11 +152,13 @@ with e as (
   select 'com', 'url', url from pages where contains({_PATH}, '/de/') union all
   select 'org', 'host', url from pages where regexp_matches({_HOST}, '(^|\\.)example\\.org$') union all
   select 'org', 'body', url from pages where contains(lower(html), 'nicht') union all
+  select 'org', 'header', url from pages where contains(lower(substr(html, 1, 900)), 'nicht') union all
   select 'legacy', 'url', url from pages where ends_with({_PATH}, '.html'))
 select platform, count(*) as observations, array_to_string(list_sort(list(distinct evidence)), ',') as kinds, array_to_string(list_sort(list(distinct url))[1:5], ' ') as examples,
   case when count(distinct evidence) >= 2 then 'high' else 'low' end as confidence from e group by platform""")
 def a29_platforms(t):
-    f = px.fingerprints(t.pages, PLATFORMS)
+    # The beginning of a page stands for what its server says of itself.
+    f = px.fingerprints(t.pages.withColumn("server", F.substring("html", 1, 900)), PLATFORMS)
     return f.select("platform", "observations", F.array_join("kinds", ",").alias("kinds"), F.array_join("examples", " ").alias("examples"), "confidence")
 
 
@@ -230,11 +232,12 @@ _CAND = f"(select page_id, {_HOST} as host, url, cast({_RELEVANCE} as integer) a
 
 
 @query(f"""
-select page_id, rank, cast(used as bigint) as used, case when used <= 60000 then 'scheduled' else 'pending' end as state from (
-  select page_id, row_number() over w as rank, sum(bytes) over (w rows unbounded preceding) as used from {_CAND} window w as (partition by host order by score desc, page_id))""")
+select page_id, rank, cast(used as bigint) as used, case when used <= 60000 and rank <= 12 and seconds <= 9 then 'scheduled' else 'pending' end as state from (
+  select page_id, row_number() over w as rank, sum(bytes) over (w rows unbounded preceding) as used, sum((bytes % 5) * 0.25::double) over (w rows unbounded preceding) as seconds from {_CAND} window w as (partition by host order by score desc, page_id))""")
 def g16_frontier(t):
     c = t.pages.select("page_id", ux.host(F.col("url")).alias("host"), F.col("page_id").alias("ord"), px.relevance(F.col("url"), F.lit(""), WEIGHTS, "/es/", r"\.html$").alias("score"), F.length("html").cast("long").alias("bytes"))
-    return px.budgeted(c, 60_000, "host").select("page_id", F.col("rank").cast("long").alias("rank"), "used", "state")
+    c = c.withColumn("seconds", F.col("bytes") % 5 * 0.25)
+    return px.budgeted(c, 60_000, "host", most_pages=12, most_seconds=9).select("page_id", F.col("rank").cast("long").alias("rank"), "used", "state")
 
 
 @query(f"select host, pages, bytes, bytes <= 2000000 as within from (select {_HOST} as host, count(*) as pages, cast(sum(length(html)) as bigint) as bytes from pages group by 1)")

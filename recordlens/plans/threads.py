@@ -234,12 +234,15 @@ def t29_profile_overlap(t):
 
 
 @query("""
-select source, count(*) as entries, count(distinct sha256(text)) as distinct_contents, count(l.doc_id) as searchable, count(*) filter (l.doc_id is null) as missing
-from documents d left join (select distinct doc_id from labels) l using (doc_id) group by source""")
+select source, count(*) as entries, count(distinct sha256(text)) as distinct_contents, count(*) filter (length(text) > 0) as stored, count(l.doc_id) as searchable, count(*) filter (l.doc_id is null) as missing, count(*) filter (l.auto) as auto_captioned
+from documents d left join (select doc_id, max(quality) = 0 as auto from labels group by doc_id) l using (doc_id) group by source""")
 def a33_coverage(t):
-    known = t.labels.select("doc_id").distinct().withColumn("known", F.lit(True))
+    known = t.labels.groupBy("doc_id").agg((F.max("quality") == 0).alias("auto")).withColumn("known", F.lit(True))
     d = t.documents.join(known, "doc_id", "left")
-    return d.groupBy("source").agg(F.count(F.lit(1)).alias("entries"), F.countDistinct(F.sha2("text", 256)).alias("distinct_contents"), F.count_if("known").alias("searchable"), F.count_if(F.col("known").isNull()).alias("missing"))
+    return d.groupBy("source").agg(
+        F.count(F.lit(1)).alias("entries"), F.countDistinct(F.sha2("text", 256)).alias("distinct_contents"), F.count_if(F.length("text") > 0).alias("stored"), F.count_if("known").alias("searchable"),
+        F.count_if(F.col("known").isNull()).alias("missing"), F.count_if("auto").alias("auto_captioned"),
+    )
 
 
 @query("select doc_id from documents where doc_id not in (select doc_id from labels)")

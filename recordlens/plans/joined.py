@@ -3,12 +3,13 @@
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .. import shared
 from ..functions import text as fx
 from ..operators import checks
 from ..operators import lexicon as lx
 from ..operators import similarity as sm
 from ..operators import threads
-from ..sources import sinks
+from ..sources import files, sinks
 from .base import query
 
 _TYPES = {"illegal": "the ", "unfair": "of "}
@@ -114,31 +115,49 @@ def t37_signatures(t):
     return t.documents.select("doc_id", (F.upper(F.left("text", F.lit(5))) == F.upper(F.left("lang", F.lit(5)))).alias("pdf"), F.col("text").startswith("The").alias("supported"))
 
 
-@query("select event_id, cast(json_extract_string(props, '$.k') as bigint) as k, event_id % 10 <> 0 as parsed from events where event_id % 10 <> 0 union all select event_id, null, false from events where event_id % 10 = 0")
+@query("""
+select event_id, cast(json_extract_string(props, '$.k') as bigint) as k, null as line from events where event_id % 10 <> 0
+union all select event_id, null, '{broken ' || props || event_id from events where event_id % 10 = 0""")
 def s20_dead_letters(t):
-    lines = t.events.select("event_id", F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("{broken "), "props")).otherwise(F.col("props")).alias("value"))
-    r = F.from_json("value", "k long, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    p = lines.withColumn("r", r).withColumn("parsed", F.col("r._corrupt_record").isNull())
-    return p.select("event_id", F.when(F.col("parsed"), F.col("r.k")).alias("k"), "parsed")
-
-
-@query("select event_id, event_type || ',' || cast(user_id as varchar) as line from events")
+    # Each line has its event's number behind it where it is broken, and in it where it is not.
+    whole = F.to_json(F.struct("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")))
+    broken = F.concat(F.lit("{broken "), "props", F.col("event_id").cast("string"))
+    lines = t.events.select(F.when(F.col("event_id") % 10 == 0, broken).otherwise(whole).alias("value"))
+    good, bad = shared.scratch(t.spark, "records"), shared.scratch(t.spark, "dead-letters")
+    sinks.write_dead_letters(lines, "event_id long, k long", good, bad)
+    records = files.read_json_lines(t.spark, good, "event_id long, k long").select("event_id", "k", F.lit(None).cast("string").alias("line"))
+    dead = files.read_json_lines(t.spark, bad, "line string, error string")
+    return records.unionByName(dead.select(F.regexp_extract("line", r"(\d+)$", 1).cast("long").alias("event_id"), F.lit(None).cast("long").alias("k"), "line"))
+
+
+@query("select doc_id, lang, source, md5(replace(text, chr(10), ' ')) as text from documents")
 def s02_csv_round_trip(t):
-    line = F.to_csv(F.struct("event_type", "user_id"))
-    back = F.from_csv(line, "event_type string, user_id long")
-    return t.events.withColumn("r", back).select("event_id", F.concat_ws(",", "r.event_type", F.col("r.user_id").cast("string")).alias("line"))
+    path = shared.scratch(t.spark, "csv")
+    sinks.write_csv(t.documents.select("doc_id", "text", "lang", "source"), path)
+    return files.read_csv(t.spark, path).select(F.col("doc_id").cast("long"), "lang", "source", F.md5("text").alias("text"))
 
 
-@query("select event_id, user_id, event_type, value from events")
+@query("select doc_id, md5(text) as text, n_chars, false as corrupt from documents union all select doc_id, null, null, true from documents where n_chars % 7 = 0")
 def s03_json_round_trip(t):
-    line = F.to_json(F.struct("event_id", "user_id", "event_type", "value"))
-    return t.events.select(F.from_json(line, "event_id long, user_id long, event_type string, value double").alias("r")).select("r.*")
+    path = shared.scratch(t.spark, "lines")
+    whole = t.documents.select(F.to_json(F.struct("doc_id", "text", "n_chars")).alias("value"))
+    cut = t.documents.where("n_chars % 7 = 0").select(F.concat(F.lit('{"doc_id": '), F.col("doc_id").cast("string")).alias("value"))
+    whole.unionByName(cut).write.text(path)
+    back = files.read_json_lines(t.spark, path, "doc_id long, text string, n_chars long")
+    corrupt = F.col("_corrupt_record").isNotNull()
+    number = F.when(corrupt, F.regexp_extract("_corrupt_record", r"(\d+)", 1).cast("long")).otherwise(F.col("doc_id"))
+    return back.select(number.alias("doc_id"), F.when(~corrupt, F.md5("text")).alias("text"), F.when(~corrupt, F.col("n_chars")).alias("n_chars"), corrupt.alias("corrupt"))
 
 
-@query("select conv_id, string_agg(role || ': ' || text, chr(10) order by turn) as file, count(*) as turns from conversations group by conv_id")
+@query("""
+with f as (select conv_id, arg_min(role, turn) as opened from conversations group by 1)
+select conv_id, opened, string_agg(role || ': ' || text, chr(10) order by turn) as transcript, count(*) as turns from conversations join f using (conv_id) group by all""")
 def s23_thread_files(t):
-    turns = F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), "text").alias("s"))))
-    return t.conversations.groupBy("conv_id").agg(F.array_join(F.transform(turns, lambda x: x["s"]), "\n").alias("file"), F.count(F.lit(1)).alias("turns"))
+    path = shared.scratch(t.spark, "threads")
+    opened = t.conversations.groupBy("conv_id").agg(F.min_by("role", "turn").alias("opened"))
+    turns = t.conversations.join(opened, "conv_id").select(F.col("conv_id").alias("thread"), F.col("turn").alias("ord"), "role", "text", "opened")
+    sinks.write_threads(turns, path, "opened")
+    return t.spark.read.schema("thread long, transcript string, turns long, opened string").json(path).select(F.col("thread").alias("conv_id"), "opened", "transcript", "turns")
 
 
 @query(r"""
@@ -172,6 +191,11 @@ def d11_agenda_coverage(t):
     return checks.coverage(a, m).select("left_id", "similarity", "share", "exception")
 
 
-@query("select doc_id from documents where doc_id % 4 <> 0 union all select doc_id from documents where doc_id % 4 = 0")
+@query("select doc_id, md5(text) as text from documents where length(trim(text)) > 0")
 def s19_rebuilt(t):
-    return sinks.new_records(t.documents, t.documents.where("false").select("doc_id"), "doc_id", "text").select("doc_id")
+    # A sink of other records is replaced, by records some of which come twice.
+    path = shared.scratch(t.spark, "sink")
+    t.documents.where("n_chars % 2 = 0").select("doc_id", F.lit("old").alias("text")).write.json(path)
+    records = t.documents.select("doc_id", "text")
+    sinks.rebuild(records.unionByName(records.where("doc_id % 3 = 0")), path, "doc_id", "text")
+    return files.read_json_lines(t.spark, path, "doc_id long, text string").select("doc_id", F.md5("text").alias("text"))

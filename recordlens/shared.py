@@ -18,9 +18,14 @@ def folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used."""
+    return f"{folder(spark)}/recordlens-core/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df``, written and read again: what is built on it is not computed twice, and a lost executor costs the reading only."""
-    path = f"{folder(df.sparkSession)}/recordlens-core/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_at = path

@@ -61,7 +61,23 @@ def export_rows(rows: DataFrame) -> DataFrame:
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    export_rows(rows).write.mode("overwrite").option("header", True).csv(path)
+    """CSV with header, for any reader: quotes are doubled, white space at the ends of a field stays."""
+    plain = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    export_rows(rows).write.mode("overwrite").options(**plain).csv(path)
+
+
+def write_dead_letters(lines: DataFrame, schema: str, good_path: str, bad_path: str, column: str = "value") -> None:
+    """Records to one sink, and the lines that do not parse to another."""
+    good, bad = dead_letters(lines, schema, column)
+    good.write.mode("append").json(good_path)
+    bad.write.mode("append").json(bad_path)
+
+
+def write_threads(turns: DataFrame, path: str, column: str) -> None:
+    """Transcripts of turns (thread, ord, role, text), one row a thread, in a folder for each value of ``column``."""
+    said = F.array_sort(F.collect_list(F.struct("ord", F.concat("role", F.lit(": "), "text").alias("line"))))
+    whole = turns.groupBy("thread", column).agg(F.array_join(F.transform(said, lambda x: x["line"]), "\n").alias("transcript"), F.count(F.lit(1)).alias("turns"))
+    write_by(whole, path, column)
 
 
 def write_by(rows: DataFrame, path: str, column: str) -> None:

@@ -65,5 +65,6 @@ def d01_rolls(t):
     body = t.supplier.groupBy("s_nationkey").agg(F.collect_list(who).alias("all"))
     text = F.concat(F.lit("Present were: MAYOR - Lena "), _name("B", "s_nationkey"), F.lit(", COUNCIL MEMBERS - "), listed(False), F.lit(". Absent: "), listed(True), F.lit(". Also present: Kim "), _name("C", "s_nationkey"), F.lit(", Clerk. The pledge was said."))
     r = minutes.roster(body.select(F.col("s_nationkey").alias("doc"), text.alias("text")))
-    members = lambda c: F.array_join(F.array_sort(F.filter(c, lambda n: n.startswith("S"))), ",").alias(c)
-    return r.select(F.col("doc").alias("n_nationkey"), "mayor", members("present"), members("absent"), members("remote"), F.size("partial").cast("long").alias("partial"), "clerk")
+    # Suppliers share surnames, if they are more than 26 ** 3; each of them counts.
+    members = lambda c, name: F.array_join(F.array_sort(F.filter(c, lambda n: n.startswith("S"))), ",").alias(name)
+    return r.select(F.col("doc").alias("n_nationkey"), "mayor", members("listed", "present"), members("absent", "absent"), members("remote", "remote"), F.size("notes").cast("long").alias("partial"), "clerk")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Letters and digits of any script, inside a character class.
 WORD = r"\p{L}\p{N}_"
+#: What SQL's patterns take as white space: ``\s`` of Java has the vertical tab besides.
+SPACE = r"[\t\n\f\r ]"
 
 
 def term_pattern(term: str) -> str:

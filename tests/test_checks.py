@@ -197,3 +197,10 @@ def test_named_entities(spark):
     assert got[0].officials == ["Alderman Olaf Berg", "Alderman Berg", "Mayor Holm"] and got[0].agencies == ["RIVERS"]
     assert got[0].statutes == ["W.S. 12-3-456", "W.S. 7-8-90(b)(ii)"] and got[0].instruments == ["Ordinance 812", "Resolution 13-20"]
     assert all(list(e) == [[], [], [], []] for e in got[1:])
+
+
+def test_neighbouring_abbreviations(spark):
+    # As the SQL has it, one white space cannot end one abbreviation and open the next.
+    said = {"St. Co. No. 5": "St Co. No 5", "St.  Co. x": "St  Co x", "Dr.\x0bX 15-\x0b1": "Dr.\x0bX 15-\x0b1"}
+    got = {r.s: r.c for r in spark.createDataFrame([(s,) for s in said], "s string").withColumn("c", records.clean_minutes(F.col("s"))).collect()}
+    assert got == said

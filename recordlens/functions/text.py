@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 WORD = r"\p{L}\p{N}_"
 #: What SQL's patterns take as white space: ``\s`` of Java has the vertical tab besides.
 SPACE = r"[\t\n\f\r ]"
+#: Where a word begins and ends beside ASCII letters, digits and underscores only, as SQL's patterns have them: ``\b`` of Java knows letters of any script.
+BEGIN, END = "(?<![0-9A-Za-z_])", "(?![0-9A-Za-z_])"
 
 
 def term_pattern(term: str) -> str:

@@ -121,9 +121,11 @@ def rhetoric(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 def distinct_words(docs: DataFrame) -> DataFrame:
     """doc_id, words: each word of a text once, without regard to case, in order and in its first spelling."""
-    w = docs.select("doc_id", F.posexplode(F.split(fx.collapse(F.col("text")), " ")).alias("k", "w"))
-    first = w.groupBy("doc_id", F.lower("w").alias("low")).agg(F.min(F.struct("k", "w")).alias("f"))
-    return first.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("f")), lambda f: f["w"]), " ").alias("words"))
+    # A text is sorted by itself, in its row: nothing is shuffled.
+    placed = F.sort_array(F.transform(F.split(fx.collapse(F.col("text")), " "), lambda w, k: F.struct(F.lower(w).alias("low"), k.alias("k"), w.alias("w"))))
+    first = F.transform(F.array(placed), lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["low"] != x["low"])))[0]
+    words = F.array_join(F.transform(F.sort_array(F.transform(first, lambda x: F.struct(x["k"], x["w"]))), lambda x: x["w"]), " ")
+    return docs.where("text is not null").select("doc_id", words.alias("words"))
 
 
 def claims(docs: DataFrame, types: dict[str, str], negation: str) -> DataFrame:

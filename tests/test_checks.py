@@ -210,3 +210,10 @@ def test_open_asks_beside_other_letters_and_line_ends(spark):
     turns = [(1, 0, "inópla the lamp\nzin ópla the lamp\x85in the house of cards\r\nin a deep cave", None), (2, 0, "x\u2028in the house of cards", None)]
     got = [(r.thread, r.ask) for r in threads.open_asks(spark.createDataFrame(turns, "thread int, ord int, prompt string, output string"), ["in"]).orderBy("thread", "rank").collect()]
     assert got == [(1, "ópla the lamp"), (1, "a deep cave")]
+
+
+def test_distinct_words_stay_in_their_row(spark):
+    df = spark.createDataFrame([(1, "Éa b éA  B c\ta C ab"), (2, ""), (3, None), (4, "x")], "doc_id int, text string").coalesce(1)
+    out = lexicon.distinct_words(df)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.doc_id, r.words) for r in out.collect()) == [(1, "Éa b c a ab"), (2, ""), (4, "x")]

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.text import collapse
 from ..shared import written
 from .capture import numbered
 from .components import connected
@@ -50,6 +51,38 @@ def pack_lines(lines: Column, limit: int) -> Column:
     return F.aggregate(lines, empty, step, finish)
 
 
+def packed_words(documents: DataFrame, limit: int) -> DataFrame:
+    """(doc, ord, text): greedy paragraphs of the words of documents (doc, text), as ``pack_lines`` makes them, a row each."""
+
+    def run(batches):
+        for b in batches:
+            doc, number, text, size = [], [], [], 0
+            for d, t in zip(*(b.column(c).to_pylist() for c in ("doc", "text")), strict=True):
+                held, length, count = [], -1, 0
+                for w in (t or "").split(" "):
+                    if not w:
+                        continue
+                    if held and length + 1 + len(w) > limit:
+                        doc.append(d), number.append(count), text.append(" ".join(held))
+                        held, length, count = [], -1, count + 1
+                    held.append(w)
+                    length += 1 + len(w)
+                if held:
+                    doc.append(d), number.append(count), text.append(" ".join(held))
+                size += len(t or "")
+                if size >= 1 << 24:
+                    yield _packed(b, doc, number, text)
+                    doc, number, text, size = [], [], [], 0
+            yield _packed(b, doc, number, text)
+
+    flat = documents.select("doc", collapse(F.col("text")).alias("text"))
+    return flat.mapInArrow(run, f"doc {dict(documents.dtypes)['doc']}, ord int, text string")
+
+
+def _packed(batch: pa.RecordBatch, doc: list, number: list, text: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(doc, batch.schema.field("doc").type), pa.array(number, pa.int32()), pa.array(text, pa.string())], ["doc", "ord", "text"])
+
+
 def timestamped_segments(text: Column) -> Column:
     """(ts, text) of each part behind a [HH:MM:SS], header up to --- left out, white space collapsed, empty parts dropped."""
     body = F.when(text.rlike(r"(?m)^---\s*$"), F.regexp_replace(text, r"(?ms)\A.*?^---[ \t]*$", "")).otherwise(text)

@@ -28,9 +28,7 @@ def g01_caption_lines(t):
 
 @query()
 def g02_packed_paragraphs(t):
-    words = F.filter(F.split(fx.collapse(F.col("text")), " "), lambda w: w != "")
-    lines = F.transform(words, lambda w, i: F.struct(i.cast("double").alias("start"), w.alias("line")))
-    return t.documents.select("doc_id", F.posexplode(folds.pack_lines(lines, 40)).alias("ord", "p")).select("doc_id", "ord", "p.text")
+    return folds.packed_words(t.documents.select(F.col("doc_id").alias("doc"), "text"), 40).withColumnRenamed("doc", "doc_id")
 
 
 @query(r"""

@@ -107,3 +107,10 @@ def test_default_lexicon(spark):
     assert got[4][0] == {("enforcement", "detention")} and got[5][0] == set()
     modes = lx.rhetoric(df, lx.DEFAULT).where("doc_id = 6").first()
     assert modes.subjective == 2 and modes.dominant == "subjective" and modes.objectivity == 0.0
+
+
+def test_packed_words(spark):
+    texts = ["one two  three\nfour", "", None, "a-very-long-word x y", "𝒳𝒳𝒳 𝒳𝒳𝒳 z"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc int, text string").coalesce(1)
+    got = [tuple(r) for r in folds.packed_words(df, 8).orderBy("doc", "ord").collect()]
+    assert got == [(0, 0, "one two"), (0, 1, "three"), (0, 2, "four"), (3, 0, "a-very-long-word"), (3, 1, "x y"), (4, 0, "𝒳𝒳𝒳 𝒳𝒳𝒳"), (4, 1, "z")]

@@ -217,3 +217,25 @@ def test_distinct_words_stay_in_their_row(spark):
     out = lexicon.distinct_words(df)
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.doc_id, r.words) for r in out.collect()) == [(1, "Éa b c a ab"), (2, ""), (4, "x")]
+
+
+def test_dated_matches_compare_copies_once_and_in_blocks(spark, monkeypatch):
+    rng = random.Random(5)
+    sets = [[f"w{rng.randrange(30 if k % 3 else 300)}" for _ in range(rng.choice((1, 2, 9, 40, 130)))] for k in range(60)]
+    rows = [(k, rng.randrange(14), sets[rng.randrange(60)]) for k in range(240)]
+    df = spark.createDataFrame(rows, "id long, day int, tokens array<string>")
+    want = set()
+    for i, d, a in rows:
+        close = sorted((e, -round(len({*a} & {*b}) / len({*a} | {*b}), 6), o) for o, e, b in rows if 1 <= e - d <= 4 and round(len({*a} & {*b}) / len({*a} | {*b}), 6) >= 0.4)
+        want |= {(i, o, -s, k) for k, (_, s, o) in enumerate(close[:3], 1)}
+    for block in (similarity.BLOCK, 7):
+        monkeypatch.setattr(similarity, "BLOCK", block)
+        assert {tuple(r) for r in similarity.dated_matches(df, 1, 4, 0.4, 3).collect()} == want
+
+
+def test_near_leaves_few_pairs_of_sets_that_share_common_tokens(spark):
+    # Every two sets share 20 tokens of 100, which makes no similarity of 0.4.
+    rows = [(k, k % 2, [j for j in range(20)] + [1000 * k + j for j in range(400, 480)]) for k in range(140)] + [(k, k % 2, list(range(7, 107))) for k in (900, 901)]
+    df = spark.createDataFrame([(i, a, [(t * 0x9E3779B97F4A7C15 % 2**64) - 2**63 for t in x]) for i, a, x in rows], "id long, at int, tokens array<long>").selectExpr("id", "at", "size(tokens) as n", "tokens")
+    pairs = {tuple(r) for r in similarity.near(df, 0.4, 1, 1).collect()}
+    assert (900, 901) in pairs and len(pairs) < 200

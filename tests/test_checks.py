@@ -235,7 +235,10 @@ def test_dated_matches_compare_copies_once_and_in_blocks(spark, monkeypatch):
 
 def test_near_leaves_few_pairs_of_sets_that_share_common_tokens(spark):
     # Every two sets share 20 tokens of 100, which makes no similarity of 0.4.
-    rows = [(k, k % 2, [j for j in range(20)] + [1000 * k + j for j in range(400, 480)]) for k in range(140)] + [(k, k % 2, list(range(7, 107))) for k in (900, 901)]
-    df = spark.createDataFrame([(i, a, [(t * 0x9E3779B97F4A7C15 % 2**64) - 2**63 for t in x]) for i, a, x in rows], "id long, at int, tokens array<long>").selectExpr("id", "at", "size(tokens) as n", "tokens")
+    rng = random.Random(3)
+    some = lambda n: [rng.randrange(-(2**63), 2**63) for _ in range(n)]
+    shared, own = some(20), some(100)
+    rows = [(k, k % 2, 100, shared + some(80)) for k in range(140)] + [(k, k % 2, 100, own) for k in (900, 901)]
+    df = spark.createDataFrame(rows, "id long, at int, n int, tokens array<long>")
     pairs = {tuple(r) for r in similarity.near(df, 0.4, 1, 1).collect()}
     assert (900, 901) in pairs and len(pairs) < 200

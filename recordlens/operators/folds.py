@@ -15,7 +15,7 @@ from ..functions.text import collapse
 from ..shared import written
 from .capture import numbered
 from .components import connected
-from .similarity import candidates, ordered, similar
+from .similarity import MARGIN
 
 def new_suffix(previous: Column, current: Column) -> Column:
     """The part of ``current`` (array of lines) behind its longest overlap with the end of ``previous``."""
@@ -188,17 +188,22 @@ def greedy_groups(rows: DataFrame, least: float, days: int) -> DataFrame:
     """Groups of actions (block, ord, day, tokens): each joins the group whose last action is most similar (Jaccard at least
     ``least``, at most ``days`` earlier; of equal ones the group opened first), else opens one. Adds grp, counted in a block by first actions.
 
-    Order decides, but only among actions that may join each other: pairs that are similar and near in time are found by a prefix
-    join, and their connected components are folded, each by itself, over sorted rows. Actions without such a pair never reach a fold.
+    Order decides, but only among actions that may join each other: pairs that are similar and near in time meet by block and stretch
+    of time, whole sets beside each other, and their connected components are folded, each by itself, over sorted rows. Actions without such a
+    pair never reach a fold.
     A fold holds the groups of its component whose last action is at most ``days`` old.
     """
-    of_block = F.transform("tokens", lambda t: F.concat_ws("\x1f", F.col("block").cast("string"), t))
     numbers = written(rows.withColumn("id", F.monotonically_increasing_id()), "actions")
-    (sets,) = ordered(numbers.select("id", "day", of_block.alias("tokens")))
-    other = sets.withColumnRenamed("day", "other_day")
-    near = (F.abs(F.col("other_day") - F.col("day")) <= days) & (F.col("left_id") < F.col("right_id"))
-    pairs = candidates(sets.withColumn("t", F.lit(least)), other, least, near)
-    roots = connected(similar(pairs, sets, sets, least).select(F.col("left_id").alias("a"), F.col("right_id").alias("b")))
+    sets = written(numbers.select("id", "block", "day", F.transform(F.array_distinct("tokens"), lambda t: F.xxhash64(t)).alias("tokens")).where(F.size("tokens") > 0), "sets")
+    # Actions meet by block and stretches of ``days``, an earlier one also in the stretch behind its own.
+    stretch = F.floor(F.col("day") / days)
+    earlier = sets.select(F.col("id").alias("a"), "block", F.col("day").alias("_day"), F.col("tokens").alias("_a"), F.explode(F.array(stretch, stretch + 1)).alias("stretch"))
+    later = sets.select(F.col("id").alias("b"), "block", "day", F.col("tokens").alias("_b"), stretch.alias("stretch"))
+    m, n = F.size("_a"), F.size("_b")
+    near = (F.col("day") - F.col("_day")).between(0, days) & ((F.col("_day") < F.col("day")) | (F.col("a") < F.col("b"))) & (F.least(m, n) >= (least - MARGIN) * F.greatest(m, n))
+    # The similarity, rounded to six digits, is not below ``least``; written so that the sets are compared once.
+    close = F.size(F.array_intersect("_a", "_b")) >= (least - 5e-7) / (1 + least - 5e-7) * (m + n)
+    roots = connected(earlier.join(later, ["block", "stretch"]).where(near & close).select("a", "b"))
     linked = numbers.select("id", "day", "ord").join(sets.select("id", "tokens"), "id").join(roots, F.col("id") == F.col("node")).select("root", "day", "ord", "id", "tokens")
 
     def run(batches):

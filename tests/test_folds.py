@@ -114,3 +114,12 @@ def test_packed_words(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc int, text string").coalesce(1)
     got = [tuple(r) for r in folds.packed_words(df, 8).orderBy("doc", "ord").collect()]
     assert got == [(0, 0, "one two"), (0, 1, "three"), (0, 2, "four"), (3, 0, "a-very-long-word"), (3, 1, "x y"), (4, 0, "𝒳𝒳𝒳 𝒳𝒳𝒳"), (4, 1, "z")]
+
+
+def test_greedy_groups_meet_by_stretches_of_time(spark, monkeypatch):
+    # Actions far apart in time are never joined, whatever they share: no token is a key of a join.
+    seen, plain = [], folds.connected
+    monkeypatch.setattr(folds, "connected", lambda edges: (seen.append(edges._jdf.queryExecution().optimizedPlan().toString()), plain(edges))[1])
+    rows = [("a", k, k * 50, ["same", f"own{k % 3}"]) for k in range(12)]
+    got = {r.ord: r.grp for r in folds.greedy_groups(spark.createDataFrame(rows, "block string, ord int, day int, tokens array<string>"), 0.5, 200).collect()}
+    assert got == {k: k % 3 for k in range(12)} and "stretch" in seen[0] and "token#" not in seen[0]

@@ -242,3 +242,12 @@ def test_near_leaves_few_pairs_of_sets_that_share_common_tokens(spark):
     df = spark.createDataFrame(rows, "id long, at int, n int, tokens array<long>")
     pairs = {tuple(r) for r in similarity.near(df, 0.4, 1, 1).collect()}
     assert (900, 901) in pairs and len(pairs) < 200
+
+
+def test_asked_keeps_shared_tokens_of_distinct_sets(spark):
+    left = spark.createDataFrame([(k, ["a", "b", "c"]) for k in (5, 4)], "id long, tokens array<string>")
+    right = spark.createDataFrame([(9, 2, ["a", "b", "x"]), (8, 3, ["b", "a", "x"]), (7, 1, ["a", *"mnopqrst"]), (6, 0, ["z"])], "id long, ord int, tokens array<string>")
+    x, y, members = similarity.asked(left, right, 0.3, "ord")
+    assert [(r.id, r.ord, r.n, len(r.tokens)) for r in y.collect()] == [(9, 2, 3, 2)] and [r.id for r in x.collect()] == [4]
+    assert {tuple(r) for r in members.collect()} == {(4, 4), (5, 4)}
+    assert {tuple(r) for r in similarity.best_match(left, right, 0.3, "ord").collect()} == {(4, 9, 0.5), (5, 9, 0.5)}

@@ -82,13 +82,37 @@ def grounded_citations(spoken: DataFrame, official: DataFrame) -> DataFrame:
     """R7: spoken citations (doc, ord, role, citation) against official ones (doc, citation), the first of each citation and role.
 
     A citation has title, chapter and section: 16-4-405. It is grounded exactly, or closely: by an official one of the same title and chapter
-    whose section begins with the spoken one, differs by zeros only, or has a matching-blocks ratio of 0.75 or more. Sections have two to four
-    digits, so that ratio needs them to be equal but for one digit more, less or other (two digits and two: to be equal):
-    each section is joined by itself with one digit left out, never with all of its chapter. Of close ones the first kind counts, then the smallest.
+    whose section begins with the spoken one, differs by zeros only, or has a matching-blocks ratio of 0.75 or more. Of close ones the first
+    kind counts, then the smallest. What sections are near each other does not depend on documents: it is found once for the distinct sections
+    (of two to four digits, 11,100 at most), in order of preference, and the first of them that the document's chapter has is the official one.
+    """
+
+    def parts(d: DataFrame) -> DataFrame:
+        """Sections as numbers: a one before the digits keeps zeros in front."""
+        p = F.col("p")
+        chapter, code = F.when(p != "", F.substring_index(p, "-", 2)), F.when(p != "", F.concat(F.lit("1"), F.substring_index(p, "-", -1)).cast("int"))
+        return d.withColumn("p", F.regexp_extract("citation", r"(\d{1,2}-\d{1,2}-\d{2,4})", 1)).withColumns({"chapter": chapter, "code": code}).drop("p")
+
+    # Both sides are dealt out by document and chapter once; what follows stays in its task.
+    spoken, official = parts(spoken.select("doc", "ord", "role", "citation")), parts(official.select("doc", "citation")).where("chapter is not null")
+    first = spoken.repartition("doc", "chapter").groupBy("doc", "chapter", "code", "citation", "role").agg(F.min("ord").alias("ord"))
+    known = official.repartition("doc", "chapter").groupBy("doc", "chapter").agg(F.collect_set("code").alias("known"))
+    digits = lambda d, name: d.where("chapter is not null").select(F.substring(F.col("code").cast("string"), 2, 4).alias(name)).distinct()
+    near = near_sections(digits(spoken, "section"), digits(official, "other"))
+    near = near.select(F.concat(F.lit("1"), "section").cast("int").alias("code"), F.transform("others", lambda o: F.concat(F.lit("1"), o).cast("int")).alias("near"))
+    j = first.join(known, ["doc", "chapter"], "left").join(F.broadcast(near), "code", "left")
+    j = j.withColumn("best", F.when(F.col("ord").isNotNull() & F.col("role").isNotNull(), F.get(F.array_intersect("near", "known"), F.lit(0))))
+    status = F.when(F.col("best") == F.col("code"), "exact").when(F.col("best").isNotNull(), "close").otherwise("ungrounded")
+    grounded = F.when(F.col("best").isNotNull(), F.concat_ws("-", "chapter", F.substring(F.col("best").cast("string"), 2, 4)))
+    return j.select("doc", "ord", "role", "citation", status.alias("status"), grounded.alias("official"), F.col("best").isNull().alias("exception"))
+
+
+def near_sections(spoken: DataFrame, official: DataFrame) -> DataFrame:
+    """(section, others): the official sections (other) that ground a spoken one (section), itself first, then by kind and digits.
+
+    Sections have two to four digits, so a ratio of 0.75 needs them to be equal but for one digit more, less or other (two digits and two: to be
+    equal): each section is joined by itself with one digit left out.
     """
-    first = spoken.withColumn("k", F.row_number().over(W.partitionBy("doc", "citation", "role").orderBy("ord"))).where("k = 1").select("doc", "ord", "role", "citation")
-    parts = lambda d: d.withColumn("p", F.split(F.regexp_extract("citation", r"(\d{1,2}-\d{1,2}-\d{2,4})", 1), "-")).where("size(p) = 3").withColumns({"chapter": F.concat_ws("-", F.col("p")[0], F.col("p")[1]), "section": F.col("p")[2]}).drop("p")
-    known = parts(official.select("doc", "citation").distinct()).select("doc", "chapter", F.col("section").alias("other"), F.concat_ws("-", "chapter", "section").alias("official"))
 
     def keys(c: Column, heads: Column | None = None) -> Column:
         """What sections meet by: themselves, without zeros, without one digit; the official ones also by their beginnings."""
@@ -96,17 +120,16 @@ def grounded_citations(spoken: DataFrame, official: DataFrame) -> DataFrame:
         return F.array_distinct(F.concat(F.array(F.concat(F.lit("h"), c), F.concat(F.lit("z"), F.replace(c, F.lit("0"))), F.concat(F.lit("d"), c)), cut, heads if heads is not None else F.array().cast("array<string>")))
 
     heads = F.transform(F.sequence(F.lit(2), F.length("other")), lambda n: F.concat(F.lit("h"), F.substring("other", F.lit(1), n)))
-    x = parts(first).withColumn("key", F.explode(keys(F.col("section"))))
-    y = known.withColumn("key", F.explode(keys(F.col("other"), heads)))
+    x = spoken.withColumn("key", F.explode(keys(F.col("section"))))
+    y = official.withColumn("key", F.explode(keys(F.col("other"), heads)))
     m, n = F.length("section"), F.length("other")
     by_digits = F.col("key").startswith("d") & (F.least(m, n) >= 2) & (m + n >= F.when(m == n, 8).otherwise(5)) & (F.abs(m - n) <= 1)
     rank = F.when(F.col("other") == F.col("section"), 0).when(F.col("other").startswith(F.col("section")), 1).when(F.replace("other", F.lit("0")) == F.replace("section", F.lit("0")), 2).when(by_digits, 3)
-    pairs = x.join(y, ["doc", "chapter", "key"]).withColumn("rank", rank).where("rank is not null").select("doc", "ord", "role", "citation", "official", "rank", F.col("section").alias("x"), F.col("other").alias("y"))
+    pairs = x.join(y, "key").withColumn("rank", rank).where("rank is not null").select("section", "other", "rank").distinct()
     # The ratio takes the longest block first, so it may be less than what two sections have in common.
-    near = pairs.where("rank < 3").drop("x", "y").unionByName(with_ratio(pairs.where("rank = 3").distinct()).where("ratio >= 0.75").drop("x", "y", "ratio")).groupBy("doc", "ord", "role", "citation").agg(F.min(F.struct("rank", "official")).alias("best"))
-    j = first.join(near, ["doc", "ord", "role", "citation"], "left")
-    status = F.when(F.col("best.rank") == 0, "exact").when(F.col("best.rank").isNotNull(), "close").otherwise("ungrounded")
-    return j.select("doc", "ord", "role", "citation", status.alias("status"), F.col("best.official").alias("official"), (status == "ungrounded").alias("exception"))
+    by_ratio = with_ratio(pairs.where("rank = 3").select("section", "other", "rank", F.col("section").alias("x"), F.col("other").alias("y"))).where("ratio >= 0.75").drop("x", "y", "ratio")
+    near = pairs.where("rank < 3").unionByName(by_ratio)
+    return near.groupBy("section").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "other"))), lambda p: p["other"]).alias("others"))
 
 
 # The statute on closed sessions, and the wording of its purposes by subsection.

@@ -3,6 +3,7 @@
 import datetime as dt
 import difflib
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -120,6 +121,29 @@ def test_close_citations_by_brute_force(spark):
         assert got[c] == ({None: "ungrounded", 0: "exact"}.get(best[0], "close"), best[1]), c
 
 
+def test_close_citations_of_many_documents(spark):
+    """What is near is found for distinct sections: citations of many documents send no keys, and all the same each document's chapter answers for itself."""
+    rng = random.Random(7)
+    section = lambda: f"{rng.randrange(10, 1400):0{rng.choice([2, 4])}}"
+    said = [(rng.randrange(60), k, rng.choice("ab"), f"7-{rng.choice('12')}-{section()}") for k in range(3000)] + [(1, 3000, "a", "no number"), (None, 3001, "a", "7-1-308")]
+    known = [(rng.randrange(60), f"7-{rng.choice('12')}-{section()}") for _ in range(1500)] + [(None, "7-1-308"), (1, None)]
+    out = checks.grounded_citations(spark.createDataFrame(said, "doc int, ord int, role string, citation string"), spark.createDataFrame(known, "doc int, citation string"))
+    assert not re.search(r"Generate explode.*doc#", out._jdf.queryExecution().optimizedPlan().toString())
+    first = {}
+    for doc, k, role, c in said:
+        first.setdefault((doc, role, c), k)
+
+    def rank(a, b):
+        return 0 if a == b else 1 if b.startswith(a) else 2 if a.replace("0", "") == b.replace("0", "") else 3 if difflib.SequenceMatcher(None, a, b).ratio() >= 0.75 else None
+
+    want = set()
+    for (doc, role, c), k in first.items():
+        near = [(rank(c[4:], o[4:]), o) for d, o in known if o and doc is not None and d == doc and o[:4] == c[:4] and rank(c[4:], o[4:]) is not None]
+        best = min(near, default=(None, None))
+        want.add((doc, k, role, c, {None: "ungrounded", 0: "exact"}.get(best[0], "close"), best[1], best[0] is None))
+    assert {tuple(r) for r in out.collect()} == want
+
+
 def test_bases_of_closed_sessions(spark):
     rows = [("as 16- 4-\n405(a)(iii) says, 16-4-405(a)(10) and 16-4-405 (A)(3)", "by 164405A7 on real estate [noise]"), ("16-4-405(a)", "[music] >> 16 4 405 a 99 litigation"), ("", ""), (None, None), ("16-4-405(a)(i) in", "16-4-405 and")]
     df = spark.createDataFrame(rows, "written string, spoken string").coalesce(1)

@@ -1,7 +1,9 @@
 """Alignment and checks against fixed results."""
 
+import collections
 import datetime as dt
 import difflib
+import itertools
 import random
 import re
 
@@ -144,6 +146,21 @@ def test_close_citations_of_many_documents(spark):
     assert {tuple(r) for r in out.collect()} == want
 
 
+def test_profiles_by_brute_force(spark):
+    """Ties at the last place, texts without words, keys with few words; pairs are counted only if both words are frequent."""
+    rng = random.Random(5)
+    texts = [(key, [rng.choice("abcdefghijkl"[:width]) for _ in range(rng.randrange(12))]) for key, width in (("x", 12), ("y", 4), ("z", 2)) for _ in range(15)]
+    texts += [("w", ["only"]), ("w", []), ("v", []), ("u", [f"once{k}" for k in range(20)])]
+    for top in (1, 3, 7):
+        out = similarity.profiles(spark.createDataFrame(texts, "key string, t array<string>"), "key", F.col("t"), top)
+        assert "Join" in out._jdf.queryExecution().optimizedPlan().toString().split("Generate", 1)[0].rsplit("Aggregate", 1)[1]
+        want = set()
+        for key in "uwxyz":
+            n = collections.Counter(w for k, t in texts if k == key for w in [*t, *(f"{a} {b}" for a, b in itertools.pairwise(t))])
+            want |= {(key, w, round(c / n.total(), 9)) for w, c in sorted(n.items(), key=lambda i: (-i[1], i[0]))[:top]}
+        assert {(r.key, r.term, round(r.weight, 9)) for r in out.collect()} == want, top
+
+
 def test_bases_of_closed_sessions(spark):
     rows = [("as 16- 4-\n405(a)(iii) says, 16-4-405(a)(10) and 16-4-405 (A)(3)", "by 164405A7 on real estate [noise]"), ("16-4-405(a)", "[music] >> 16 4 405 a 99 litigation"), ("", ""), (None, None), ("16-4-405(a)(i) in", "16-4-405 and")]
     df = spark.createDataFrame(rows, "written string, spoken string").coalesce(1)

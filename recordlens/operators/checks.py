@@ -1,5 +1,7 @@
 """Checks of independent records against each other; each adds an ``exception``."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -132,7 +134,7 @@ def near_sections(spoken: DataFrame, official: DataFrame) -> DataFrame:
     return near.groupBy("section").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "other"))), lambda p: p["other"]).alias("others"))
 
 
-# The statute on closed sessions, and the wording of its purposes by subsection.
+# The statute on closed sessions, and the wordings (parted by bars) of its purposes by subsection.
 CLOSED_STATUTE = ["16", "4", "405"]
 ROMAN = ["i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x", "xi", "xii", "xiii"]
 PURPOSES = {
@@ -149,41 +151,56 @@ def closed_basis(text: Column, spoken: bool = False) -> Column:
     texts, roman digits. ``numbers`` are the subsections, sorted; ``bare`` says that a mention has none; ``purposes`` are those named by
     their wording. Of captions, notes in brackets and signs of speakers go first; there the statute's numbers may run together.
     """
+    return _basis(_said(text, spoken), _mentions(_said(text, spoken), spoken), spoken)
+
+
+def _said(text: Column, spoken: bool) -> Column:
     said = F.coalesce(F.regexp_replace(text, r"\[[^\]]*\]|>>", " ") if spoken else text, F.lit(""))
-    said = F.lower(F.regexp_replace(said, r"\s+", " "))
-    between = r" ?-? ?" if spoken else r" ?- ?"
-    parts = F.split(said, rf"\b{between.join(CLOSED_STATUTE)}")
-    behind = F.slice(parts, F.lit(2), F.size(parts))
+    return F.lower(F.regexp_replace(said, r"\s+", " "))
+
+
+def _mentions(said: Column, spoken: bool) -> Column:
+    """The subsection behind each mention of the statute, empty if it has none; a next mention is no subsection."""
+    statute = rf"\b{(' ?-? ?' if spoken else ' ?- ?').join(CLOSED_STATUTE)}"
     digits = r"\d+" if spoken else r"\d+|[ivx]+"
-    found = F.transform(behind, lambda tail: F.regexp_extract(tail, rf"^[ (]*a[ )(]*({digits})(?![a-z])", 1))
+    return F.regexp_extract_all(said, F.lit(rf"{statute}(?=[ (]*a[ )(]*(?!{statute})({digits})(?![a-z]))?"), 1)
+
+
+def _basis(said: Column, found: Column, spoken: bool) -> Column:
     roman = F.create_map(*[x for k, v in enumerate(ROMAN, 1) for x in (F.lit(v), F.lit(k))])
-    value = F.transform(found, lambda v: F.coalesce(F.try_element_at(roman, v), v.try_cast("int")))
-    real = F.transform(value, lambda n: F.when(n.between(1, len(ROMAN)) if spoken else n > 0, n))
-    purposes = F.array_compact(F.array(*[F.when(said.rlike(p), F.lit(k)) for k, p in PURPOSES.items()]))
-    return F.struct(F.array_sort(F.array_distinct(F.array_compact(real))).alias("numbers"), F.exists(found, lambda v: v == "").alias("bare"), purposes.alias("purposes"))
+    value = F.transform(found, lambda v: v.try_cast("int") if spoken else F.coalesce(F.try_element_at(roman, v), v.try_cast("int")))
+    real = F.filter(value, lambda n: n.between(1, len(ROMAN)) if spoken else n > 0)
+    names = lambda p: reduce(lambda x, y: x | y, [F.contains(said, F.lit(w)) for w in p.split("|")])
+    purposes = F.array_compact(F.array(*[F.when(names(p), F.lit(k)) for k, p in PURPOSES.items()]))
+    return F.struct(F.array_sort(F.array_distinct(real)).alias("numbers"), F.array_contains(found, "").alias("bare"), purposes.alias("purposes"))
 
 
 def sessions_of(texts: DataFrame) -> DataFrame:
     """R8 from texts (doc, agenda, minutes, speech): ``session_basis`` of what they cite, with what speech cites without a subsection, and its purposes."""
-    kinds = texts.select("doc", *[closed_basis(F.col(c), c == "speech").alias(c) for c in ("agenda", "minutes", "speech")])
-    numbers = kinds.select("doc", F.col("agenda.numbers").alias("agenda"), F.col("minutes.numbers").alias("minutes"), F.col("speech.numbers").alias("speech"), F.col("speech.bare").alias("cited_without_subsection"), "speech.purposes")
+    kinds = {"agenda": False, "minutes": False, "speech": True}
+    # One step a projection: what later steps use more than once is not worked out again within them.
+    t = texts.select("doc", *[_said(F.col(c), spoken).alias(c) for c, spoken in kinds.items()])
+    t = t.withColumns({f"_{c}": _mentions(F.col(c), spoken) for c, spoken in kinds.items()})
+    basis = lambda c: _basis(F.col(c), F.col(f"_{c}"), kinds[c])
+    numbers = t.select("doc", basis("agenda")["numbers"].alias("agenda"), basis("minutes")["numbers"].alias("minutes"), basis("speech")["numbers"].alias("speech"), basis("speech")["bare"].alias("cited_without_subsection"), basis("speech")["purposes"].alias("purposes"))
     return session_basis(numbers)
 
 
 def session_basis(rows: DataFrame) -> DataFrame:
     """R8: the legal basis of closed sessions (doc, agenda, minutes, speech: cited subsections): whether all that cite one agree."""
-    cited = F.filter(F.array("agenda", "minutes", "speech"), lambda a: F.size(a) > 0)
-    alike = F.forall(cited, lambda a: F.array_sort(F.array_distinct(a)) == F.array_sort(F.array_distinct(cited[0])))
-    notes = F.filter(
+    cited = F.transform(F.filter(F.array("agenda", "minutes", "speech"), lambda a: F.size(a) > 0), lambda a: F.array_sort(F.array_distinct(a)))
+    n = F.size("_cited")
+    notes = F.array_compact(
         F.array(
-            F.when(F.size(cited) == 0, F.lit("no basis cited")),
+            F.when(n == 0, F.lit("no basis cited")),
             F.when(F.size("agenda") == 0, F.lit("none on the agenda")),
             F.when(F.size("minutes") == 0, F.lit("none in the minutes")),
-            F.when((F.size(cited) > 1) & ~alike, F.lit("bases differ")),
-        ),
-        lambda n: n.isNotNull(),
+            F.when((n > 1) & ~F.col("_alike"), F.lit("bases differ")),
+        )
     )
-    return rows.withColumns({"consistent": (F.size(cited) > 0) & F.coalesce(alike, F.lit(True)), "notes": notes, "exception": (F.size(cited) == 0) | ~F.coalesce(alike, F.lit(True))})
+    # Steps of their own again: every row's lists are compared once.
+    judged = rows.withColumn("_cited", cited).withColumn("_alike", F.size(F.array_distinct("_cited")) <= 1)
+    return judged.withColumns({"consistent": (n > 0) & F.col("_alike"), "notes": notes, "exception": (n == 0) | ~F.col("_alike")}).drop("_cited", "_alike")
 
 
 def lifecycle(readings: DataFrame, stale_days: int = 120) -> DataFrame:

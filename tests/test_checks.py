@@ -161,6 +161,16 @@ def test_profiles_by_brute_force(spark):
         assert {(r.key, r.term, round(r.weight, 9)) for r in out.collect()} == want, top
 
 
+def test_bases_are_worked_out_once(spark):
+    """Next mentions are no subsections; a text is cleaned in one projection and not again for each field."""
+    said = [("16-4-405(a)16-4-405(a)(3)", "164405a 16 4 405 a 7"), ("16-4-405 (a)(iv)16-4-405(a)x", "164405a7164405"), ("16-4-405(a)(ivb) 16-4-405", "16-4-405 a 14, personnel"), ("16-4-405(a)(0)", "16-4-405a3x")]
+    texts = spark.createDataFrame([(k, a, a, b) for k, (a, b) in enumerate(said)], "doc int, agenda string, minutes string, speech string")
+    out = checks.sessions_of(texts)
+    got = {r.doc: (r.agenda, r.speech, r.cited_without_subsection, r.purposes, r.notes) for r in out.collect()}
+    assert got == {0: ([3], [7], True, [], ["bases differ"]), 1: ([4, 10], [], False, [], []), 2: ([], [], False, [2], ["no basis cited", "none on the agenda", "none in the minutes"]), 3: ([], [], True, [], ["no basis cited", "none on the agenda", "none in the minutes"])}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count(">>") == 1
+
+
 def test_bases_of_closed_sessions(spark):
     rows = [("as 16- 4-\n405(a)(iii) says, 16-4-405(a)(10) and 16-4-405 (A)(3)", "by 164405A7 on real estate [noise]"), ("16-4-405(a)", "[music] >> 16 4 405 a 99 litigation"), ("", ""), (None, None), ("16-4-405(a)(i) in", "16-4-405 and")]
     df = spark.createDataFrame(rows, "written string, spoken string").coalesce(1)

@@ -23,39 +23,54 @@ def keyed(events: DataFrame) -> DataFrame:
     return events.withColumn("keys", F.filter(keys, lambda k: k.isNotNull()))
 
 
-def duplicates(rows: DataFrame) -> DataFrame:
+def duplicates(rows: DataFrame, whole: int = 200_000) -> DataFrame:
     """(feed_id, arrival, duplicate) of rows (feed_id, arrival, keys): a row is one if a row admitted before it, in its feed, has any of its keys.
 
-    What is dropped stores nothing, so it blocks nothing after it: order decides. Rows that share keys, directly or over
-    others, are found as components, and only they are folded, each component by itself. Rows with the same keys are
-    duplicates of the first of them whatever became of it, so they never reach a component.
+    What is dropped stores nothing, so it blocks nothing after it: order decides. Feeds of at most ``whole`` rows are folded
+    whole, each in one task. Of larger ones, rows that share keys, directly or over others, are found as components, and only
+    they are folded, each component by itself.
     """
+    rows = rows.select("feed_id", "arrival", "keys")
+    large = written(rows.groupBy("feed_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > whole).select("feed_id"), "large-feeds")
+    if large.isEmpty():
+        return _folded(rows, "feed_id")
+    return _folded(rows.join(large, "feed_id", "left_anti"), "feed_id").unionByName(_by_components(rows.join(large, "feed_id", "left_semi")))
+
+
+def _by_components(rows: DataFrame) -> DataFrame:
+    """``duplicates`` of large feeds. Rows with the same keys are duplicates of the first of them whatever became of it, so they never reach a component."""
     first = W.partitionBy("feed_id", "keys")
-    marked = rows.select("feed_id", "arrival", F.array_sort(F.array_distinct("keys")).alias("keys")).groupBy("feed_id", "keys").agg(F.min("arrival").alias("arrival"), F.count(F.lit(1)).alias("n"))
+    rows = rows.withColumn("keys", F.array_sort(F.array_distinct("keys")))
+    marked = rows.groupBy("feed_id", "keys").agg(F.min("arrival").alias("arrival"), F.count(F.lit(1)).alias("n"))
     distinct = written(marked.withColumn("row", F.xxhash64("feed_id", "arrival")), "distinct-keys")
     by_key = distinct.select("feed_id", "row", F.explode("keys").alias("key"))
     shared = by_key.groupBy("feed_id", "key").agg(F.min("row").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     roots = connected(by_key.join(shared, ["feed_id", "key"]).select("a", F.col("row").alias("b")))
     linked = distinct.join(roots, distinct["row"] == roots["node"]).select("root", "feed_id", "arrival", "keys")
+    dropped = _folded(linked, "root").where("duplicate").select("feed_id", "arrival", F.lit(True).alias("dropped"))
+    # Rows without keys repeat nothing.
+    every = rows.withColumn("repeated", (F.size("keys") > 0) & (F.col("arrival") > F.min("arrival").over(first)))
+    return every.join(dropped, ["feed_id", "arrival"], "left").select("feed_id", "arrival", (F.col("repeated") | F.coalesce("dropped", F.lit(False))).alias("duplicate"))
+
+
+def _folded(rows: DataFrame, group: str) -> DataFrame:
+    """(feed_id, arrival, duplicate): the rows (feed_id, arrival, keys) of each ``group`` in order of arrival."""
 
     def fold(batches):
         root, seen = None, set()
         for b in batches:
-            out = []
-            for r, keys in zip(b.column("root").to_pylist(), b.column("keys").to_pylist(), strict=True):
+            keys, end, out = b.column("keys").flatten().to_pylist(), 0, []
+            for r, n in zip(b.column(group).to_pylist(), b.column("keys").value_lengths().to_pylist(), strict=True):
                 if r != root:
                     root, seen = r, set()
-                out.append(any(k in seen for k in keys))
+                own, end = keys[end : end + (n or 0)], end + (n or 0)
+                out.append(not seen.isdisjoint(own))
                 if not out[-1]:
-                    seen.update(keys)
-            yield pa.RecordBatch.from_arrays([b.column("feed_id"), b.column("arrival"), pa.array(out)], ["feed_id", "arrival", "duplicate"])
+                    seen.update(own)
+            yield pa.RecordBatch.from_arrays([b.column("feed_id"), b.column("arrival"), pa.array(out, pa.bool_())], ["feed_id", "arrival", "duplicate"])
 
     kind = dict(rows.dtypes)
-    folded = linked.repartition("root").sortWithinPartitions("root", "arrival").mapInArrow(fold, f"feed_id {kind['feed_id']}, arrival {kind['arrival']}, duplicate boolean")
-    dropped = folded.where("duplicate").select("feed_id", "arrival", F.lit(True).alias("dropped"))
-    repeated = F.col("arrival") > F.min("arrival").over(first)
-    every = rows.select("feed_id", "arrival", F.array_sort(F.array_distinct("keys")).alias("keys")).withColumn("repeated", repeated)
-    return every.join(dropped, ["feed_id", "arrival"], "left").select("feed_id", "arrival", (F.col("repeated") | F.coalesce("dropped", F.lit(False))).alias("duplicate"))
+    return rows.repartition(group).sortWithinPartitions(group, "arrival").mapInArrow(fold, f"feed_id {kind['feed_id']}, arrival {kind['arrival']}, duplicate boolean")
 
 
 def numbered(rows: DataFrame, key: str, moment: str, order: list, width: int = 100_000) -> DataFrame:

@@ -99,6 +99,27 @@ def test_batch_is_the_fold(spark, seed):
     assert set(states.values()) == {"active", "stopped", "recovered"}
 
 
+@pytest.mark.parametrize("whole", [200_000, 60, 0])
+def test_duplicates_of_small_and_large_feeds(spark, monkeypatch, whole):
+    """Small feeds are folded whole, without components; large ones by components, with the same result. Rows without keys are no duplicates."""
+    found = []
+    monkeypatch.setattr(capture, "connected", lambda edges: found.append(1) or connected(edges))
+    rng = random.Random(9)
+    rows = [(feed, k, [f"{kind}{rng.randrange(n)}" for kind, n in (("a", 40), ("b", 25), ("c", 60)) if rng.random() < 0.7]) for feed, size in ((1, 90), (2, 50), (3, 1), (4, 120)) for k in range(size)]
+    want, seen = set(), {}
+    for feed, k, keys in rows:
+        stored = seen.setdefault(feed, set())
+        twice = bool(stored & set(keys))
+        want.add((feed, k, twice))
+        if not twice:
+            stored |= set(keys)
+    assert sum(not keys for _, _, keys in rows) > 3 and 0.2 < sum(d for _, _, d in want) / len(rows) < 0.95
+    frame = spark.createDataFrame(rng.sample(rows, len(rows)), "feed_id long, arrival long, keys array<string>").repartition(3)
+    got = (capture.duplicates(frame) if whole == 200_000 else capture.duplicates(frame, whole)).collect()
+    assert len(got) == len(rows) and {tuple(r) for r in got} == want
+    assert bool(found) == (whole < 200_000)
+
+
 def test_cursors_over_stretches(spark):
     rows = spark.createDataFrame([(k % 2, k, k % 7) for k in range(500)], "feed int, moment long, n long")
     got = capture.numbered(rows, "feed", "moment", ["n"], width=13).collect()

@@ -1,11 +1,13 @@
 """The operators against brute force, and on awkward tables."""
 
 import hashlib
+import itertools
 import random
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,6 +164,77 @@ def test_ngram_join_of_near_copies(spark, small, levels):
     assert Counter(tuple(r) for r in got) == want and 10 < len({c for _, _, c in want}) < len(rows) - 20
 
 
+def test_meetings_without_links_make_no_families(spark, monkeypatch):
+    """Whole sets are read of linked ones only, though all others share much with some and a list of 35 runs through them."""
+    rng, read = random.Random(8), []
+    passage = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    chain, pool = [passage(300) for _ in range(40)], [passage(400) for _ in range(8)]
+    texts = [f"{a} {b}" for a, b in itertools.pairwise(chain)] + [" ".join(x) for x in itertools.combinations(pool, 4)]
+    rows = list(enumerate([*texts, texts[0] + " end"]))
+    links = ngram_join.family_links
+    monkeypatch.setattr(ngram_join, "family_links", lambda members, *more: read.append(members.count()) or links(members, *more))
+    got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter(tuple(r) for r in got) == joined_by_brute_force(rows) and read == [2]
+
+
+def test_sketches_keep_linked_sets():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (1, 2, 40, 64, 65, 130, 500, 1025, 3000)]
+    for s in sets[2:]:
+        for cut in (0.99, 0.9, 0.8, 0.7, 0.5):
+            sets.append(np.union1d(s[: int(cut * len(s))], rng.integers(0, 2**63, int(rng.random() * 0.2 * len(s))).astype(np.uint64)))
+    n, sketches = np.array([len(s) for s in sets]), [np.frombuffer(ngram_join._sketch(s), np.uint64) for s in sets]
+    found = {frozenset(p) for p in ngram_join.alike_members(n, sketches, 75)}
+    of = {x: x for x in range(len(sets))}
+    for a, b in found:
+        of = {k: of[a] if v == of[b] else v for k, v in of.items()}
+    linked = 0
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        apart = len(np.setxor1d(sets[i], sets[j]))
+        assert ngram_join._apart(sketches[i], sketches[j]) <= apart
+        if 7 * apart <= n[i] + n[j]:
+            linked += 1
+            assert of[i] == of[j]
+    assert linked > 10 and len(set(of.values())) > 8
+
+
+@pytest.mark.parametrize(("paired", "sketched", "apart"), [(32, 4096, 64), (2, 5, 64), (0, 0, 64), (3, 4, 2)])
+def test_blocks_keep_all_that_may_link(monkeypatch, paired, sketched, apart):
+    for name, value in (("PAIRED", paired), ("SKETCHED", sketched), ("APART", apart)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(6)
+    sets = [(sig, rng.randint(8, 60)) for sig in range(1, 90)]
+    prefixes = {sig: rng.sample(range(40), min(n // 4, 12)) for sig, n in sets}
+    packed = lambda p: np.array(p, np.uint64).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    batch = lambda rows: pa.RecordBatch.from_pydict({"n": [n for _, n in rows], "sig": [s for s, _ in rows], "prefix": pa.array([packed(prefixes[s]) for s, _ in rows], pa.binary())})
+    every = type("", (), {"value": np.full(1 << 10, 2**64 - 1, np.uint64)})
+    entries = pa.Table.from_batches(ngram_join._local_blocks(75, every)(map(batch, (sets[:30], sets[30:75], sets[75:])))).sort_by([(c, "ascending") for c in ("h", "sizes", "sig")])
+    rows = pa.Table.from_batches(ngram_join._family_edges(75)(entries.to_batches(max_chunksize=50))).to_pylist()
+    of, pairs, blocks = {s: s for s, _ in sets}, {frozenset((r["a"], r["b"])) for r in rows if r["kind"] == ngram_join.PAIR}, defaultdict(set)
+    for r in rows:
+        if r["kind"] == ngram_join.SURE:
+            of = {k: of[r["a"]] if v == of[r["b"]] else v for k, v in of.items()}
+        elif r["kind"] == ngram_join.MEMBER:
+            blocks[r["a"]].add(r["b"])
+    met = 0
+    for (s, n), (t, m) in itertools.permutations(sets, 2):
+        if n <= m and 100 * n >= 75 * m and any(175 * k <= 25 * n and h in prefixes[t] for k, h in enumerate(prefixes[s])):
+            met += 1
+            assert of[s] == of[t] or frozenset((s, t)) in pairs or any({s, t} <= b for b in blocks.values())
+    assert met > 50 and (bool(pairs), bool(blocks)) == (paired > 0, 0 < paired < 32)
+
+
+def test_shared_elements(spark):
+    rng = np.random.default_rng(2)
+    sets = [rng.integers(0, 1 << 40, 3000).astype(np.uint64) for _ in range(30)]
+    sets = [np.concatenate([s, sets[k - 1][:100]]) for k, s in enumerate(sets)]
+    rows = [(bytearray(s.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()),) for s in sets]
+    bitmap = ngram_join.shared_elements(spark.createDataFrame(rows, "prefix binary").repartition(4), ngram_join._dealt_prefixes)
+    h, count = np.unique(np.concatenate(sets), return_counts=True)
+    marked = ngram_join._marked(bitmap, h, 40)
+    assert marked[count > 1].all() and marked[count == 1].mean() < 0.1
+
+
 def test_ngram_join(docs):
     rows = collected(docs)
     want = joined_by_brute_force(rows)

@@ -6,9 +6,11 @@ import difflib
 import itertools
 import random
 import re
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from recordlens import shared
 from recordlens.functions import text as fx
 from recordlens.operators import alignment, checks, folds, lexicon, names, records, similarity, threads
 
@@ -285,6 +287,25 @@ def test_dated_matches_compare_copies_once_and_in_blocks(spark, monkeypatch):
         assert {tuple(r) for r in similarity.dated_matches(df, 1, 4, 0.4, 3).collect()} == want
 
 
+def test_dated_matches_give_disk_back(spark, monkeypatch):
+    """Six pairs a set, compared in rounds: the same as in one, and neither sketches, sets nor what was shuffled for them stay on disk."""
+    rows = [(k, k % 12, [f"w{w}" for w in range(20) if w != k % 20]) for k in range(60)]
+    df = spark.createDataFrame(rows, "id long, day int, tokens array<string>")
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {name for files in [disk.getAllFiles()] for k in range(files.length()) if (name := files.apply(k).getName()).startswith("shuffle_")}
+    got = []
+    for rounds, block in ((1, similarity.BLOCK), (3, 30)):
+        monkeypatch.setattr(similarity, "ROUNDS", rounds, raising=False)
+        monkeypatch.setattr(similarity, "BLOCK", block)
+        folder = Path(shared.folder(spark).removeprefix("file://")) / "recordlens-core"
+        before, files = {p.name for p in folder.glob("*")}, shuffled()
+        out = similarity.dated_matches(df, 1, 10, 0.4, 2)
+        assert {p.name.rpartition("-")[0] for p in folder.glob("*")} >= {"best", "names"} and not shuffled() - files
+        assert not {p.name for p in folder.glob("*") if p.name.startswith(("sketches-", "sets-", "asked-"))} - before
+        got.append({tuple(r) for r in out.collect()})
+    assert got[0] == got[1] and len(got[0]) > 60
+
+
 def test_near_leaves_few_pairs_of_sets_that_share_common_tokens(spark):
     # Every two sets share 20 tokens of 100, which makes no similarity of 0.4.
     rng = random.Random(3)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .names import with_ratio
-from .similarity import best_match, candidates, contained, ordered, similar
+from .similarity import best_match, candidates, most_shared, ordered, similar
 from .timeline import within
 
 
@@ -36,11 +36,12 @@ def coverage(agenda: DataFrame, minutes: DataFrame, least: float = 0.34, within:
     held = minutes.groupBy("meeting").agg(F.sum("chars").alias("chars")).where(F.col("chars") >= chars).select("meeting")
     items = agenda.join(held, "meeting")
     # Tokens of other meetings are other tokens.
-    of = lambda c: F.transform(c, lambda t: F.concat_ws("\x1f", F.col("meeting").cast("string"), t))
-    left = items.select("id", of("tokens").alias("tokens"))
-    titles = best_match(left, minutes.select("id", "ord", of("tokens").alias("tokens")), least, "ord").select("left_id", "similarity")
-    texts = contained(left, minutes.select("id", of("raw").alias("tokens")), within)
-    out = items.select(F.col("id").alias("left_id"), "meeting").join(titles, "left_id", "left").join(texts, "left_id", "left")
+    named = lambda df: df.where("meeting is not null").withColumn("meeting", F.col("meeting").cast("string"))
+    of = lambda c: F.transform(c, lambda t: F.xxhash64("meeting", t)).alias(c)
+    most = most_shared(named(items).select("id", of("tokens")), named(minutes).select(of("tokens"), of("raw")))
+    enough = lambda c, bound: F.when(F.round(c, 6) >= bound, F.round(c, 6)).alias(c)
+    most = most.select("left_id", enough("similarity", least), enough("share", within))
+    out = items.select(F.col("id").alias("left_id"), "meeting").join(most, "left_id", "left")
     return out.withColumn("exception", F.col("similarity").isNull() & F.col("share").isNull())
 
 

@@ -273,6 +273,28 @@ def test_distinct_words_stay_in_their_row(spark):
     assert sorted((r.doc_id, r.words) for r in out.collect()) == [(1, "Éa b c a ab"), (2, ""), (4, "x")]
 
 
+def test_coverage_is_one_scan_of_the_minutes(spark, monkeypatch):
+    """By brute force; of the minutes no token is written or shuffled, and items beyond what is broadcast at a time are worked on in blocks."""
+    rng = random.Random(7)
+    some = lambda most: [f"w{rng.randrange(25)}" for _ in range(rng.randrange(most))]
+    items = [(k, rng.choice((1, 2, 3, None)), some(12)) for k in range(40)] + [(90, 1, []), (91, 2, None)]
+    entries = [(k, k, rng.choice((1, 2, None)), some(14), some(30), 500) for k in range(60)] + [(91, 91, 1, [], None, 0), (92, 92, 3, ["w1"], ["w1"], 399)]
+    want = set()
+    for i, meeting, a in items:
+        if meeting in (1, 2):
+            of = [(set(a or ()), set(t or ()), set(raw or ())) for _, _, m, t, raw, _ in entries if m == meeting]
+            near, held = (max((round(len(x & y[k]) / n, 6) for x, *y in of if (n := len(x | y[0]) if k == 0 else len(x))), default=0) for k in (0, 1))
+            near, held = near if near >= 0.34 else None, held if held >= 0.6 else None
+            want.add((i, meeting, near, held, near is None and held is None))
+    names, write = [], similarity.written
+    monkeypatch.setattr(similarity, "written", lambda df, name: names.append(name) or write(df, name))
+    a, m = spark.createDataFrame(items, "id int, meeting int, tokens array<string>"), spark.createDataFrame(entries, "id int, ord int, meeting int, tokens array<string>, raw array<string>, chars int").repartition(3)
+    assert {tuple(r) for r in checks.coverage(a, m).collect()} == want and names == ["tokens"]
+    monkeypatch.setattr(similarity, "HELD", 40)
+    assert {tuple(r) for r in checks.coverage(a, m).collect()} == want
+    assert checks.coverage(a.where("id = 90"), m).first()[2:] == (None, None, True)
+
+
 def test_dated_matches_compare_copies_once_and_in_blocks(spark, monkeypatch):
     rng = random.Random(5)
     sets = [[f"w{rng.randrange(30 if k % 3 else 300)}" for _ in range(rng.choice((1, 2, 9, 40, 130)))] for k in range(60)]
@@ -288,19 +310,21 @@ def test_dated_matches_compare_copies_once_and_in_blocks(spark, monkeypatch):
 
 
 def test_dated_matches_give_disk_back(spark, monkeypatch):
-    """Six pairs a set, compared in rounds: the same as in one, and neither sketches, sets nor what was shuffled for them stay on disk."""
+    """Several pairs a set, compared in rounds: the same as in one, and neither sketches, sets nor what a written table has shuffled stay on disk."""
     rows = [(k, k % 12, [f"w{w}" for w in range(20) if w != k % 20]) for k in range(60)]
     df = spark.createDataFrame(rows, "id long, day int, tokens array<string>")
     disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
     shuffled = lambda: {name for files in [disk.getAllFiles()] for k in range(files.length()) if (name := files.apply(k).getName()).startswith("shuffle_")}
-    got = []
+    files, got = shuffled(), []
+    shared.written(df.groupBy("day").count(), "days")
+    assert not shuffled() - files
     for rounds, block in ((1, similarity.BLOCK), (3, 30)):
         monkeypatch.setattr(similarity, "ROUNDS", rounds, raising=False)
         monkeypatch.setattr(similarity, "BLOCK", block)
         folder = Path(shared.folder(spark).removeprefix("file://")) / "recordlens-core"
-        before, files = {p.name for p in folder.glob("*")}, shuffled()
+        before = {p.name for p in folder.glob("*")}
         out = similarity.dated_matches(df, 1, 10, 0.4, 2)
-        assert {p.name.rpartition("-")[0] for p in folder.glob("*")} >= {"best", "names"} and not shuffled() - files
+        assert {p.name.rpartition("-")[0] for p in folder.glob("*")} >= {"best", "names"}
         assert not {p.name for p in folder.glob("*") if p.name.startswith(("sketches-", "sets-", "asked-"))} - before
         got.append({tuple(r) for r in out.collect()})
     assert got[0] == got[1] and len(got[0]) > 60

@@ -177,6 +177,20 @@ def test_meetings_without_links_make_no_families(spark, monkeypatch):
     assert Counter(tuple(r) for r in got) == joined_by_brute_force(rows) and read == [2]
 
 
+def test_near_copies_are_dropped_without_shuffling_rows(docs, monkeypatch):
+    spark = docs.sparkSession
+    want = Counter(i for i, _, c in joined_by_brute_force(collected(docs)).elements() if i == c)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most, shuffled in ((ngram_join.MOST_DROPPED, False), (0, True)):
+            monkeypatch.setattr(ngram_join, "MOST_DROPPED", most)
+            kept = ngram_join.keep_one_of_each(docs)
+            assert ("hashpartitioning(" in kept._jdf.queryExecution().executedPlan().toString()) == shuffled
+            assert {r.doc_id for r in kept.select("doc_id").collect()} == set(want)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_sketches_keep_linked_sets():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (1, 2, 40, 64, 65, 130, 500, 1025, 3000)]
